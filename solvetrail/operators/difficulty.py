@@ -46,19 +46,16 @@ _BITS = 21
 
 
 def _located(rows: DataFrame) -> DataFrame:
-    """Dated rows with the cells they lie in, spread by their finest cell."""
-    return (
-        rows.filter(F.col("date_solved").isNotNull())
-        .select(
-            "user_id",
-            F.col("date_solved").alias("date"),
-            F.shiftright("seq", 2 * _BITS).alias("upper"),
-            F.shiftright("seq", _BITS).alias("middle"),
-            "seq",
-            "title_slug",
-            score(F.col("difficulty")).alias("score"),
-        )
-        .repartition("user_id", "date", "middle")
+    """Dated rows with the cells they lie in."""
+    return rows.filter(F.col("date_solved").isNotNull()).select(
+        "user_id",
+        F.col("date_solved").alias("date"),
+        F.shiftright("seq", 2 * _BITS).alias("upper"),
+        F.shiftright("seq", _BITS).alias("middle"),
+        "seq",
+        "title_slug",
+        score(F.col("difficulty")).alias("score"),
+        F.lit(1).cast("bigint").alias("n"),
     )
 
 
@@ -89,8 +86,7 @@ def middle_rows(rows: DataFrame) -> DataFrame:
     Columns: rows, score_sum (all of the user), date, seq, title_slug (of that row),
     first_sum (scores up to and with it).
     """
-    located = _located(rows)
-    leaves = located.withColumn("n", F.lit(1).cast("bigint"))
+    leaves = _located(rows)
     middles = _cells(leaves, "date", "upper", "middle")
     uppers = _cells(middles, "date", "upper")
     dates = _cells(uppers, "date")

@@ -62,15 +62,13 @@ def first_n(submissions: DataFrame, n: int | None) -> DataFrame:
 def first_per_item(submissions: DataFrame) -> DataFrame:
     """One submission per user and item, the first in list order.
 
-    An aggregate, so that repeats of one item shrink before the shuffle.
+    Spark keeps one row per key in every map task before the shuffle, so repeats of an
+    item cost nothing there. The other columns only settle rows of the same position.
     """
     rest = [c for c in submissions.columns if c not in ("user_id", "title_slug", "seq")]
-    first = F.min(F.struct("seq", *rest)).alias("first")
-    return (
-        submissions.groupBy("user_id", "title_slug")
-        .agg(first)
-        .select("user_id", "title_slug", "first.*")
-    )
+    in_order = Window.partitionBy("user_id", "title_slug").orderBy("seq", *rest)
+    ranked = submissions.withColumn("rank", F.row_number().over(in_order))
+    return ranked.filter(F.col("rank") == 1).drop("rank")
 
 
 def with_items(submissions: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -92,8 +90,14 @@ def with_daily_count(submissions: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def new_items(fetched: DataFrame, existing: DataFrame) -> DataFrame:
-    """Fetched rows whose title the user does not have yet."""
-    return fetched.join(existing.select("user_id", "title"), ["user_id", "title"], "left_anti")
+    """Fetched rows whose title the user does not have yet.
+
+    The existing titles are first cut down to those fetched. With a batch small enough to
+    broadcast, the existing table is scanned where it lies and not shuffled.
+    """
+    key = ["user_id", "title"]
+    known = existing.select(*key).join(fetched.select(*key), key, "left_semi")
+    return fetched.join(known, key, "left_anti")
 
 
 def append_rows(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def incremental_refresh(
     store = run.store
     store.ensure(run.run_ts)
     last = store.latest()
-    fetched = validated(solved(submissions, catalogue(items), limit))
+    fetched = store.stage(validated(solved(submissions, catalogue(items), limit)))
     existing = store.records()
     new = store.stage(select.new_items(fetched, existing))
     added = new.count()

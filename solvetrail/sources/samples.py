@@ -45,7 +45,7 @@ def submissions(spark: SparkSession, folder: str) -> DataFrame:
 
 def from_events(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k")
-    seconds = F.floor(_micros("ts") / F.lit(1_000_000)).cast("string")
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")
     return events.select(
         "user_id",
         (-_micros("ts")).alias("seq"),
@@ -157,9 +157,7 @@ def user_payloads(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("totalSubmissionNum"),
     )
     people = table(spark, folder, "customer").join(
-        F.broadcast(table(spark, folder, "nation")),  # 25 nations at every scale
-        F.col("c_nationkey") == F.col("n_nationkey"),
-        "left",
+        table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
     )
     body = F.struct(
         F.struct(
