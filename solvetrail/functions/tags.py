@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NO_NAMES = "array<string>"
-
 
 def _empty() -> Column:
-    return F.array().cast(_NO_NAMES)
+    return F.array().cast("array<string>")
 
 
-def json_map(text: Column) -> Column:
-    """JSON object to a map of texts; NULL for text that is not JSON."""
-    return F.from_json(text, "map<string,string>")
+def json_map(text: Column, values: str = "string") -> Column:
+    """JSON object to a map; NULL for text that is not JSON."""
+    return F.from_json(text, f"map<string,{values}>")
 
 
 def names(text: Column, field: str) -> Column:

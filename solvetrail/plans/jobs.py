@@ -52,11 +52,12 @@ def full_refresh(
 ) -> Outcome:
     """Rebuild the three tables from the landed rows."""
     fetched = solved(submissions, catalogue(items), limit)
-    rows = run.store.stage(validated(fetched))
-    total = rows.count()
-    if not total:
-        return Outcome("nothing_fetched" if fetched.isEmpty() else "nothing_valid")
-    return _replace(run, "full", rows, Counters(total, total))
+    with run.store.staging() as stage:
+        rows = stage(validated(fetched))
+        total = rows.count()
+        if not total:
+            return Outcome("nothing_fetched" if fetched.isEmpty() else "nothing_valid")
+        return _replace(run, "full", rows, Counters(total, total))
 
 
 def incremental_refresh(
@@ -71,37 +72,39 @@ def incremental_refresh(
     store = run.store
     store.ensure(run.run_ts)
     last = store.latest()
-    fetched = store.stage(validated(solved(submissions, catalogue(items), limit)))
-    existing = store.records()
-    new = store.stage(select.new_items(fetched, existing))
-    added = new.count()
-    if not added:
-        return Outcome("nothing_fetched" if fetched.isEmpty() else "nothing_new")
-    if last["total_problems"] and last["mapping"] != run.mapping_key:
-        totals = topics.topic_totals(select.append_rows(existing, new), run.mapping)
-    else:
-        new_totals = topics.topic_totals(new, run.mapping)
-        totals = topics.add_topic_totals(store.read("analytics"), new_totals)
-    new_days = daily.dated_days(daily.day_counts(new))
-    days = daily.add_day_counts(store.read("progress"), new_days)
-    counters = Counters(last["total_problems"] + added, added)
-    frames = {
-        "problems": problem_rows(new, run.run_ts),
-        "analytics": topics.analytics_rows(totals),
-        "progress": progress_rows(daily.progress(days), run.run_ts),
-    }
-    store.commit("incremental", run.run_ts, run.mapping_key, counters, frames, append=("problems",))
-    return Outcome("written", counters)
+    with store.staging() as stage:
+        fetched = stage(validated(solved(submissions, catalogue(items), limit)))
+        existing = store.records()
+        new = stage(select.new_items(fetched, existing))
+        added = new.count()
+        if not added:
+            return Outcome("nothing_fetched" if fetched.isEmpty() else "nothing_new")
+        if last["total_problems"] and last["mapping"] != run.mapping_key:
+            totals = topics.topic_totals(select.append_rows(existing, new), run.mapping)
+        else:
+            new_totals = topics.topic_totals(new, run.mapping)
+            totals = topics.add_topic_totals(store.read("analytics"), new_totals)
+        new_days = daily.dated_days(daily.day_counts(new))
+        days = daily.add_day_counts(store.read("progress"), new_days)
+        counters = Counters(last["total_problems"] + added, added)
+        frames = {
+            "problems": problem_rows(new, run.run_ts),
+            "analytics": topics.analytics_rows(totals),
+            "progress": progress_rows(daily.progress(days), run.run_ts),
+        }
+        store.commit("incremental", run.run_ts, run.mapping_key, counters, frames, ("problems",))
+        return Outcome("written", counters)
 
 
 def cleanup(run: Run, as_of: dt.date, days: int = RETENTION_DAYS) -> Outcome:
     """Drop items older than `days` days, and undated ones."""
     records = run.store.records()
-    kept = run.store.stage(select.retained(validated(records), as_of, days))
-    left, total = kept.count(), records.count()
-    if left == total:
-        return Outcome("nothing_old", Counters(total))
-    return _replace(run, "cleanup", kept, Counters(left))
+    with run.store.staging() as stage:
+        kept = stage(select.retained(validated(records), as_of, days))
+        left, total = kept.count(), records.count()
+        if left == total:
+            return Outcome("nothing_old", Counters(total))
+        return _replace(run, "cleanup", kept, Counters(left))
 
 
 def backup(run: Run, path: str) -> int:
@@ -115,8 +118,9 @@ def backup(run: Run, path: str) -> int:
 
 def restore(run: Run, path: str) -> Outcome:
     """Rebuild the three tables from a backup folder."""
-    rows = run.store.stage(validated(backups.read_backup(run.store.spark, path)))
-    return _replace(run, "restore", rows, Counters(rows.count()))
+    with run.store.staging() as stage:
+        rows = stage(validated(backups.read_backup(run.store.spark, path)))
+        return _replace(run, "restore", rows, Counters(rows.count()))
 
 
 def run_stats(store: Store) -> DataFrame:

@@ -93,19 +93,21 @@ def exact(topic: Column, mapping: Mapping) -> Column:
     return F.try_element_at(table, topic)
 
 
-def partial(topic: Column, mapping: Mapping) -> Column:
-    """The category of the first entry that contains the topic or is contained in it, or NULL."""
-    text = F.lower(topic)
+def partial(low: Column, mapping: Mapping) -> Column:
+    """The category of the first entry that contains the topic or is contained in it, or NULL.
+
+    Takes the topic in lower case.
+    """
     out = F
     for key, category in mapping:
-        low = F.lit(key.lower())
-        out = out.when(text.contains(low) | low.contains(text), category)
+        entry = F.lit(key.lower())
+        out = out.when(low.contains(entry) | entry.contains(low), category)
     return out.otherwise(None)
 
 
-def category(topic: Column, mapping: Mapping) -> Column:
+def category(topic: Column, low: Column, mapping: Mapping) -> Column:
     """Exact entry, else first partial one, else the topic itself."""
-    return F.coalesce(exact(topic, mapping), partial(topic, mapping), topic)
+    return F.coalesce(exact(topic, mapping), partial(low, mapping), topic)
 
 
 def categories(topics: Column, mapping: Mapping | None) -> Column:
@@ -113,16 +115,18 @@ def categories(topics: Column, mapping: Mapping | None) -> Column:
     if not mapping:
         return topics
     known = checked(mapping)
-    return F.array_distinct(F.transform(topics, lambda t: category(t, known)))
+    both = F.transform(topics, lambda t: F.struct(t.alias("topic"), F.lower(t).alias("low")))
+    return F.array_distinct(F.transform(both, lambda b: category(b["topic"], b["low"], known)))
 
 
 def match_kinds(topics: DataFrame, mapping: Mapping) -> DataFrame:
     """For distinct topics (one column `topic`): the category and how it was found."""
     known = checked(mapping)
-    topic = F.col("topic")
+    topic, low = F.col("topic"), F.lower("topic")
     kind = (
         F.when(exact(topic, known).isNotNull(), "exact")
-        .when(partial(topic, known).isNotNull(), "partial")
+        .when(partial(low, known).isNotNull(), "partial")
         .otherwise("none")
     )
-    return topics.select("topic", category(topic, known).alias("category"), kind.alias("match_kind"))
+    found = category(topic, low, known)
+    return topics.select("topic", found.alias("category"), kind.alias("match_kind"))

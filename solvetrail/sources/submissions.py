@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvetrail.functions.dates import epoch_date
+from solvetrail.functions.tags import json_map
 
 # Field names fixed by the landed format.
 LIST_BODY = (
@@ -46,7 +47,7 @@ def calendar_days(calendars: DataFrame) -> DataFrame:
 
     Two entries of one day do not add up: the one written last wins.
     """
-    entries = F.map_entries(F.from_json("calendar", "map<string,bigint>"))
+    entries = F.map_entries(json_map(F.col("calendar"), "bigint"))
     return (
         calendars.select("user_id", F.posexplode(entries).alias("pos", "entry"))
         .select("user_id", "pos", epoch_date(F.col("entry.key")).alias("date"), "entry.value")

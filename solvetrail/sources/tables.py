@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -129,11 +131,25 @@ class Store:
     def records(self) -> DataFrame:
         return problem_records(self.read("problems"))
 
-    def stage(self, rows: DataFrame) -> DataFrame:
-        """Write intermediate rows below the tables and read them back."""
-        path = f"{self.base}/stage/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+    @contextmanager
+    def staging(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """Gives a function that writes intermediate rows and reads them back.
+
+        What was written goes when the block ends, so nothing lazy may leave the block.
+        """
+        folder = f"{self.base}/stage/{uuid.uuid4().hex}"
+
+        def stage(rows: DataFrame) -> DataFrame:
+            path = f"{folder}/{uuid.uuid4().hex}"
+            rows.write.parquet(path)
+            return self.spark.read.schema(rows.schema).parquet(path)
+
+        try:
+            yield stage
+        finally:
+            context = self.spark.sparkContext
+            target = context._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
     def commit(
         self,
