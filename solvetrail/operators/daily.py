@@ -31,11 +31,22 @@ def add_day_counts(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def progress(days: DataFrame) -> DataFrame:
-    """Per day: its count, its week's and month's totals, the running total, streak 0."""
-    so_far = Window.partitionBy("user_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    week = Window.partitionBy("user_id", week_start(F.col("date")))
-    month = Window.partitionBy("user_id", month_start(F.col("date")))
-    return dated_days(days).select(
+    """Per day: its count, its week's and month's totals, the running total, streak 0.
+
+    Ordered by (week, date), which is the order by date, the running total and the week
+    totals share one sort.
+    """
+    keyed = dated_days(days).select(
+        "user_id",
+        "date",
+        "daily_count",
+        week_start(F.col("date")).alias("week"),
+        month_start(F.col("date")).alias("month"),
+    )
+    so_far = Window.partitionBy("user_id").orderBy("week", "date")
+    so_far = so_far.rowsBetween(Window.unboundedPreceding, 0)
+    week, month = Window.partitionBy("user_id", "week"), Window.partitionBy("user_id", "month")
+    return keyed.select(
         "user_id",
         "date",
         "daily_count",

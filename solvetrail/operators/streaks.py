@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,7 @@ def running_streaks(days: DataFrame, rule: str = "row") -> DataFrame:
         "daily_count",
         F.row_number().over(by_date).alias("position"),
         F.when(~follows, 1).when(after_busy, 2).alias("opens_at"),
+        busy.alias("busy"),
     )
     # The last day that opened a run: what its length is counted from.
     opened = F.when(F.col("opens_at").isNotNull(), F.col("position") - F.col("opens_at"))
@@ -41,28 +42,33 @@ def running_streaks(days: DataFrame, rule: str = "row") -> DataFrame:
         by_date.rowsBetween(Window.unboundedPreceding, 0)
     )
     return marked.select(
-        "user_id", "date", F.when(F.col("date").isNotNull(), arrive).cast("bigint").alias("streak"), busy.alias("busy")
+        "user_id",
+        "date",
+        "daily_count",
+        F.when(F.col("date").isNotNull(), arrive).cast("bigint").alias("streak"),
+        "busy",
     ).select(
         "user_id",
         "date",
+        "daily_count",
         "streak",
         F.when(F.col("busy"), F.lit(1).cast("bigint")).otherwise(F.col("streak")).alias("leave"),
     )
 
 
-def streaks(days: DataFrame, as_of: dt.date, rule: str = "row") -> DataFrame:
-    """Per user the current and the longest streak, 0 and 0 without any date.
+def current_and_longest(as_of: dt.date) -> list[Column]:
+    """Two aggregates over running streaks, 0 and 0 without any date.
 
     A run is current if its last day is yesterday or later.
     """
-    last = F.max("date")
-    alive = last >= F.lit(as_of - dt.timedelta(days=1))
+    alive = F.max("date") >= F.lit(as_of - dt.timedelta(days=1))
     none = F.lit(0).cast("bigint")
-    return (
-        running_streaks(days, rule)
-        .groupBy("user_id")
-        .agg(
-            F.when(alive, F.max_by("leave", "date")).otherwise(none).alias("current_streak"),
-            F.coalesce(F.max("streak"), none).alias("longest_streak"),
-        )
-    )
+    return [
+        F.when(alive, F.max_by("leave", "date")).otherwise(none).alias("current_streak"),
+        F.coalesce(F.max("streak"), none).alias("longest_streak"),
+    ]
+
+
+def streaks(days: DataFrame, as_of: dt.date, rule: str = "row") -> DataFrame:
+    """Per user the current and the longest streak."""
+    return running_streaks(days, rule).groupBy("user_id").agg(*current_and_longest(as_of))

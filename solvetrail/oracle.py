@@ -369,6 +369,11 @@ FROM firsts WHERE solved_at IS NOT NULL GROUP BY ALL""",
         "x6_paid_share": f"{ev} SELECT user_id, is_paid_only, count(*) AS n FROM clean GROUP BY ALL",
         "p7_retained": f"{ev} SELECT user_id, title_slug, date_solved FROM clean WHERE date_solved >= DATE '2024-01-21'",
         "p8_problems_table": ev + _PROBLEMS,
+        "s5_problems_headed": f"""{ev}
+SELECT user_id, title AS "Problem Name", difficulty AS "Difficulty", array_to_string(topics, ', ') AS "Topics",
+       coalesce(CAST(date_solved AS VARCHAR), '') AS "Date Solved", CAST(1 AS BIGINT) AS "Attempts",
+       'Solved' AS "Status", problem_id AS "Problem ID", '2024-01-31 06:00:00' AS "Last Updated"
+FROM clean""",
         "s4_problems_roundtrip": f"""{ev}
 SELECT user_id, title, difficulty, CAST(len(topics) AS BIGINT) AS n_topics, date_solved,
        CAST(1 AS BIGINT) AS attempts, 'Solved' AS status, problem_id FROM clean""",

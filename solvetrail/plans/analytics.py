@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solvetrail.operators import daily, difficulty, patterns, streaks, topics
@@ -27,26 +27,25 @@ class Metrics:
     """The progress metrics of one set of rows."""
 
     daily_progress: DataFrame
-    streaks: DataFrame
+    summary: DataFrame
     weekdays: DataFrame
     best_weekday: DataFrame
     difficulty_history: DataFrame
     monthly_levels: DataFrame
     level_shares: DataFrame
     complexity_trend: DataFrame
-    totals: DataFrame
 
 
-def totals(days: DataFrame) -> DataFrame:
-    """Rows and dated rows per user, from the day counts."""
+def _totals() -> list[Column]:
+    """Two aggregates over day counts: all rows, and those with a date."""
     dated = F.when(F.col("date").isNotNull(), F.col("daily_count")).otherwise(0)
-    return days.groupBy("user_id").agg(
-        F.sum("daily_count").alias("total_problems"), F.sum(dated).alias("total_solved")
-    )
+    return [F.sum("daily_count").alias("total_problems"), F.sum(dated).alias("total_solved")]
 
 
 def summary(days: DataFrame, as_of: dt.date, rule: str = "row") -> DataFrame:
-    return totals(days).join(streaks.streaks(days, as_of, rule), "user_id")
+    """Per user the totals and both streaks, in one pass over the days."""
+    running = streaks.running_streaks(days, rule)
+    return running.groupBy("user_id").agg(*_totals(), *streaks.current_and_longest(as_of))
 
 
 def analytics(
@@ -65,12 +64,11 @@ def metrics(rows: DataFrame, as_of: dt.date, rule: str = "row") -> Metrics:
     days = daily.day_counts(rows)
     return Metrics(
         daily_progress=daily.progress(days),
-        streaks=streaks.streaks(days, as_of, rule),
+        summary=summary(days, as_of, rule),
         weekdays=patterns.weekdays(days),
         best_weekday=patterns.best_weekday(days),
         difficulty_history=patterns.difficulty_history(rows),
         monthly_levels=difficulty.monthly_levels(rows),
         level_shares=difficulty.level_shares(rows),
         complexity_trend=difficulty.complexity_trend(rows),
-        totals=totals(days),
     )

@@ -18,7 +18,7 @@ from solvetrail.sources import items as item_source
 from solvetrail.sources import mapping as topic_mapping
 from solvetrail.sources import profiles, samples
 from solvetrail.sources import submissions as submission_source
-from solvetrail.sources.tables import Store, problem_records, problem_rows
+from solvetrail.sources.tables import Store, problem_records, problem_rows, with_headings
 from solvetrail.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -480,6 +480,12 @@ def p8_problems_table(spark, folder):
     return _problem_columns(problem_rows(_clean(spark, folder), RUN_TS))
 
 
+@query
+def s5_problems_headed(spark, folder):
+    """The Problems table the way people see it: headings, dates as text, no NULLs."""
+    return with_headings(problem_rows(_clean(spark, folder), RUN_TS), "problems")
+
+
 @query
 def s4_problems_roundtrip(spark, folder):
     return _record_columns(problem_records(problem_rows(_clean(spark, folder), RUN_TS)))

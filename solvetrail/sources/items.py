@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvetrail.functions import tags
@@ -16,6 +16,11 @@ ITEM_BODY = (
 )
 
 
+def read_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """Landed item rows out of lines with one JSON body each."""
+    return from_payloads(spark.read.schema("body string").json(path))
+
+
 def from_payloads(payloads: DataFrame) -> DataFrame:
     """Bodies (one column `body`) to rows of the landed item table; items not found are dropped."""
     item = payloads.select(F.from_json("body", ITEM_BODY)["question"].alias("q"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvetrail.functions.levels import LEVELS, percent
@@ -25,6 +25,11 @@ def _figure(counts: Column, name: str, field: str) -> Column:
     return F.coalesce(F.try_element_at(listed, F.lit(-1))[field], F.lit(0).cast("bigint"))
 
 
+def read_users(spark: SparkSession, path: str) -> DataFrame:
+    """User records out of landed lines (user_id, body)."""
+    return from_payloads(spark.read.schema("user_id bigint, body string").json(path))
+
+
 def from_payloads(payloads: DataFrame) -> DataFrame:
     """Bodies (user_id, body) to one row per user."""
     body = payloads.select("user_id", F.from_json("body", USER_BODY).alias("b")).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvetrail.functions.dates import epoch_date
@@ -16,6 +16,21 @@ LIST_BODY = (
 CALENDAR_BODY = "matchedUser struct<userCalendar:struct<submissionCalendar:string>>"
 
 
+# What a landing zone holds per line: whose body it is, and where in the list it starts.
+PAGES = "user_id bigint, offset bigint, body string"
+USER_BODIES = "user_id bigint, body string"
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Submissions out of landed list pages."""
+    return from_payloads(spark.read.schema(PAGES).json(path))
+
+
+def read_calendars(spark: SparkSession, path: str) -> DataFrame:
+    """Calendar days out of landed calendar bodies."""
+    return calendar_days(calendars_from_payloads(spark.read.schema(USER_BODIES).json(path)))
+
+
 def from_payloads(payloads: DataFrame) -> DataFrame:
     """Rows (user_id, offset, body), one per landed page, to submission rows.
 

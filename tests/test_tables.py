@@ -63,6 +63,22 @@ def test_submission_pages(spark):
     assert found.first()["memory"] == "2 MB"
 
 
+def test_landed_files(spark):
+    """The readers for folders of landed lines."""
+    folder = shared_folder(spark, "test-landed")
+    page = json.dumps({"recentSubmissionList": [{"title": "A", "titleSlug": "a"}]})
+    spark.createDataFrame([(1, 4, page)], submissions.PAGES).write.json(f"{folder}/pages")
+    found = submissions.read_pages(spark, f"{folder}/pages")
+    assert values(found, "user_id", "seq", "title_slug") == [(1, 4, "a")]
+    body = json.dumps({"matchedUser": {"username": "u", "userCalendar": {"submissionCalendar": '{"0": 3}'}}})
+    spark.createDataFrame([(1, body)], submissions.USER_BODIES).write.json(f"{folder}/users")
+    assert values(submissions.read_calendars(spark, f"{folder}/users"), "n") == [(3,)]
+    assert values(profiles.read_users(spark, f"{folder}/users"), "username") == [("u",)]
+    body = json.dumps({"question": {"titleSlug": "a"}})
+    spark.createDataFrame([(body,)], "body string").write.json(f"{folder}/items")
+    assert values(items.read_bodies(spark, f"{folder}/items"), "title_slug") == [("a",)]
+
+
 def test_calendar_last_entry_of_a_day_wins(spark):
     second = int(epoch(1))
     cells = [
