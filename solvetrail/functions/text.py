@@ -47,7 +47,9 @@ def number_with_unit(text: Column) -> Column:
 
 def whole_number(text: Column, default: int | None = None) -> Column:
     """Text to bigint, the default when it is not a whole number."""
-    value = strip(text).try_cast("bigint")
+    # Spark's own cast takes care of the common blanks.
+    rare = F.btrim(text, F.lit(BLANKS)).try_cast("bigint")
+    value = F.coalesce(text.try_cast("bigint"), rare)
     return value if default is None else F.coalesce(value, F.lit(default).cast("bigint"))
 
 

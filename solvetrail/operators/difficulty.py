@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvetrail.functions.dates import month_key
@@ -39,44 +39,35 @@ def level_shares(rows: DataFrame) -> DataFrame:
     )
 
 
-# A position inside a user's rows is found level by level: the date, then the upper
-# bits of seq, then the middle ones, then the row. Only cells of counts are ordered
-# above the last level, and no cell has more than 2**21 children.
+# The middle of a user's rows is found level by level: the day, then the upper bits of
+# seq, then the middle ones, then the row. Above the last level only counts are put in
+# order, and below the day no window sees more than 2**21 of them.
 _BITS = 21
+_ROW = ["user_id", "date", "upper", "middle", "seq", "title_slug"]
 
 
-def _located(rows: DataFrame) -> DataFrame:
-    """Dated rows with the cells they lie in."""
-    return rows.filter(F.col("date_solved").isNotNull()).select(
-        "user_id",
-        F.col("date_solved").alias("date"),
-        F.shiftright("seq", 2 * _BITS).alias("upper"),
-        F.shiftright("seq", _BITS).alias("middle"),
-        "seq",
-        "title_slug",
-        score(F.col("difficulty")).alias("score"),
-        F.lit(1).cast("bigint").alias("n"),
-    )
-
+def _sums() -> list[Column]:
+    return [F.sum("n").alias("n"), F.sum("score").alias("score")]
 
-def _cells(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy("user_id", *keys).agg(F.sum("n").alias("n"), F.sum("score").alias("score"))
 
+def _descend(cells: DataFrame, parent: list[str], order: list[str]) -> DataFrame:
+    """Of each parent's cells the one that holds its row number `need`.
 
-def _descend(cells: DataFrame, parent: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Of each parent cell, the child that holds its row number `need`.
-
-    `need` becomes the number within that child; `before` collects the scores ahead of it.
+    `need` becomes the number within that cell; `before` collects the scores ahead of it.
     """
-    ahead = Window.partitionBy("user_id", *keys).orderBy(*order)
+    ahead = Window.partitionBy("user_id", *parent).orderBy(*order)
     ahead = ahead.rowsBetween(Window.unboundedPreceding, -1)
+    n_ahead, need = F.col("n_ahead"), F.col("need")
     return (
-        cells.join(parent, ["user_id", *keys])
-        .withColumn("n_ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-        .withColumn("score_ahead", F.coalesce(F.sum("score").over(ahead), F.lit(0)))
-        .filter((F.col("n_ahead") < F.col("need")) & (F.col("need") <= F.col("n_ahead") + F.col("n")))
-        .withColumn("need", F.col("need") - F.col("n_ahead"))
-        .withColumn("before", F.col("before") + F.col("score_ahead"))
+        cells.withColumns(
+            {
+                "n_ahead": F.coalesce(F.sum("n").over(ahead), F.lit(0)),
+                "score_ahead": F.coalesce(F.sum("score").over(ahead), F.lit(0)),
+            }
+        )
+        .filter((n_ahead < need) & (need <= n_ahead + F.col("n")))
+        .withColumns({"need": need - n_ahead, "before": F.col("before") + F.col("score_ahead")})
+        .drop("n_ahead", "score_ahead")
     )
 
 
@@ -86,23 +77,42 @@ def middle_rows(rows: DataFrame) -> DataFrame:
     Columns: rows, score_sum (all of the user), date, seq, title_slug (of that row),
     first_sum (scores up to and with it).
     """
-    leaves = _located(rows)
-    middles = _cells(leaves, "date", "upper", "middle")
-    uppers = _cells(middles, "date", "upper")
-    dates = _cells(uppers, "date")
-    users = _cells(dates).select(
+    # Never NULL, so that Spark adds no checks to some of the uses of these rows below and
+    # sees that they are all the same shuffle.
+    seq = F.coalesce("seq", F.lit(-(2**63)))
+    dated = rows.filter(F.col("date_solved").isNotNull()).select(
         "user_id",
-        F.col("n").alias("rows"),
-        F.col("score").alias("score_sum"),
-        F.expr("greatest(n div 2, 1)").alias("need"),
-        F.lit(0).cast("bigint").alias("before"),
+        F.col("date_solved").alias("date"),
+        F.shiftright(seq, 2 * _BITS).alias("upper"),
+        F.shiftright(seq, _BITS).alias("middle"),
+        seq.alias("seq"),
+        "title_slug",
+        F.lit(1).cast("bigint").alias("n"),
+        score(F.col("difficulty")).alias("score"),
+    )
+    user = Window.partitionBy("user_id")
+    days = (
+        dated.groupBy("user_id", "date")
+        .agg(*_sums())
+        .withColumns({"rows": F.sum("n").over(user), "score_sum": F.sum("score").over(user)})
+        .withColumns({"need": F.expr("greatest(rows div 2, 1)"), "before": F.lit(0).cast("bigint")})
     )
-    kept = ["user_id", "rows", "score_sum", "need", "before"]
-    at = _descend(dates, users, [], ["date"]).select(*kept, "date")
-    at = _descend(uppers, at, ["date"], ["upper"]).select(*kept, "date", "upper")
-    at = _descend(middles, at, ["date", "upper"], ["middle"]).select(*kept, "date", "upper", "middle")
-    at = _descend(leaves, at, ["date", "upper", "middle"], ["seq", "title_slug"])
-    return at.select(
+    day = _descend(days, [], ["date"]).drop("n", "score")
+    # The rows of that day alone. The join may meet a busy day, which adaptive execution
+    # splits; the repartition after it spreads the day's rows and leaves the join free for that.
+    within = dated.join(day, ["user_id", "date"]).repartition(*_ROW)
+    leaves = within.groupBy(*_ROW, "rows", "score_sum", "need", "before").agg(*_sums())
+
+    uppers = leaves.groupBy("user_id", "upper", "need", "before").agg(*_sums())
+    upper = _descend(uppers, [], ["upper"]).select("user_id", "upper", "need", "before")
+
+    middles = leaves.groupBy("user_id", "upper", "middle").agg(*_sums())
+    middles = middles.join(upper, ["user_id", "upper"])
+    middle = _descend(middles, ["upper"], ["middle"])
+    middle = middle.select("user_id", "upper", "middle", "need", "before")
+
+    last = leaves.drop("need", "before").join(middle, ["user_id", "upper", "middle"])
+    return _descend(last, ["upper", "middle"], ["seq", "title_slug"]).select(
         "user_id", "rows", "score_sum", "date", "seq", "title_slug",
         (F.col("before") + F.col("score")).alias("first_sum"),
     )
