@@ -15,7 +15,7 @@ from solvetrail.plans.solved import SOLVED_LIMIT, solved, validated
 from solvetrail.sources import backup as backups
 from solvetrail.sources.items import catalogue
 from solvetrail.sources.mapping import Mapping
-from solvetrail.sources.tables import Counters, Store, problem_rows, progress_rows
+from solvetrail.sources.tables import Counters, Snapshot, Store, problem_rows, progress_rows
 
 RETENTION_DAYS = 365
 
@@ -57,7 +57,7 @@ def full_refresh(
         total = rows.count()
         if not total:
             return Outcome("nothing_fetched" if fetched.isEmpty() else "nothing_valid")
-        return _replace(run, "full", rows, Counters(total, total))
+        return _replace(run, run.store.latest(), "full", rows, Counters(total, total))
 
 
 def incremental_refresh(
@@ -69,58 +69,57 @@ def incremental_refresh(
     the new rows' figures are added to the stored ones instead of reading all items again;
     only a changed topic mapping makes it count every item anew.
     """
-    store = run.store
-    store.ensure(run.run_ts)
-    last = store.latest()
-    with store.staging() as stage:
+    base = run.store.ensure(run.run_ts)
+    stored = base.counters.total_problems
+    with run.store.staging() as stage:
         fetched = stage(validated(solved(submissions, catalogue(items), limit)))
-        existing = store.records()
+        existing = base.records()
         new = stage(select.new_items(fetched, existing))
         added = new.count()
         if not added:
             return Outcome("nothing_fetched" if fetched.isEmpty() else "nothing_new")
-        if last["total_problems"] and last["mapping"] != run.mapping_key:
+        if stored and base.last["mapping"] != run.mapping_key:
             totals = topics.topic_totals(select.append_rows(existing, new), run.mapping)
         else:
             new_totals = topics.topic_totals(new, run.mapping)
-            totals = topics.add_topic_totals(store.read("analytics"), new_totals)
+            totals = topics.add_topic_totals(base.read("analytics"), new_totals)
         new_days = daily.dated_days(daily.day_counts(new))
-        days = daily.add_day_counts(store.read("progress"), new_days)
-        counters = Counters(last["total_problems"] + added, added)
+        days = daily.add_day_counts(base.read("progress"), new_days)
+        counters = Counters(stored + added, added)
         frames = {
             "problems": problem_rows(new, run.run_ts),
             "analytics": topics.analytics_rows(totals),
             "progress": progress_rows(daily.progress(days), run.run_ts),
         }
-        store.commit("incremental", run.run_ts, run.mapping_key, counters, frames, ("problems",))
+        run.store.commit(
+            base, "incremental", run.run_ts, run.mapping_key, counters, frames, ("problems",)
+        )
         return Outcome("written", counters)
 
 
 def cleanup(run: Run, as_of: dt.date, days: int = RETENTION_DAYS) -> Outcome:
     """Drop items older than `days` days, and undated ones."""
-    records = run.store.records()
+    base = run.store.snapshot()
+    records = base.records()
     with run.store.staging() as stage:
         kept = stage(select.retained(validated(records), as_of, days))
         left, total = kept.count(), records.count()
         if left == total:
             return Outcome("nothing_old", Counters(total))
-        return _replace(run, "cleanup", kept, Counters(left))
+        return _replace(run, base, "cleanup", kept, Counters(left))
 
 
 def backup(run: Run, path: str) -> int:
     """Write the Problems table's records to a backup folder; returns how many."""
-    last = run.store.latest()
-    counters = Counters(
-        last["total_problems"], last["new_problems"], last["updated_problems"], last["errors"]
-    )
-    return backups.write_backup(run.store.records(), path, counters, run.run_ts)
+    base = run.store.snapshot()
+    return backups.write_backup(base.records(), path, base.counters, run.run_ts)
 
 
 def restore(run: Run, path: str) -> Outcome:
     """Rebuild the three tables from a backup folder."""
     with run.store.staging() as stage:
         rows = stage(validated(backups.read_backup(run.store.spark, path)))
-        return _replace(run, "restore", rows, Counters(rows.count()))
+        return _replace(run, run.store.latest(), "restore", rows, Counters(rows.count()))
 
 
 def run_stats(store: Store) -> DataFrame:
@@ -131,12 +130,14 @@ def run_stats(store: Store) -> DataFrame:
     return log.agg(newest).select("stats.*")
 
 
-def _replace(run: Run, job: str, rows: DataFrame, counters: Counters) -> Outcome:
+def _replace(
+    run: Run, base: Snapshot | None, job: str, rows: DataFrame, counters: Counters
+) -> Outcome:
     days = daily.day_counts(rows)
     frames = {
         "problems": problem_rows(rows, run.run_ts),
         "analytics": topics.analytics_rows(topics.topic_totals(rows, run.mapping)),
         "progress": progress_rows(daily.progress(days), run.run_ts),
     }
-    run.store.commit(job, run.run_ts, run.mapping_key, counters, frames)
+    run.store.commit(base, job, run.run_ts, run.mapping_key, counters, frames)
     return Outcome("written", counters)

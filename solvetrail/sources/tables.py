@@ -12,7 +12,7 @@ import datetime as dt
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, fields
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -95,6 +95,25 @@ class Counters:
     errors: int = 0
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """The tables as one commit left them."""
+
+    store: Store
+    last: Row
+
+    def read(self, name: str) -> DataFrame:
+        paths = [f"{self.store.base}/{path}" for path in self.last[name]]
+        return self.store.spark.read.schema(schemas.RESULTS[name]).parquet(*paths)
+
+    def records(self) -> DataFrame:
+        return problem_records(self.read("problems"))
+
+    @property
+    def counters(self) -> Counters:
+        return Counters(*(self.last[field.name] for field in fields(Counters)))
+
+
 class Store:
     """Problems, Analytics and Progress below one folder."""
 
@@ -105,31 +124,37 @@ class Store:
     def commits(self) -> DataFrame:
         return self.spark.read.schema(COMMITS).json(f"{self.base}/commits/*")
 
-    def latest(self) -> Row | None:
-        """The commit readers follow; None before the first one. Any other failure is an error."""
+    def latest(self) -> Snapshot | None:
+        """What readers see now; None before the first commit. Any other failure is an error."""
         try:
             log = self.commits()
         except AnalysisException as failure:
             if failure.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
-        return log.orderBy(F.desc("run_id")).first()
+        last = log.orderBy(F.desc("run_id")).first()
+        return Snapshot(self, last) if last else None
 
-    def ensure(self, run_ts: dt.datetime) -> None:
-        """Create the three tables, empty, unless they are there."""
-        if self.latest() is None:
-            empty = {n: self.spark.createDataFrame([], s) for n, s in schemas.RESULTS.items()}
-            self.commit("create", run_ts, None, Counters(), empty)
+    def snapshot(self) -> Snapshot:
+        found = self.latest()
+        if found is None:
+            raise FileNotFoundError(f"no tables below {self.base}; call ensure() first")
+        return found
 
     def read(self, name: str) -> DataFrame:
-        commit = self.latest()
-        if commit is None:
-            raise FileNotFoundError(f"no tables below {self.base}; call ensure() first")
-        paths = [f"{self.base}/{path}" for path in commit[name]]
-        return self.spark.read.schema(schemas.RESULTS[name]).parquet(*paths)
+        return self.snapshot().read(name)
 
     def records(self) -> DataFrame:
-        return problem_records(self.read("problems"))
+        return self.snapshot().records()
+
+    def ensure(self, run_ts: dt.datetime) -> Snapshot:
+        """The tables, created empty unless they are there."""
+        found = self.latest()
+        if found is None:
+            empty = {n: self.spark.createDataFrame([], s) for n, s in schemas.RESULTS.items()}
+            self.commit(None, "create", run_ts, None, Counters(), empty)
+            found = self.snapshot()
+        return found
 
     @contextmanager
     def staging(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
@@ -153,6 +178,7 @@ class Store:
 
     def commit(
         self,
+        base: Snapshot | None,
         job: str,
         run_ts: dt.datetime,
         mapping: str | None,
@@ -160,27 +186,20 @@ class Store:
         frames: dict[str, DataFrame],
         append: tuple[str, ...] = (),
     ) -> None:
-        """Write the frames, then make them the tables; those in `append` add to the old folders."""
-        last = self.latest()
-        run_id = last["run_id"] + 1 if last else 1
+        """Write the frames, then make them the tables that follow `base`.
+
+        The tables named in `append` keep the folders they have and gain one.
+        """
+        run_id = base.last["run_id"] + 1 if base else 1
         folder = f"run-{run_id:09d}-{uuid.uuid4().hex[:8]}"
         paths = {}
         for name, schema in schemas.RESULTS.items():
-            paths[name] = [f"{name}/{folder}"]
             frame = frames[name].to(self.spark.createDataFrame([], schema).schema)
             frame.write.parquet(f"{self.base}/{name}/{folder}")
-            if name in append and last:
-                paths[name] = list(last[name]) + paths[name]
+            kept = list(base.last[name]) if base and name in append else []
+            paths[name] = [*kept, f"{name}/{folder}"]
         record = Row(
-            run_id=run_id,
-            run_ts=run_ts,
-            job=job,
-            mapping=mapping,
-            total_problems=counters.total_problems,
-            new_problems=counters.new_problems,
-            updated_problems=counters.updated_problems,
-            errors=counters.errors,
-            **paths,
+            run_id=run_id, run_ts=run_ts, job=job, mapping=mapping, **asdict(counters), **paths
         )
         log = self.spark.createDataFrame([record], COMMITS).coalesce(1)
         log.write.json(f"{self.base}/commits/{folder}")
