@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from solvetrail.functions.text import join_list, split_list
 from solvetrail.operators import daily, select, topics
 from solvetrail.plans.solved import SOLVED_LIMIT, solved, validated
 from solvetrail.sources import backup as backups
@@ -18,6 +19,8 @@ from solvetrail.sources.mapping import Mapping
 from solvetrail.sources.tables import Counters, Snapshot, Store, problem_rows, progress_rows
 
 RETENTION_DAYS = 365
+# In place of the mapping's key: the stored totals are not what the stored rows give.
+RECOUNT = "recount"
 
 
 @dataclass(frozen=True)
@@ -54,10 +57,11 @@ def full_refresh(
     fetched = solved(submissions, catalogue(items), limit)
     with run.store.staging() as stage:
         rows = stage(validated(fetched))
-        total = rows.count()
+        total, lossless = _counted(rows)
         if not total:
             return Outcome("nothing_fetched" if fetched.isEmpty() else "nothing_valid")
-        return _replace(run, run.store.latest(), "full", rows, Counters(total, total))
+        base, counters = run.store.latest(), Counters(total, total)
+        return _replace(run, base, "full", rows, counters, lossless)
 
 
 def incremental_refresh(
@@ -66,8 +70,9 @@ def incremental_refresh(
     """Add the items whose titles are not in the Problems table yet.
 
     The Problems table grows by the new rows. Topic totals and day counts are sums, so
-    the new rows' figures are added to the stored ones instead of reading all items again;
-    only a changed topic mapping makes it count every item anew.
+    the new rows' figures are added to the stored ones instead of reading all items again.
+    It counts every item anew when the topic mapping changed, or when topics of the last
+    run read back differently from the Problems table.
     """
     base = run.store.ensure(run.run_ts)
     stored = base.counters.total_problems
@@ -75,7 +80,7 @@ def incremental_refresh(
         fetched = stage(validated(solved(submissions, catalogue(items), limit)))
         existing = base.records()
         new = stage(select.new_items(fetched, existing))
-        added = new.count()
+        added, lossless = _counted(new)
         if not added:
             return Outcome("nothing_fetched" if fetched.isEmpty() else "nothing_new")
         if stored and base.last["mapping"] != run.mapping_key:
@@ -91,9 +96,8 @@ def incremental_refresh(
             "analytics": topics.analytics_rows(totals),
             "progress": progress_rows(daily.progress(days), run.run_ts),
         }
-        run.store.commit(
-            base, "incremental", run.run_ts, run.mapping_key, counters, frames, ("problems",)
-        )
+        key = run.mapping_key if lossless else RECOUNT
+        run.store.commit(base, "incremental", run.run_ts, key, counters, frames, ("problems",))
         return Outcome("written", counters)
 
 
@@ -119,7 +123,8 @@ def restore(run: Run, path: str) -> Outcome:
     """Rebuild the three tables from a backup folder."""
     with run.store.staging() as stage:
         rows = stage(validated(backups.read_backup(run.store.spark, path)))
-        return _replace(run, run.store.latest(), "restore", rows, Counters(rows.count()))
+        total, lossless = _counted(rows)
+        return _replace(run, run.store.latest(), "restore", rows, Counters(total), lossless)
 
 
 def run_stats(store: Store) -> DataFrame:
@@ -130,8 +135,21 @@ def run_stats(store: Store) -> DataFrame:
     return log.agg(newest).select("stats.*")
 
 
+def _counted(rows: DataFrame) -> tuple[int, bool]:
+    """How many rows, and whether all their topic lists survive being one text cell."""
+    topic_list = F.col("topics")
+    changed = F.max(split_list(join_list(topic_list)) != topic_list)
+    found = rows.agg(F.count("*").alias("n"), changed.alias("changed")).first()
+    return found["n"], not found["changed"]
+
+
 def _replace(
-    run: Run, base: Snapshot | None, job: str, rows: DataFrame, counters: Counters
+    run: Run,
+    base: Snapshot | None,
+    job: str,
+    rows: DataFrame,
+    counters: Counters,
+    lossless: bool = True,
 ) -> Outcome:
     days = daily.day_counts(rows)
     frames = {
@@ -139,5 +157,6 @@ def _replace(
         "analytics": topics.analytics_rows(topics.topic_totals(rows, run.mapping)),
         "progress": progress_rows(daily.progress(days), run.run_ts),
     }
-    run.store.commit(base, job, run.run_ts, run.mapping_key, counters, frames)
+    key = run.mapping_key if lossless else RECOUNT
+    run.store.commit(base, job, run.run_ts, key, counters, frames)
     return Outcome("written", counters)

@@ -233,6 +233,19 @@ def test_a_changed_mapping_counts_all_items_again(spark):
     assert contents(run.store) == contents(whole.store)
 
 
+def test_topics_that_do_not_survive_the_table_are_counted_again(spark):
+    """A name with the separator in it is one topic when fetched and two when read back."""
+    odd = metadata(spark).withColumn("topic_tags", F.lit('[{"name": "a, b"}, {"name": "c"}]'))
+    run = a_run(spark)
+    jobs.full_refresh(run, landed(spark, [(1, 0, 1, 1, OK)]), odd)
+    assert values(run.store.read("analytics"), "topic", "total") == [("a, b", 1), ("c", 1)]
+    jobs.incremental_refresh(run, landed(spark, [(1, 0, 2, 2, OK)]), metadata(spark))
+    assert values(run.store.read("analytics"), "topic", "total") == [
+        ("a", 1), ("all", 1), ("b", 1), ("c", 1), ("t2", 1),
+    ]
+    assert run.store.latest().last["mapping"] is None
+
+
 def test_cleanup(spark):
     run = a_run(spark)
     jobs.full_refresh(run, landed(spark, BASIC), metadata(spark))
