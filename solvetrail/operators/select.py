@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvetrail.functions.text import has_text
-from solvetrail.session import GROUP_LIMIT
 
 # First-n ranks a user's rows in this many lanes before it ranks the survivors.
 LANES = 256
@@ -44,8 +43,6 @@ def first_n(submissions: DataFrame, n: int | None) -> DataFrame:
     """
     if n is None:
         return submissions
-    if n > GROUP_LIMIT:
-        raise ValueError(f"the limit is at most {GROUP_LIMIT}, got {n}")
     order = (F.col("seq"), F.col("title_slug"))
     by_lane = Window.partitionBy("user_id", "lane").orderBy(*order)
     by_user = Window.partitionBy("user_id").orderBy(*order)

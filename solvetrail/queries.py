@@ -19,7 +19,7 @@ from solvetrail.sources import mapping as topic_mapping
 from solvetrail.sources import profiles, samples
 from solvetrail.sources import submissions as submission_source
 from solvetrail.sources.tables import Store, problem_records, problem_rows, with_headings
-from solvetrail.streaming.ingest import ingest
+from solvetrail.streaming.ingest import ingest, landed_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -581,5 +581,5 @@ def t1_stream_ingest(spark, folder):
     part = F.least(F.greatest(F.floor((day - start) / 10), F.lit(0)), F.lit(2))
     for number in range(3):
         landed.filter(part == number).write.mode("append").parquet(landing)
-        ingest(run, landing, samples.items(spark, folder), checkpoint)
+        ingest(run, landed_rows(spark, landing), samples.items(spark, folder), checkpoint)
     return run.store.records().select("user_id", "title", "date_solved")

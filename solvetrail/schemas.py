@@ -33,7 +33,7 @@ RECORDS = (
     "attempts bigint, status string, problem_id string, last_updated timestamp"
 )
 
-# Headings for people who look at the tables, in column order.
+# Headings for people who look at the tables, in column order.
 HEADINGS = {
     "problems": (
         "Problem Name", "Difficulty", "Topics", "Date Solved",

@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# The largest per-user limit the operators use. Up to this value Spark cuts every
-# map task's rows down to the limit before the shuffle of a row_number filter.
+# The largest per-user limit in use. Up to this value Spark cuts every map task's rows
+# down to the limit before the shuffle of a row_number filter.
 GROUP_LIMIT = 10_000
 
 SETTINGS = {

@@ -1,44 +1,56 @@
-"""Scheduled ingest: every run takes the submission files that landed since the last one."""
+"""Scheduled ingest: every run takes the submissions that landed since the last one."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from solvetrail import schemas
 from solvetrail.plans.jobs import Run, incremental_refresh
 from solvetrail.plans.solved import SOLVED_LIMIT
+from solvetrail.sources import submissions
+
+
+def _reader(spark: SparkSession, schema: str, files_per_batch: int | None) -> DataStreamReader:
+    reader = spark.readStream.schema(schema)
+    return reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
+
+
+def landed_rows(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Submission rows as they land in Parquet files below a folder."""
+    return _reader(spark, schemas.SUBMISSIONS, files_per_batch).parquet(path)
+
+
+def landed_pages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Submission rows out of list pages as they land in JSON files below a folder."""
+    pages = _reader(spark, submissions.PAGES, files_per_batch).json(path)
+    return submissions.from_payloads(pages)
 
 
 def start_ingest(
     run: Run,
-    landing: str,
+    landed: DataFrame,
     items: DataFrame,
     checkpoint: str,
-    files_per_batch: int | None = None,
     limit: int | None = SOLVED_LIMIT,
 ) -> StreamingQuery:
-    """Start a run over the new files below `landing`; it ends when they are done.
+    """Start a run over what is new in the stream `landed`; it ends when that is done.
 
     Each batch is one incremental refresh. A batch that is replayed after a failure adds
     nothing, because the titles it brings are known by then.
     """
-    reader = run.store.spark.readStream.schema(schemas.SUBMISSIONS)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def refresh(batch: DataFrame, _: int) -> None:
         incremental_refresh(run, batch, items, limit)
 
     return (
-        reader.parquet(landing)
-        .writeStream.foreachBatch(refresh)
+        landed.writeStream.foreachBatch(refresh)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def ingest(run: Run, landing: str, items: DataFrame, checkpoint: str, **options) -> None:
+def ingest(run: Run, landed: DataFrame, items: DataFrame, checkpoint: str, **options) -> None:
     """Run `start_ingest` to its end; a failed batch raises."""
-    start_ingest(run, landing, items, checkpoint, **options).awaitTermination()
+    start_ingest(run, landed, items, checkpoint, **options).awaitTermination()

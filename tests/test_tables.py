@@ -12,7 +12,7 @@ from solvetrail.plans import jobs
 from solvetrail.plans.solved import solved, validated
 from solvetrail.session import shared_folder
 from solvetrail.sources import backup, items, profiles, submissions, tables
-from solvetrail.streaming.ingest import ingest
+from solvetrail.streaming.ingest import ingest, landed_pages, landed_rows
 
 TS = dt.datetime(2024, 1, 31, 6)
 TABLES = ("problems", "analytics", "progress")
@@ -317,11 +317,11 @@ def test_stream_equals_incremental_runs(spark):
     landing, state = shared_folder(spark, "test-landing"), shared_folder(spark, "test-state")
     for rows in STREAM:
         landed(spark, rows).coalesce(1).write.mode("append").parquet(landing)
-        ingest(stream, landing, metadata(spark), state)
+        ingest(stream, landed_rows(spark, landing), metadata(spark), state)
         jobs.incremental_refresh(batch, landed(spark, rows), metadata(spark))
         assert contents(stream.store) == contents(batch.store)
     commits = stream.store.commits().count()
-    ingest(stream, landing, metadata(spark), state)
+    ingest(stream, landed_rows(spark, landing), metadata(spark), state)
     assert stream.store.commits().count() == commits
 
 
@@ -331,15 +331,26 @@ def test_stream_batches_and_replays_give_the_same_titles(spark):
     landing = shared_folder(spark, "test-landing")
     for rows in STREAM:
         landed(spark, rows).coalesce(1).write.mode("append").parquet(landing)
-    ingest(run, landing, metadata(spark), shared_folder(spark, "test-state"), files_per_batch=1)
+    one_by_one = landed_rows(spark, landing, files_per_batch=1)
+    ingest(run, one_by_one, metadata(spark), shared_folder(spark, "test-state"))
     found = contents(run.store)
     assert [r[:2] for r in found["problems"]] == [
         (1, "Title 1"), (1, "Title 2"), (1, "Title 3"), (2, "Title 1"), (3, "Title 4"),
     ]
-    ingest(run, landing, metadata(spark), shared_folder(spark, "test-state"))
+    ingest(run, landed_rows(spark, landing), metadata(spark), shared_folder(spark, "test-state"))
     assert contents(run.store) == found
 
 
+def test_stream_of_pages(spark):
+    run = a_run(spark)
+    landing = shared_folder(spark, "test-landing")
+    rows = [{"titleSlug": f"item-{k}", "statusDisplay": OK, "timestamp": epoch(k)} for k in (1, 2)]
+    page = json.dumps({"recentSubmissionList": rows})
+    spark.createDataFrame([(1, 0, page)], submissions.PAGES).write.json(landing)
+    ingest(run, landed_pages(spark, landing), metadata(spark), shared_folder(spark, "test-state"))
+    assert values(run.store.records(), "title", "date_solved") == [("Title 1", day(1)), ("Title 2", day(2))]
+
+
 def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
