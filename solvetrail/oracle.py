@@ -6,6 +6,9 @@ row numbers instead of aggregates, columns instead of the JSON texts.
 
 from __future__ import annotations
 
+from solvetrail.sources import samples
+from solvetrail.sources.mapping import STANDARD, Mapping
+
 # Building blocks -------------------------------------------------------------
 
 _SUBS = """
@@ -74,13 +77,13 @@ days AS (
 _TOPIC_ROWS = """
 topic_rows AS (SELECT user_id, title_slug, difficulty, date_solved, unnest(topics) AS topic FROM clean)"""
 
-# The sample mapping, in its order.
-_MAPPING = """
-mapping(ord, name, category) AS (VALUES
-  (1, 'small', 'Size'), (2, 'large', 'Size'), (3, 'red', 'Colour'), (4, 'blue', 'Colour'),
-  (5, 'hot', 'Temperature'), (6, 'old', 'Age'), (7, 'new', 'Age'), (8, 'widget', 'Part'),
-  (9, 'gear', 'Part'), (10, 'economy class', 'Tier'), (11, 'mediu', 'Tier'),
-  (12, 'cold front', 'Weather')),
+
+
+def _mapping(entries: Mapping) -> str:
+    """The mapping as a table, and the categories of the items' topics under it."""
+    listed = ", ".join(f"({i}, '{name}', '{category}')" for i, (name, category) in enumerate(entries))
+    return f"""
+mapping(ord, name, category) AS (VALUES {listed}),
 names AS (SELECT DISTINCT unnest(topics) AS topic FROM items),
 hits AS (
   SELECT topic, arg_min(category, ord) AS category FROM names, mapping
@@ -91,6 +94,9 @@ topic_map AS (
               ELSE 'none' END AS match_kind
   FROM names n LEFT JOIN mapping m ON m.name = n.topic LEFT JOIN hits h ON h.topic = n.topic)"""
 
+
+_MAPPING = _mapping(samples.MAPPING)
+
 _MAPPED_ROWS = """
 topic_rows AS (
   SELECT DISTINCT r.user_id, r.title_slug, r.difficulty, r.date_solved, m.category AS topic
@@ -285,6 +291,8 @@ FROM subs s LEFT JOIN (SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n F
   ON d.user_id = s.user_id AND d.date = CAST(s.solved_at AS DATE)
 WHERE s.ok""",
         "j3_j4_topic_map": f"{_with(_ITEMS, _MAPPING)} SELECT topic, category, match_kind FROM topic_map",
+        "s10_standard_mapping": f"""{_with(_ITEMS, _mapping(STANDARD))}
+SELECT topic, category, match_kind FROM topic_map""",
         "u2_item_categories": f"""{_with(_ITEMS, _MAPPING)}
 SELECT DISTINCT i.title_slug, m.category
 FROM (SELECT title_slug, unnest(topics) AS topic FROM items) i JOIN topic_map m ON m.topic = i.topic""",

@@ -233,6 +233,12 @@ def j3_j4_topic_map(spark, folder):
     return topic_mapping.match_kinds(names, samples.MAPPING)
 
 
+@query
+def s10_standard_mapping(spark, folder):
+    names = _catalogue(spark, folder).select(F.explode("topics").alias("topic")).distinct()
+    return topic_mapping.match_kinds(names, topic_mapping.STANDARD)
+
+
 @query
 def u2_item_categories(spark, folder):
     mapped = topic_mapping.categories(F.col("topics"), samples.MAPPING)
