@@ -61,6 +61,7 @@ def analytics(
 
 
 def metrics(rows: DataFrame, as_of: dt.date, rule: str = "row") -> Metrics:
+    """All progress metrics of the solved set; `seq` orders the rows of one day."""
     days = daily.day_counts(rows)
     return Metrics(
         daily_progress=daily.progress(days),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -43,6 +44,11 @@ def local_session(cores: str = "*", memory: str = "8g") -> SparkSession:
     return tune(spark)
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="solvetrail-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path for one run's tables below the cluster's checkpoint folder.
 
@@ -52,6 +58,5 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="solvetrail-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/solvetrail/{purpose}-{uuid.uuid4().hex}"

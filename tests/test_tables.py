@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import os
+from types import SimpleNamespace
 
 import pytest
 from helpers import day, problems, values
@@ -351,8 +353,18 @@ def test_stream_of_pages(spark):
     assert values(run.store.records(), "title", "date_solved") == [("Title 1", day(1)), ("Title 2", day(2))]
 
 
-def test_shared_folder_follows_the_session(spark):
-    assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+def session(checkpoint, master):
+    """Stands in for a session with these settings."""
+    conf = SimpleNamespace(get=lambda key, default: checkpoint)
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+
+def test_shared_folder_follows_the_session():
+    assert shared_folder(session("hdfs://x/y/", "yarn"), "p").startswith("hdfs://x/y/solvetrail/p-")
+    local = shared_folder(session(None, "local[2]"), "p")
+    assert os.path.isdir(local.split("/solvetrail/")[0])
+    with pytest.raises(ValueError):
+        shared_folder(session(None, "yarn"), "p")
 
 
 def test_problem_rows_fill_in_defaults(spark):
