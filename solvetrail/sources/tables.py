@@ -122,7 +122,8 @@ class Store:
         self.base = base.rstrip("/")
 
     def commits(self) -> DataFrame:
-        return self.spark.read.schema(COMMITS).json(f"{self.base}/commits/*")
+        reader = self.spark.read.schema(COMMITS).option("recursiveFileLookup", "true")
+        return reader.json(f"{self.base}/commits")
 
     def latest(self) -> Snapshot | None:
         """What readers see now; None before the first commit. Any other failure is an error."""
