@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from solvetrail.llm import bpe, exact
+from solvetrail.llm import bpe, decontaminate, exact, language, mixing, pii, quotes, secrets, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,16 +19,101 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_language_id(spark, folder):
+    """Language of every document, learnt from the labelled rows that are not held out."""
+    return language.predictions(table(spark, folder, "documents"))
+
+
+def op2_decontamination(spark, folder):
+    """What of every document occurs in the benchmark."""
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op4_mixing(spark, folder):
+    """How many words of every document the mix takes."""
+    return mixing.mix(table(spark, folder, "documents"))
+
+
 def op3_exact_dedup(spark, folder):
     """Groups of equal texts and which row of each stays."""
     return exact.exact_groups(table(spark, folder, "documents"))
 
 
+def op5_secrets(spark, folder):
+    """Secrets in every document."""
+    return secrets.secret_spans(table(spark, folder, "documents"))
+
+
+def op6_personal_data(spark, folder):
+    """Personal data in every document."""
+    return pii.personal_spans(table(spark, folder, "documents"))
+
+
+def op8_quotation_linking(spark, folder):
+    """Every message without quotes, tied to the message it answers."""
+    return quotes.linked_messages(table(spark, folder, "conversations"))
+
+
+def op9_substring_dedup(spark, folder):
+    """What stays of every document when passages that occur elsewhere go."""
+    return substrings.deduplicated_digests(table(spark, folder, "documents"))
+
+
+def op7_simhash_near_dedup(spark, folder):
+    """Fingerprint and group of every document."""
+    return simhash.near_groups(table(spark, folder, "documents"))
+
+
 def op10_token_counts(spark, folder):
     """Bytes and tokens of every document."""
     return bpe.token_counts(table(spark, folder, "documents"), public_tokenizers.path(BPE_FILE), TOKEN_LIMIT)
 
 
+OP2_SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item_words AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i:i + 12], ' ') AS phrase
+    FROM item_words, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(i) WHERE len(w) > 0
+), starts AS (
+    SELECT doc_id, w, i FROM words, unnest(range(1, len(w) + 1)) AS t(i)
+), matches AS (
+    SELECT s.doc_id, s.i, x.n, x.item
+    FROM (SELECT DISTINCT n FROM windows) AS sizes, starts AS s, windows AS x
+    WHERE x.n = sizes.n AND s.i + sizes.n - 1 <= len(s.w) AND x.phrase = array_to_string(s.w[s.i:s.i + sizes.n - 1], ' ')
+), hits AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM matches, unnest(range(i, i + n)) AS t(p) GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS items_sha256
+    FROM matches GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    coalesce(items_sha256, sha256('')) AS items_sha256,
+    coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP9_SQL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM d, unnest(range(1, len(w) - 33)) AS t(i)
+), shared AS (
+    SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)
+), gone AS (
+    SELECT doc_id, list(DISTINCT p) AS places FROM shared, unnest(range(i, i + 35)) AS t(p) GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed,
+        list_filter(range(1, len(w) + 1), lambda p: places IS NULL OR NOT list_contains(places, p)) AS stay, w
+    FROM d LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(list_select(w, stay), ' ')) AS kept_sha256 FROM kept
+"""
+
 OP3_SQL = r"""
 WITH d AS (
     SELECT doc_id, length(coalesce(text, '')) AS size,
@@ -45,11 +130,19 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha2
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language_id": op1_language_id,
+        "op2_decontamination": op2_decontamination,
+        "op4_mixing": op4_mixing,
         "op3_exact_dedup": op3_exact_dedup,
+        "op5_secrets": op5_secrets,
+        "op6_personal_data": op6_personal_data,
+        "op8_quotation_linking": op8_quotation_linking,
+        "op9_substring_dedup": op9_substring_dedup,
+        "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """None for the others: SQL has no trained models, sampling, tokenizers or XXH64."""
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op2_decontamination": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op9_substring_dedup": OP9_SQL}

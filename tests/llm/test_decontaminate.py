@@ -1,0 +1,94 @@
+"""Decontamination against a walk over all places of all documents."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from solvetrail.llm import decontaminate as dc
+from solvetrail.llm.scratch import Scratch
+
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+DOCS = "doc_id bigint, text string, key string, n_hit int"
+ITEMS = "item_id bigint, text string"
+
+
+def words(text):
+    return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain(docs, items, window):
+    out = []
+    for doc_id, text in docs:
+        own, hit, names = words(text), set(), set()
+        for item, sample in items:
+            w = words(sample)
+            for s in range(max(1, len(w) - window + 1)) if w else ():
+                phrase = w[s : s + window]
+                for at in range(len(own) - len(phrase) + 1):
+                    if own[at : at + len(phrase)] == phrase:
+                        hit |= set(range(at, at + len(phrase)))
+                        names.add("" if item is None else str(item))
+        sha = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        out.append((doc_id, len(own), len(hit), len(names), sha, 0 < len(hit) and 20 * len(hit) >= len(own)))
+    return sorted(out, key=str)
+
+
+def run(spark, docs, items, window=13):
+    frame = spark.createDataFrame([(i, t, "clash", 9) for i, t in docs], DOCS)
+    bench = spark.createDataFrame(items, ITEMS)
+    rows = dc.contamination(frame, bench, window)
+    assert rows.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    clean = dc.without_contaminated(frame, bench, window)
+    assert clean.columns == frame.columns
+    found = sorted(map(tuple, rows.collect()), key=str)
+    assert sorted((str(r[0]) for r in found if not r[5])) == sorted(str(r.doc_id) for r in clean.collect())
+    return found
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_texts(spark, seed):
+    rng = random.Random(seed)
+    letters = [f"w{i}" for i in range(12)] + ["Été", "x9"]
+    text = lambda n: rng.choice([" ", ", ", "\n"]).join(rng.choices(letters, [60, 30] + [2] * 12, k=n))
+    docs = [(i, text(rng.randrange(60))) for i in range(40)]
+    items = [(i % 7, text(rng.randrange(9))) for i in range(12)]
+    assert run(spark, docs, items, 4) == plain(docs, items, 4)
+
+
+def test_cases(spark):
+    phrase = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    long_text = "filler word " * 60_000 + phrase
+    docs = [
+        (1, None), (2, ""), (3, "  ..."), (4, phrase.upper()), (4, phrase.upper()), (5, phrase + " " + phrase), (6, phrase[:-2]),
+        (7, long_text), (None, "xi " + phrase), (8, "one"), (9, "ONE-two one"), (10, "Ä ä"),
+    ]
+    items = [(1, phrase + " xi omicron"), (1, phrase), (None, "one two"), (2, None), (3, "--"), (10, "ä"), (9, phrase)]
+    assert run(spark, docs, items) == plain(docs, items, 13)
+
+
+def test_empty_tables(spark):
+    some = [(1, "a b c")]
+    assert run(spark, [], some) == []
+    assert run(spark, some, []) == plain(some, [], 13)
+
+
+def test_proximity(spark):
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choices("abcdefgh", [20, 10, 5, 1, 1, 1, 1, 1], k=80))) for i in range(25)]
+    phrases = [["d", "e", "a"], ["f", "f", "b"], ["g"], ["h", "a"], ["d", "zz"]]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    table = spark.createDataFrame([(bytes([i]), p) for i, p in enumerate(phrases)], "phrase binary, terms array<string>")
+    index = dc.build_index(frame, table, "doc_id", "text", Scratch(spark, "test"))
+    keys = {bytes(r.key): r.doc_id for r in frame.select("doc_id", dc._key("doc_id", "text").alias("key")).collect()}
+    found = {(keys[bytes(r.key)], r.phrase[0], r.start) for r in dc.proximity_matches(index, 6).collect()}
+    expected = set()
+    for i, text in docs:
+        own = text.split()
+        for k, terms in enumerate(phrases):
+            for s in range(len(own)):
+                near = own[s : s + 6]
+                if own[s] in terms and all(near.count(t) >= terms.count(t) for t in terms):
+                    expected.add((i, k, s))
+    assert found == expected

@@ -1,0 +1,51 @@
+"""Language identification: held-out accuracy, what is learnt from, defined results for odd rows."""
+
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from solvetrail.llm import language
+
+SCHEMA = "doc_id bigint, text string, lang string, score string"
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows = language.predictions(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert all(0 <= r.score <= 1 for r in rows)
+    unseen = [r for r in rows if r.held_out]
+    assert len(unseen) > 100
+    assert sum(r.lang == r.lang_pred for r in unseen) / len(unseen) > 0.98
+
+
+def test_labels_of_held_out_rows_have_no_say(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    other = docs.withColumn("lang", F.when(language.held_out(F.col("doc_id")), F.lit("zz")).otherwise(F.col("lang")))
+    assert sorted(language.predictions(docs).collect()) == sorted(language.predictions(other).collect())
+
+
+def test_kernel_is_presence_over_lengths():
+    grams = [np.unique(language.gram_codes(t)) for t in ("abc", "abd", "xyz")]
+    fitted = language.fitted(grams, ["a", "a", "b"])
+    kernel = fitted.presence(["abc", "xyz", "?!"]) @ fitted.landmarks.T
+    shared = len(np.intersect1d(grams[0], grams[1]))
+    assert np.isclose(kernel[0, 0], 1) and np.isclose(kernel[0, 1], shared / len(grams[0]))
+    assert fitted.classify(["abcab", "zxyz", None, "12"])[0] == ["a", "b", "und", "und"]
+
+
+def test_odd_rows(spark):
+    rows = [(i, w * (1 + i % 3), lang, "") for i in range(60) for w, lang in [("the house and ", "en"), ("das haus und ", "de")]]
+    rows += [(None, "the house", "en", ""), (1000, None, "en", ""), (1001, "", None, ""), (1002, "12 %", "de", ""), (1003, "the house", None, "")]
+    rows += [(1004, "das haus und " * 50_000, "xx", ""), (1005, "日本", None, "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = {r.doc_id: r for r in language.predictions(docs).collect()}
+    assert found[None].lang_pred == "en" and found[None].held_out is False
+    assert [(found[i].lang_pred, found[i].score) for i in (1000, 1001, 1002)] == [("und", 0.0)] * 3
+    assert found[1003].lang_pred == "en" and found[1004].lang_pred in ("de", "xx") and found[1005].lang_pred in ("de", "en", "xx")
+    kept = language.identified(docs)
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 3
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {(r.lang_pred, r.score) for r in language.predictions(unlabelled).collect()} == {("und", 0.0)}
+    assert language.predictions(docs.limit(0)).collect() == []
