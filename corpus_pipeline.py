@@ -4,16 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solvetrail.llm import exact
+from solvetrail.llm import decontaminate, exact, language, mixing, simhash
 from solvetrail.llm.scratch import Scratch
 
+# Documents whose best language scores less share next to nothing with any learnt language. Short texts
+# of a learnt language score from 0.4 on, most others near 1.
+LEAST_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents without a letter, or in no language that the labelled ones teach, go."""
+    return language.identified(docs, LEAST_SCORE)
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return exact.without_copies(docs).select(*docs.columns)
+    return exact.without_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.one_per_group(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents with too much of the benchmark go."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The documents that the mix takes, with how often: mix_size, mix_target, mix_times."""
+    return mixing.mixed_documents(docs)
 
 
-STAGES = [("exact dedup", exact_dedup)]
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", exact_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminated),
+    ("mixing sources to target weights", mix),
+]
 
 # SQL has no trained classifier, no XXH64 and no balanced sampling.
 ORACLE_SQL = None
@@ -23,6 +53,8 @@ def run(spark: SparkSession, folder: str) -> DataFrame:
     """All stages over `documents`, each written and read again before the next."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    for place, (name, stage) in enumerate(STAGES):
-        docs = scratch.keep(stage(spark, docs, folder), f"{place}-{name.replace(' ', '-')}")
+    for place, (_, stage) in enumerate(STAGES):
+        docs = scratch.keep(stage(spark, docs, folder), f"stage-{place}")
+        if place:
+            scratch.drop(f"stage-{place - 1}")
     return docs

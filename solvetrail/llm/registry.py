@@ -99,7 +99,7 @@ FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 
 OP9_SQL = r"""
 WITH d AS (
-    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), windows AS (
     SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM d, unnest(range(1, len(w) - 33)) AS t(i)
 ), shared AS (

@@ -303,7 +303,7 @@ def duplicate_spans(docs: DataFrame, length: int, gram: int, id_col: str, text_c
 def _kept(text: str, spans: list | None) -> tuple[int, int, bytes]:
     """Number of words, number removed, and the words that stay, joined by spaces."""
     words = text.encode("utf-8", "surrogatepass").split()
-    if not spans:
+    if spans is None or not len(spans):
         return len(words), 0, b" ".join(words)
     depth = np.zeros(len(words) + 1, np.int64)
     np.add.at(depth, [s["start"] for s in spans], 1)
@@ -338,7 +338,7 @@ def _judged_documents(docs, length, gram, id_col, text_col, hashed: bool) -> Dat
 
     @F.pandas_udf(f"n_words long, n_removed long, {name} string")
     def kept(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = [_kept(t, s if s is not None and len(s) else None) for t, s in zip(texts, spans, strict=True)]
+        rows = [_kept(t, s) for t, s in zip(texts, spans, strict=True)]
         last = [hashlib.sha256(k).hexdigest() if hashed else k.decode("utf-8", "surrogatepass") for _, _, k in rows]
         return pd.DataFrame({"n_words": [r[0] for r in rows], "n_removed": [r[1] for r in rows], name: last})
 
