@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +50,8 @@ def month_key(date: Column) -> Column:
 
 def weekday_name(date: Column) -> Column:
     return F.date_format(date, "EEEE")
+
+
+def utc(moment: dt.datetime) -> dt.datetime:
+    """A moment without zone is one in UTC, whatever the zone of the machine."""
+    return moment.replace(tzinfo=dt.timezone.utc) if moment.tzinfo is None else moment

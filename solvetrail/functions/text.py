@@ -54,8 +54,8 @@ def whole_number(text: Column, default: int | None = None) -> Column:
 
 
 def truth(value: Column) -> Column:
-    """A flag; missing means false."""
-    return F.coalesce(value.cast("boolean"), F.lit(False))
+    """A flag; missing, and what is no flag, means false."""
+    return F.coalesce(value.try_cast("boolean"), F.lit(False))
 
 
 def join_list(items: Column) -> Column:

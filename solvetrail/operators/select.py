@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import warnings
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,9 @@ def first_n(submissions: DataFrame, n: int | None) -> DataFrame:
     """
     if n is None:
         return submissions
+    cut = submissions.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    if n > int(cut):
+        warnings.warn(f"map tasks send all rows: set spark.sql.optimizer.windowGroupLimitThreshold to {n}", stacklevel=2)
     order = (F.col("seq"), F.col("title_slug"))
     by_lane = Window.partitionBy("user_id", "lane").orderBy(*order)
     by_user = Window.partitionBy("user_id").orderBy(*order)

@@ -7,19 +7,15 @@ from pyspark.sql import functions as F
 
 from solvetrail.functions.dates import month_start
 from solvetrail.functions.levels import counts_by_level, score, share
-from solvetrail.sources.mapping import Mapping, categories
+from solvetrail.sources.mapping import Mapping, with_categories
 
 
 def topic_totals(rows: DataFrame, mapping: Mapping | None = None) -> DataFrame:
     """Per topic: rows, rows by level and the latest date. Without a mapping a topic an
     item names twice counts twice; with one, an item counts once per category."""
     return (
-        rows.select(
-            "user_id",
-            "difficulty",
-            "date_solved",
-            F.explode(categories(F.col("topics"), mapping)).alias("topic"),
-        )
+        with_categories(rows.select("user_id", "difficulty", "date_solved", "topics"), mapping)
+        .select("user_id", "difficulty", "date_solved", F.explode("categories").alias("topic"))
         .groupBy("user_id", "topic")
         .agg(
             F.count("*").alias("total"),

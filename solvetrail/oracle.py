@@ -79,12 +79,12 @@ topic_rows AS (SELECT user_id, title_slug, difficulty, date_solved, unnest(topic
 
 
 
-def _mapping(entries: Mapping) -> str:
-    """The mapping as a table, and the categories of the items' topics under it."""
+def _mapping(entries: Mapping, names: str = "SELECT DISTINCT unnest(topics) AS topic FROM items") -> str:
+    """The mapping as a table, and the categories of the topics in `names` under it."""
     listed = ", ".join(f"({i}, '{name}', '{category}')" for i, (name, category) in enumerate(entries))
     return f"""
 mapping(ord, name, category) AS (VALUES {listed}),
-names AS (SELECT DISTINCT unnest(topics) AS topic FROM items),
+names AS ({names}),
 hits AS (
   SELECT topic, arg_min(category, ord) AS category FROM names, mapping
   WHERE contains(lower(topic), lower(name)) OR contains(lower(name), lower(topic)) GROUP BY topic),
@@ -95,6 +95,12 @@ topic_map AS (
   FROM names n LEFT JOIN mapping m ON m.name = n.topic LEFT JOIN hits h ON h.topic = n.topic)"""
 
 
+_STANDARD_NAMES = f"""
+SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN one WHEN 1 THEN 'basic ' || upper(one) WHEN 2 THEN substr(one, 2, 4)
+       WHEN 3 THEN one || ' and ' || lower(other) ELSE p_name END AS topic
+FROM (SELECT p_partkey, p_name, names[p_partkey % len(names) + 1] AS one, names[(p_partkey + 7) % len(names) + 1] AS other
+      FROM part, (SELECT [{", ".join(f"'{name}'" for name, _ in STANDARD)}] AS names))"""
+
 _MAPPING = _mapping(samples.MAPPING)
 
 _MAPPED_ROWS = """
@@ -231,8 +237,6 @@ _MERGED = (_SUBS, _ITEMS, _FIRST, _SOLVED, _STORED_THEN_NEW)
 def statements() -> dict[str, str]:
     ev, ln = _with(*_EVENTS), _with(*_LINES)
     shorts = _base(_LIMITED.format(limit=20))
-    limited = _base(_LIMITED.format(limit=2000))
-    limited_lines = _base(_LIMITED.format(limit=2000), _LINE_SUBS)
     return {
         "s1_submissions": f"""{_with(_SUBS)}
 SELECT user_id, seq, title, title_slug, CAST(CAST(floor(epoch(solved_at)) AS BIGINT) AS VARCHAR) AS timestamp,
@@ -291,14 +295,14 @@ FROM subs s LEFT JOIN (SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n F
   ON d.user_id = s.user_id AND d.date = CAST(s.solved_at AS DATE)
 WHERE s.ok""",
         "j3_j4_topic_map": f"{_with(_ITEMS, _MAPPING)} SELECT topic, category, match_kind FROM topic_map",
-        "s10_standard_mapping": f"""{_with(_ITEMS, _mapping(STANDARD))}
+        "s10_standard_mapping": f"""{_with(_mapping(STANDARD, _STANDARD_NAMES))}
 SELECT topic, category, match_kind FROM topic_map""",
         "u2_item_categories": f"""{_with(_ITEMS, _MAPPING)}
 SELECT DISTINCT i.title_slug, m.category
 FROM (SELECT title_slug, unnest(topics) AS topic FROM items) i JOIN topic_map m ON m.topic = i.topic""",
-        "e1_solved": _solved_sql("solved", *limited),
+        "e1_solved": _solved_sql("solved", *_EVENTS),
         "e1_solved_short": _solved_sql("solved", *shorts),
-        "e1_solved_lines": _solved_sql("solved", *limited_lines),
+        "e1_solved_lines": _solved_sql("solved", *_LINES),
         "e2_validated": _solved_sql("clean", *_EVENTS),
         "a1_topics": _with(*_EVENTS, _TOPIC_ROWS) + _TOTALS,
         "a1_topics_mapped": _with(*_EVENTS, _MAPPING, _MAPPED_ROWS) + _TOTALS,
@@ -362,13 +366,13 @@ FROM clean WHERE date_solved IS NOT NULL""",
         "x2_attempts": f"{_with(_SUBS)} SELECT user_id, title_slug, count(*) AS attempts FROM subs GROUP BY ALL",
         "x3_changes": f"""{_with(_SUBS, _ITEMS)},
 a AS (SELECT s.user_id, s.title_slug, CAST(solved_at AS DATE) AS d, language, difficulty
-      FROM subs s JOIN items i ON i.title_slug = s.title_slug WHERE ok AND solved_at < TIMESTAMP '2024-01-20'
+      FROM subs s JOIN items i ON i.title_slug = s.title_slug WHERE ok AND -seq < epoch_us(TIMESTAMP '2024-01-20')
       QUALIFY row_number() OVER (PARTITION BY s.user_id, s.title_slug ORDER BY s.seq) = 1),
 b AS (SELECT s.user_id, s.title_slug, CAST(solved_at AS DATE) AS d, language, difficulty
-      FROM subs s JOIN items i ON i.title_slug = s.title_slug WHERE ok AND solved_at >= TIMESTAMP '2024-01-06'
+      FROM subs s JOIN items i ON i.title_slug = s.title_slug WHERE ok AND -seq >= epoch_us(TIMESTAMP '2024-01-06')
       QUALIFY row_number() OVER (PARTITION BY s.user_id, s.title_slug ORDER BY s.seq) = 1)
 SELECT CASE WHEN a.user_id IS NULL THEN 'new' WHEN b.user_id IS NULL THEN 'missing'
-            WHEN a.d = b.d AND a.language = b.language AND a.difficulty = b.difficulty THEN 'unchanged'
+            WHEN a.d IS NOT DISTINCT FROM b.d AND a.language = b.language AND a.difficulty = b.difficulty THEN 'unchanged'
             ELSE 'updated' END AS change, count(*) AS n
 FROM a FULL JOIN b ON a.user_id = b.user_id AND a.title_slug = b.title_slug GROUP BY 1""",
         "x4_hours": f"""{_with(_SUBS, _FIRST)}
@@ -390,16 +394,16 @@ WHERE date_solved IS NULL OR date_solved >= DATE '2024-01-20'""",
         "u1_appended": f"""{ev}
 SELECT user_id, title, CASE WHEN date_solved < DATE '2024-01-20' THEN NULL ELSE title_slug END AS title_slug,
        CASE WHEN date_solved < DATE '2024-01-20' THEN NULL ELSE language END AS language, date_solved FROM clean""",
-        "e8_full_refresh": _with(*limited) + _PROBLEMS,
-        "s6_analytics_written": f"""{_with(*limited, _MAPPING, _MAPPED_ROWS)}
+        "e8_full_refresh": _with(*_EVENTS) + _PROBLEMS,
+        "s6_analytics_written": f"""{_with(*_EVENTS, _MAPPING, _MAPPED_ROWS)}
 SELECT *, 1.0::DOUBLE AS percentage FROM ({_TOTALS})""",
-        "s7_progress_written": _with(*limited, _DAYS) + _PROGRESS,
+        "s7_progress_written": _with(*_EVENTS, _DAYS) + _PROGRESS,
         "e9_incremental": f"{_with(*_MERGED)} SELECT user_id, title, date_solved FROM clean",
         "e9_incremental_analytics": _with(*_MERGED, _TOPIC_ROWS) + _TOTALS,
         "e9_incremental_progress": _with(*_MERGED, _DAYS) + _PROGRESS,
-        "e10_cleanup": f"""{_with(*limited)}
+        "e10_cleanup": f"""{_with(*_EVENTS)}
 SELECT user_id, title, date_solved FROM clean WHERE date_solved >= DATE '2024-01-21'""",
-        "e11_e12_backup_restore": f"{_with(*limited)} SELECT user_id, title, date_solved, problem_id FROM clean",
+        "e11_e12_backup_restore": f"{_with(*_EVENTS)} SELECT user_id, title, date_solved, problem_id FROM clean",
         "a10_run_stats": f"""{_with(*_MERGED)}
 SELECT (SELECT count(*) FROM merged) AS total_problems,
        (SELECT count(*) FROM merged) - (SELECT count(*) FROM stored) AS new_problems,
@@ -409,11 +413,8 @@ landed AS (
   SELECT *, CASE WHEN -seq < epoch_us(TIMESTAMP '2024-01-11') THEN 1
                  WHEN -seq < epoch_us(TIMESTAMP '2024-01-21') THEN 2 ELSE 3 END AS landing
   FROM subs),
-limited AS (
-  SELECT * FROM landed
-  QUALIFY row_number() OVER (PARTITION BY user_id, landing ORDER BY seq, title_slug) <= 2000),
 known AS (
-  SELECT * FROM limited WHERE ok
+  SELECT * FROM landed WHERE ok
   QUALIFY row_number() OVER (PARTITION BY user_id, title_slug ORDER BY landing, seq) = 1)
 SELECT k.user_id, i.title, CAST(k.solved_at AS DATE) AS date_solved
 FROM known k JOIN items i ON i.title_slug = k.title_slug""",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from solvetrail.functions.text import join_list, split_list
 from solvetrail.operators import daily, select, topics
-from solvetrail.plans.solved import SOLVED_LIMIT, solved, validated
+from solvetrail.plans.solved import solved, validated
 from solvetrail.sources import backup as backups
 from solvetrail.sources.items import catalogue
 from solvetrail.sources.mapping import Mapping
@@ -51,7 +51,7 @@ class Run:
 
 
 def full_refresh(
-    run: Run, submissions: DataFrame, items: DataFrame, limit: int | None = SOLVED_LIMIT
+    run: Run, submissions: DataFrame, items: DataFrame, limit: int | None = None
 ) -> Outcome:
     """Rebuild the three tables from the landed rows."""
     fetched = solved(submissions, catalogue(items), limit)
@@ -65,7 +65,7 @@ def full_refresh(
 
 
 def incremental_refresh(
-    run: Run, submissions: DataFrame, items: DataFrame, limit: int | None = SOLVED_LIMIT
+    run: Run, submissions: DataFrame, items: DataFrame, limit: int | None = None
 ) -> Outcome:
     """Add the items whose titles are not in the Problems table yet.
 

@@ -10,19 +10,15 @@ from solvetrail.functions.levels import level
 from solvetrail.functions.text import clean_list, number, number_with_unit, strip, truth, whole_number
 from solvetrail.operators import select
 
-# How many submissions a run asks for per user, alone and for the solved set.
-SUBMISSION_LIMIT = 10_000
-SOLVED_LIMIT = 2_000
 
-
-def accepted_submissions(submissions: DataFrame, limit: int | None = SUBMISSION_LIMIT) -> DataFrame:
-    """A user's accepted submissions among the first `limit`, with their date."""
+def accepted_submissions(submissions: DataFrame, limit: int | None = None) -> DataFrame:
+    """A user's accepted submissions with their date; with a limit, those among the first `limit`."""
     rows = select.accepted(select.first_n(submissions, limit))
     return rows.withColumn("date_solved", epoch_date(F.col("timestamp")))
 
 
-def solved(submissions: DataFrame, catalogue: DataFrame, limit: int | None = SOLVED_LIMIT) -> DataFrame:
-    """The solved set; `limit=None` takes every submission into account."""
+def solved(submissions: DataFrame, catalogue: DataFrame, limit: int | None = None) -> DataFrame:
+    """The solved set; with a limit, of each user's first `limit` submissions of any status."""
     rows = select.with_slug(select.accepted(select.first_n(submissions, limit)))
     first = select.first_per_item(
         rows.select("user_id", "title_slug", "seq", "timestamp", "language", "runtime", "memory")

@@ -12,7 +12,7 @@ from solvetrail.functions import dates, levels
 from solvetrail.functions.text import join_list, number_with_unit
 from solvetrail.operators import changes, daily, difficulty, patterns, select, streaks, topics
 from solvetrail.plans import analytics, jobs
-from solvetrail.plans.solved import SOLVED_LIMIT, accepted_submissions, solved, validated
+from solvetrail.plans.solved import accepted_submissions, solved, validated
 from solvetrail.session import shared_folder, tune
 from solvetrail.sources import items as item_source
 from solvetrail.sources import mapping as topic_mapping
@@ -235,15 +235,15 @@ def j3_j4_topic_map(spark, folder):
 
 @query
 def s10_standard_mapping(spark, folder):
-    names = _catalogue(spark, folder).select(F.explode("topics").alias("topic")).distinct()
-    return topic_mapping.match_kinds(names, topic_mapping.STANDARD)
+    """Names that are in the mapping, that contain or are contained in one or several, and that are not."""
+    return topic_mapping.match_kinds(samples.topic_names(spark, folder), topic_mapping.STANDARD)
 
 
 @query
 def u2_item_categories(spark, folder):
-    mapped = topic_mapping.categories(F.col("topics"), samples.MAPPING)
-    rows = _catalogue(spark, folder)
-    return rows.select("title_slug", F.explode(mapped).alias("category"))
+    rows = _catalogue(spark, folder).select("title_slug", "topics")
+    mapped = topic_mapping.with_categories(rows, samples.MAPPING)
+    return mapped.select("title_slug", F.explode("categories").alias("category"))
 
 
 # The solved set and its clean form
@@ -251,7 +251,7 @@ def u2_item_categories(spark, folder):
 
 @query
 def e1_solved(spark, folder):
-    return _solved_columns(_solved(spark, folder, SOLVED_LIMIT))
+    return _solved_columns(_solved(spark, folder))
 
 
 @query
@@ -263,7 +263,7 @@ def e1_solved_short(spark, folder):
 @query
 def e1_solved_lines(spark, folder):
     lines = samples.submissions_from_lines(spark, folder)
-    return _solved_columns(solved(lines, _catalogue(spark, folder), SOLVED_LIMIT))
+    return _solved_columns(solved(lines, _catalogue(spark, folder)))
 
 
 @query
@@ -422,12 +422,12 @@ def x2_attempts(spark, folder):
 
 @query
 def x3_changes(spark, folder):
-    """The solved set as of the split date against the one of the later submissions."""
+    """The solved set as of the split date against the one of the later submissions, undated ones too."""
     landed = samples.submissions(spark, folder)
-    date = dates.epoch_date(F.col("timestamp"))
+    happened = F.date_from_unix_date(F.floor(-F.col("seq") / F.lit(86_400_000_000)).cast("int"))
     catalogue = _catalogue(spark, folder)
-    old = solved(landed.filter(date < F.lit(SPLIT_DATE)), catalogue, None)
-    new = solved(landed.filter(date >= F.lit(samples.AS_OF - dt.timedelta(days=25))), catalogue, None)
+    old = solved(landed.filter(happened < F.lit(SPLIT_DATE)), catalogue)
+    new = solved(landed.filter(happened >= F.lit(samples.AS_OF - dt.timedelta(days=25))), catalogue)
     return changes.change_counts(old, new, ["difficulty", "date_solved", "language"])
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
-# The largest per-user limit in use. Up to this value Spark cuts every map task's rows
-# down to the limit before the shuffle of a row_number filter.
+# Up to this value Spark cuts every map task's rows down to the limit before the shuffle of a
+# row_number filter. A larger per-user limit needs a larger value; `first_n` warns then.
 GROUP_LIMIT = 10_000
 
 SETTINGS = {
@@ -44,19 +42,15 @@ def local_session(cores: str = "*", memory: str = "8g") -> SparkSession:
     return tune(spark)
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="solvetrail-")
-
-
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path for one run's tables below the cluster's checkpoint folder.
+    """A fresh path for one run's tables on storage that driver and executors share.
 
-    Only a local session without that setting falls back to a temporary folder.
+    It lies below spark.checkpoint.dir, or below the warehouse where that is unset, and is
+    deleted when the session's JVM ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = _local_folder()
-    return f"{base.rstrip('/')}/solvetrail/{purpose}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/solvetrail/{purpose}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path

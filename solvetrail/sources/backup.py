@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvetrail import schemas
+from solvetrail.functions.dates import utc
 from solvetrail.sources.tables import Counters
 
 MANIFEST = (
@@ -27,7 +28,7 @@ def write_backup(records: DataFrame, path: str, counters: Counters, backup_ts: d
         counters.updated_problems,
         counters.errors,
     )
-    manifest = spark.createDataFrame([(backup_ts, count, stats)], MANIFEST)
+    manifest = spark.createDataFrame([(utc(backup_ts), count, stats)], MANIFEST)
     manifest.coalesce(1).write.json(f"{path}/manifest")
     return count
 

@@ -11,6 +11,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from solvetrail.sources.mapping import STANDARD
+
 AS_OF = dt.date(2024, 1, 31)
 
 # The mapping for the words of the test items.
@@ -115,6 +117,21 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def topic_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct names made of the standard mapping's and the parts' words, each kind from a fifth of the parts."""
+    names = F.array(*(F.lit(name) for name, _ in STANDARD))
+    key, n = F.col("p_partkey"), len(STANDARD)
+    one, other = (F.element_at(names, ((key + shift) % n + 1).cast("int")) for shift in (0, 7))
+    made = (
+        F.when(key % 5 == 0, one)
+        .when(key % 5 == 1, F.concat(F.lit("basic "), F.upper(one)))
+        .when(key % 5 == 2, F.substring(one, 2, 4))
+        .when(key % 5 == 3, F.concat(one, F.lit(" and "), F.lower(other)))
+        .otherwise(F.col("p_name"))
+    )
+    return table(spark, folder, "part").select(made.alias("topic")).distinct()
+
+
 def calendars(spark: SparkSession, folder: str) -> DataFrame:
     """Per user one JSON map from the second of midnight to the events of that day.
 

@@ -2,23 +2,27 @@
 
 A run writes new folders and then one commit record that lists the folders each table
 consists of. Readers follow the latest record, so a table that is being read is never
-overwritten and a run that dies half way leaves no trace in what readers see. A folder
-of tables has one writer at a time.
+overwritten and a run that dies half way leaves no trace in what readers see. Of two runs
+that started from the same commit the second to end fails: a commit's file is named by its
+number and is never overwritten.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, fields
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from solvetrail import schemas
+from solvetrail.functions.dates import utc
 from solvetrail.functions.text import join_list, split_list
 from solvetrail.operators.select import with_title
 
@@ -40,7 +44,7 @@ def problem_rows(rows: DataFrame, run_ts: dt.datetime) -> DataFrame:
         F.coalesce("attempts", F.lit(1)).cast("bigint").alias("attempts"),
         F.coalesce("status", F.lit("Solved")).alias("status"),
         F.coalesce("problem_id", F.lit("")).alias("problem_id"),
-        F.lit(run_ts).alias("last_updated"),
+        F.lit(utc(run_ts)).alias("last_updated"),
     )
 
 
@@ -70,7 +74,7 @@ def progress_rows(progress: DataFrame, run_ts: dt.datetime) -> DataFrame:
         "monthly_count",
         "streak",
         "total_solved",
-        F.lit(run_ts).alias("last_updated"),
+        F.lit(utc(run_ts)).alias("last_updated"),
     )
 
 
@@ -199,8 +203,22 @@ class Store:
             frame.write.parquet(f"{self.base}/{name}/{folder}")
             kept = list(base.last[name]) if base and name in append else []
             paths[name] = [*kept, f"{name}/{folder}"]
-        record = Row(
-            run_id=run_id, run_ts=run_ts, job=job, mapping=mapping, **asdict(counters), **paths
-        )
-        log = self.spark.createDataFrame([record], COMMITS).coalesce(1)
-        log.write.json(f"{self.base}/commits/{folder}")
+        moment = utc(run_ts).astimezone(dt.timezone.utc).isoformat(timespec="microseconds")
+        record = {"run_id": run_id, "run_ts": moment, "job": job, "mapping": mapping, **asdict(counters), **paths}
+        self._claim(f"{self.base}/commits/{run_id:09d}.json", json.dumps(record))
+
+    def _claim(self, path: str, text: str) -> None:
+        """Create a small file; one that is there already makes this fail."""
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        system = target.getFileSystem(context._jsc.hadoopConfiguration())
+        try:
+            out = system.create(target, False)
+        except Py4JJavaError as failure:
+            if "FileAlreadyExists" not in str(failure.java_exception):
+                raise
+            raise FileExistsError(f"another run has committed {path} meanwhile") from failure
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()

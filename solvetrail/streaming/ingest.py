@@ -7,7 +7,6 @@ from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from solvetrail import schemas
 from solvetrail.plans.jobs import Run, incremental_refresh
-from solvetrail.plans.solved import SOLVED_LIMIT
 from solvetrail.sources import submissions
 
 
@@ -32,7 +31,7 @@ def start_ingest(
     landed: DataFrame,
     items: DataFrame,
     checkpoint: str,
-    limit: int | None = SOLVED_LIMIT,
+    limit: int | None = None,
 ) -> StreamingQuery:
     """Start a run over what is new in the stream `landed`; it ends when that is done.
 

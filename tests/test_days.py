@@ -66,30 +66,32 @@ def test_day_rule(spark, days, as_of, expected):
     assert pair(spark, days, as_of, "day") == expected
 
 
-def walked(days, as_of):
-    """The row rule, one row after the other."""
-    run = longest = current = 0
-    last = None
-    for d in sorted(days):
-        run = run + 1 if last is not None and d - last == 1 else 1
-        last = d
-        longest = max(longest, run)
-        if as_of - d <= 1:
-            current = run
-    return current, longest
-
-
-def test_row_rule_against_a_row_walk(spark):
+def runs(days):
+    """The row rule's runs as (first place, last place) in the ordered days: cut wherever two
+    neighbours are not exactly one day apart."""
+    ordered = sorted(days)
+    cuts = [i for i in range(1, len(ordered)) if ordered[i] - ordered[i - 1] != 1]
+    return ordered, list(zip([0, *cuts], [c - 1 for c in cuts] + [len(ordered) - 1], strict=True))
+
+
+def expected_streaks(days, as_of):
+    ordered, found = runs(days)
+    longest = max(b - a + 1 for a, b in found)
+    a, b = found[-1]
+    return (b - a + 1 if ordered[b] >= as_of - 1 else 0), longest
+
+
+def test_row_rule_against_listed_runs(spark):
     random.seed(11)
     users = {u: [random.randint(1, 25) for _ in range(random.randint(1, 30))] for u in range(300)}
     rows = [(u, "Easy", [], d) for u, ds in users.items() for d in ds]
     days = daily.day_counts(problems(spark, rows))
     found = {r["user_id"]: (r["current_streak"], r["longest_streak"])
              for r in streaks.streaks(days, day(24)).collect()}
-    assert found == {u: walked(ds, 24) for u, ds in users.items()}
+    assert found == {u: expected_streaks(ds, 24) for u, ds in users.items()}
     running = streaks.running_streaks(days)
     longest = running.groupBy("user_id").max("streak").collect()
-    assert {r[0]: r[1] for r in longest} == {u: walked(ds, 24)[1] for u, ds in users.items()}
+    assert {r[0]: r[1] for r in longest} == {u: expected_streaks(ds, 24)[1] for u, ds in users.items()}
 
 
 def test_unknown_rule(spark):

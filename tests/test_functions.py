@@ -29,20 +29,22 @@ def test_number_with_unit(spark, cell, number):
     assert apply(spark, text.number_with_unit, [cell]) == [number]
 
 
-def cut(cell):
-    """The number rule spelled out with plain string methods."""
-    rest = cell.strip().rstrip("%").rstrip("ms").rstrip("MB").strip()
-    try:
-        return float(rest)
-    except ValueError:
-        return 0.0
-
-
 def test_number_with_unit_on_all_short_texts(spark):
-    import itertools
-
-    cells = ["".join(p) for n in range(5) for p in itertools.product("1. m%Bs", repeat=n)]
-    assert apply(spark, text.number_with_unit, cells) == [cut(c) for c in cells]
+    """By the definition: a number in blanks, then units of at most one run of each kind in that order."""
+    plain = [("", None), ("1", 1.0), ("1.", 1.0), (".1", 0.1), ("11", 11.0), ("1.1", 1.1), (".", None)]
+    units = ["", "m", "s", "B", "M", "%", "ms", "sm", "Bm", "Ms", "%%", "m%", "B%"]
+    wrong = ["%m", "mB", "%B", "sM"]
+    cells = {f"{a}{n}{b}{u}{c}": value for n, value in plain for u in units + wrong for a in ("", " ") for b in ("", " ") for c in ("", " ")
+             if value is None or u not in wrong}
+    bad = [f"1{u}" for u in wrong] + ["1 1", "1.1.", "m1", "%"]
+    names = [*cells, *bad]
+    expected = [0.0 if cells[c] is None else cells[c] for c in cells] + [0.0] * len(bad)
+    assert apply(spark, text.number_with_unit, names) == expected
+
+
+def test_truth(spark):
+    assert apply(spark, text.truth, ["true", "abc", None, "", "0", "yes"]) == [True, False, False, False, False, True]
+    assert apply(spark, text.truth, [True, None, False], "boolean") == [True, False, False]
 
 
 def test_written_date(spark):

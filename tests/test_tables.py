@@ -3,7 +3,8 @@
 import datetime as dt
 import json
 import os
-from types import SimpleNamespace
+import subprocess
+import sys
 
 import pytest
 from helpers import day, problems, values
@@ -353,18 +354,15 @@ def test_stream_of_pages(spark):
     assert values(run.store.records(), "title", "date_solved") == [("Title 1", day(1)), ("Title 2", day(2))]
 
 
-def session(checkpoint, master):
-    """Stands in for a session with these settings."""
-    conf = SimpleNamespace(get=lambda key, default: checkpoint)
-    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
-
-
-def test_shared_folder_follows_the_session():
-    assert shared_folder(session("hdfs://x/y/", "yarn"), "p").startswith("hdfs://x/y/solvetrail/p-")
-    local = shared_folder(session(None, "local[2]"), "p")
-    assert os.path.isdir(local.split("/solvetrail/")[0])
-    with pytest.raises(ValueError):
-        shared_folder(session(None, "yarn"), "p")
+def test_shared_folder_follows_the_session(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"{tmp_path}/")
+    try:
+        assert shared_folder(spark, "p").startswith(f"{tmp_path}/solvetrail/p-")
+    finally:
+        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    if before is None:
+        assert shared_folder(spark, "p").startswith(spark.conf.get("spark.sql.warehouse.dir"))
 
 
 def test_problem_rows_fill_in_defaults(spark):
@@ -373,3 +371,62 @@ def test_problem_rows_fill_in_defaults(spark):
     assert values(tables.problem_rows(rows, TS).drop("last_updated")) == [
         (1, "Item 0", "", "", None, 1, "Solved", ""),
     ]
+
+
+def test_no_submission_is_dropped_however_many_a_user_has(spark):
+    """12,000 submissions of one user, through every job and the stream."""
+    many = [(1, s, s, 1 + s % 28, OK) for s in range(12_000)]
+    frame, items_of = landed(spark, many), metadata(spark, 12_000)
+    run = a_run(spark)
+    assert jobs.full_refresh(run, frame.filter("seq < 6000"), items_of).counters.total_problems == 6000
+    assert jobs.incremental_refresh(run, frame, items_of).counters.new_problems == 6000
+    folder = shared_folder(spark, "test-many")
+    assert jobs.backup(run, folder) == 12_000
+    again = a_run(spark)
+    assert jobs.restore(again, folder).counters.total_problems == 12_000
+    assert jobs.cleanup(again, dt.date(2024, 1, 31), 365).counters.total_problems == 12_000
+    stream = a_run(spark)
+    frame.write.parquet(f"{folder}-landing")
+    ingest(stream, landed_rows(spark, f"{folder}-landing"), items_of, f"{folder}-state")
+    assert stream.store.records().count() == 12_000
+
+
+def test_of_two_writers_on_one_commit_the_second_fails(spark):
+    run = a_run(spark)
+    base = run.store.ensure(TS)
+    frames = {name: base.read(name) for name in TABLES}
+    run.store.commit(base, "one", TS, None, tables.Counters(), frames)
+    with pytest.raises(FileExistsError):
+        run.store.commit(base, "two", TS, None, tables.Counters(), frames)
+    assert run.store.latest().last["job"] == "one"
+
+
+ELSEWHERE = """
+import datetime as dt, sys
+sys.path.insert(0, sys.argv[1])
+from solvetrail.session import local_session
+from solvetrail.sources import backup, tables
+spark = local_session("1", "1g")
+spark.conf.set("spark.checkpoint.dir", sys.argv[2])
+ts = dt.datetime(2024, 1, 31, 6)
+rows = spark.createDataFrame([(1, "a", "Easy", [], None, 1, "Solved", "1")], "user_id bigint, title string, difficulty string, topics array<string>, date_solved date, attempts bigint, status string, problem_id string")
+problems = tables.problem_rows(rows, ts)
+store = tables.Store(spark, sys.argv[2] + "/store")
+store.ensure(ts)
+backup.write_backup(tables.problem_records(problems), sys.argv[2] + "/backup", tables.Counters(), ts)
+shown = [
+    tables.with_headings(problems, "problems").first()["Last Updated"],
+    store.commits().selectExpr("cast(run_ts as string) t").first()["t"],
+    spark.read.schema(backup.MANIFEST).json(sys.argv[2] + "/backup/manifest").selectExpr("cast(backup_timestamp as string) t").first()["t"],
+]
+print("SHOWN", shown == ["2024-01-31 06:00:00"] * 3, shown)
+"""
+
+
+def test_moments_are_utc_on_a_machine_in_another_zone(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run(
+        [sys.executable, "-c", ELSEWHERE, root, str(tmp_path)], env=os.environ | {"TZ": "America/New_York"},
+        capture_output=True, text=True, timeout=300, check=False,
+    )
+    assert "SHOWN True" in done.stdout, done.stdout + done.stderr[-2000:]

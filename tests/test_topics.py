@@ -1,8 +1,7 @@
 import json
+import random
 
-import pytest
 from helpers import day, problems, values
-from pyspark.sql import functions as F
 
 from solvetrail.operators import topics
 from solvetrail.sources import mapping
@@ -12,7 +11,7 @@ SMALL = (("old", "Age"), ("Tree", "Trees"), ("tree house", "Houses"), ("cold fro
 
 def mapped(spark, names, table=SMALL):
     frame = spark.createDataFrame([(names,)], "topics array<string>")
-    return frame.select(mapping.categories(F.col("topics"), table).alias("c")).first()["c"]
+    return sorted(mapping.with_categories(frame, table).first()["categories"] or [])
 
 
 def test_exact_entry_wins_over_an_earlier_partial_one(spark):
@@ -53,9 +52,28 @@ def test_read_mapping_keeps_the_order(spark, tmp_path):
     assert mapping.read_mapping(spark, str(path)) == SMALL
 
 
-def test_a_mapping_is_small():
-    with pytest.raises(ValueError):
-        mapping.checked([(str(i), "x") for i in range(mapping.MOST_ENTRIES + 1)])
+def test_of_a_repeated_name_the_first_entry_counts(spark):
+    assert mapped(spark, ["a", "b"], (("a", "X"), ("a", "Y"), ("b", "Z"))) == ["X", "Z"]
+    assert mapped(spark, ["q", ""], (("zz", "Z"), ("", "All"))) == ["All"]
+
+
+def test_a_mapping_of_any_size(spark):
+    """5,000 entries, with topics found in each way, against the definition."""
+    random.seed(3)
+    word = lambda n: "".join(random.choices("abcd", k=n))
+    table = [(word(random.randint(4, 9)).title(), f"c{i}") for i in range(5000)]
+    names = {word(random.randint(1, 12)) for _ in range(300)} | {name for name, _ in table[::100]} | {"zzz", ""}
+    found = mapping.match_kinds(spark.createDataFrame([(n,) for n in names], "topic string"), table)
+    first = dict(reversed(table))
+
+    def expected(topic):
+        if topic in first:
+            return topic, first[topic], "exact"
+        low = topic.lower()
+        hit = next((c for n, c in table if n.lower() in low or low in n.lower()), None)
+        return (topic, hit, "partial") if hit else (topic, topic, "none")
+
+    assert values(found) == sorted(expected(n) for n in names)
 
 
 ROWS = [
