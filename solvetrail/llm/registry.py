@@ -97,6 +97,51 @@ SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coal
 FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP8_SQL = r"""
+WITH RECURSIVE split AS (
+    SELECT conv_id, turn, role, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS l FROM conversations
+), lines AS (
+    SELECT conv_id, turn, i AS place, l[i] AS line,
+        length(regexp_replace(regexp_extract(l[i], '^((?:[ \t]*>)+)[ \t]?', 1), '[^>]', '', 'g')) AS level,
+        trim(regexp_replace(regexp_replace(l[i], '^((?:[ \t]*>)+)[ \t]?', ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS words
+    FROM split, unnest(range(1, len(l) + 1)) AS t(i)
+), bodies AS (
+    SELECT conv_id, turn, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (level = 0), ''),
+        '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS body
+    FROM lines GROUP BY conv_id, turn
+), steps AS (
+    SELECT *, CASE WHEN words <> '' AND lag(words) OVER w <> '' AND lag(level) OVER w = level THEN 0 ELSE 1 END AS new
+    FROM lines WINDOW w AS (PARTITION BY conv_id, turn ORDER BY place)
+), runs AS (
+    SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY place) AS run FROM steps
+), quotes AS (
+    SELECT conv_id, turn, level, min(place) AS place, string_agg(words, ' ' ORDER BY place) AS words
+    FROM runs WHERE level > 0 AND words <> '' GROUP BY conv_id, turn, level, run
+), originals AS (
+    SELECT DISTINCT conv_id, turn, trim(regexp_replace(part, '[\x20\x09-\x0D]+', ' ', 'g')) AS words
+    FROM (SELECT conv_id, turn, unnest(list_concat([body], list_concat(regexp_split_to_array(body, '\n[ \t]*\n'),
+        string_split(body, chr(10))))) AS part FROM bodies)
+), found AS (
+    SELECT q.conv_id, q.turn, q.level, q.place, max(o.turn) AS source
+    FROM quotes q LEFT JOIN originals o ON o.conv_id = q.conv_id AND o.words = q.words AND o.turn < q.turn AND o.words <> ''
+    GROUP BY ALL
+), ties AS (
+    SELECT conv_id, turn, count(*) AS n_quotes, count(source) AS n_linked,
+        arg_min(source, level * 1000000 + place) FILTER (source IS NOT NULL) AS reply_to
+    FROM found GROUP BY conv_id, turn
+), walk AS (
+    SELECT conv_id, turn, turn AS thread FROM conversations
+    UNION ALL
+    SELECT w.conv_id, w.turn, t.reply_to FROM walk w JOIN ties t ON t.conv_id = w.conv_id AND t.turn = w.thread
+    WHERE t.reply_to IS NOT NULL
+)
+SELECT c.conv_id, c.turn, c.role, b.body AS content, coalesce(t.n_quotes, 0) AS n_quotes,
+    coalesce(t.n_linked, 0) AS n_linked, t.reply_to, w.thread,
+    '<|' || coalesce(c.role, 'user') || '|>' || chr(10) || b.body AS chat
+FROM conversations c JOIN bodies b USING (conv_id, turn) LEFT JOIN ties t USING (conv_id, turn)
+JOIN (SELECT conv_id, turn, min(thread) AS thread FROM walk GROUP BY ALL) w USING (conv_id, turn)
+"""
+
 OP9_SQL = r"""
 WITH d AS (
     SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -145,4 +190,9 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """None for the others: SQL has no trained models, sampling, tokenizers or XXH64."""
-    return {"op2_decontamination": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op9_substring_dedup": OP9_SQL}
+    return {
+        "op2_decontamination": OP2_SQL,
+        "op3_exact_dedup": OP3_SQL,
+        "op8_quotation_linking": OP8_SQL,
+        "op9_substring_dedup": OP9_SQL,
+    }
