@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvetrail.functions.dates import month_start, week_start
+from solvetrail.operators.streaks import running_streaks
 
 
 def day_counts(rows: DataFrame) -> DataFrame:
@@ -30,16 +31,22 @@ def add_day_counts(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("user_id", "date").agg(F.sum("daily_count").alias("daily_count"))
 
 
-def progress(days: DataFrame) -> DataFrame:
-    """Per day: its count, its week's and month's totals, the running total, streak 0.
+def progress(days: DataFrame, streak_rule: str | None = None) -> DataFrame:
+    """Per day: its count, its week's and month's totals, the running total and the streak.
 
+    The streak is 0, or with a rule the length of the run of days that the day's first row is in.
     Ordered by (week, date), which is the order by date, the running total and the week
     totals share one sort.
     """
-    keyed = dated_days(days).select(
+    rows = dated_days(days)
+    streak = F.lit(0).cast("bigint")
+    if streak_rule:
+        rows, streak = running_streaks(rows, streak_rule), F.col("streak")
+    keyed = rows.select(
         "user_id",
         "date",
         "daily_count",
+        streak.alias("streak"),
         week_start(F.col("date")).alias("week"),
         month_start(F.col("date")).alias("month"),
     )
@@ -53,7 +60,7 @@ def progress(days: DataFrame) -> DataFrame:
         F.sum("daily_count").over(week).alias("weekly_count"),
         F.sum("daily_count").over(month).alias("monthly_count"),
         F.sum("daily_count").over(so_far).alias("total_solved"),
-        F.lit(0).cast("bigint").alias("streak"),
+        "streak",
     )
 
 

@@ -375,6 +375,36 @@ SELECT CASE WHEN a.user_id IS NULL THEN 'new' WHEN b.user_id IS NULL THEN 'missi
             WHEN a.d IS NOT DISTINCT FROM b.d AND a.language = b.language AND a.difficulty = b.difficulty THEN 'unchanged'
             ELSE 'updated' END AS change, count(*) AS n
 FROM a FULL JOIN b ON a.user_id = b.user_id AND a.title_slug = b.title_slug GROUP BY 1""",
+        "x1_progress_streaks": f"""{_with(*_EVENTS, _DAYS, _ROW_RUNS)}
+SELECT p.* REPLACE (s.streak AS streak) FROM ({_PROGRESS}) p
+JOIN (SELECT user_id, d AS date, arg_min(len, rn) AS streak FROM runs GROUP BY user_id, d) s USING (user_id, date)""",
+        "x2_solved_attempts": f"""{_with(*_EVENTS)}
+SELECT s.user_id, s.title_slug, s.date_solved, a.attempts
+FROM solved s JOIN (SELECT user_id, title_slug, count(*) AS attempts FROM subs GROUP BY ALL) a USING (user_id, title_slug)""",
+        "e6_metrics": f"""{_with(*_EVENTS, _ROW_RUNS, _streak_sql("2024-01-31"), _HALVES)},
+best AS (
+  SELECT user_id, dayname(date_solved) AS best_day FROM clean WHERE date_solved IS NOT NULL GROUP BY user_id, best_day
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(date_solved)) = 1),
+figures AS (
+  SELECT user_id, round(count(*) FILTER (difficulty = 'Hard') / count(*), 6) AS hard, count(*) AS n_history,
+         count(DISTINCT date_trunc('month', date_solved)) FILTER (difficulty <> 'Unknown') AS n_months
+  FROM clean WHERE date_solved IS NOT NULL GROUP BY user_id)
+SELECT s.*, b.best_day, f.hard, f.n_history, nullif(f.n_months, 0) AS n_months, t.trend
+FROM ({_SUMMARY}) s LEFT JOIN best b USING (user_id) LEFT JOIN figures f USING (user_id)
+LEFT JOIN (SELECT user_id, trend FROM ({_TREND})) t USING (user_id)""",
+        "e7_analytics_bundle": f"""{_with(*_EVENTS, _ROW_RUNS, _streak_sql("2024-01-31"), _MAPPING, _MAPPED_ROWS)}
+SELECT s.*, t.n_topics, t.topic_rows, d.n_days, d.last_total
+FROM ({_SUMMARY}) s
+LEFT JOIN (SELECT user_id, count(DISTINCT topic) AS n_topics, count(*) AS topic_rows FROM topic_rows GROUP BY user_id) t
+  USING (user_id)
+LEFT JOIN (SELECT user_id, count(DISTINCT date_solved) AS n_days, count(*) AS last_total
+           FROM clean WHERE date_solved IS NOT NULL GROUP BY user_id) d USING (user_id)""",
+        "s11_created_empty": f"""{_with(*_EVENTS, _TOPIC_ROWS, _DAYS)}
+SELECT 'problems' AS name, 0::BIGINT AS created, count(*) AS filled FROM clean
+UNION ALL SELECT 'analytics', 0, count(*) FROM (SELECT DISTINCT user_id, topic FROM topic_rows)
+UNION ALL SELECT 'progress', 0, count(*) FROM days""",
+        "a11_backup_manifest": f"""{ev}
+SELECT count(*) AS problems_count, count(*) AS total_problems, count(*) AS new_problems FROM clean""",
         "x4_hours": f"""{_with(_SUBS, _FIRST)}
 SELECT user_id, CAST(hour(solved_at) AS INTEGER) AS hour, count(*) AS n
 FROM firsts WHERE solved_at IS NOT NULL GROUP BY ALL""",

@@ -42,6 +42,10 @@ class Run:
     store: Store
     run_ts: dt.datetime
     mapping: Mapping | None = None
+    # By which rule the Progress table's streaks are counted; None leaves them at 0.
+    streak_rule: str | None = None
+    # Whether the Problems table's attempts are counted; else they are 1.
+    count_attempts: bool = False
 
     @property
     def mapping_key(self) -> str | None:
@@ -54,7 +58,7 @@ def full_refresh(
     run: Run, submissions: DataFrame, items: DataFrame, limit: int | None = None
 ) -> Outcome:
     """Rebuild the three tables from the landed rows."""
-    fetched = solved(submissions, catalogue(items), limit)
+    fetched = solved(submissions, catalogue(items), limit, run.count_attempts)
     with run.store.staging() as stage:
         rows = stage(validated(fetched))
         total, lossless = _counted(rows)
@@ -77,7 +81,7 @@ def incremental_refresh(
     base = run.store.ensure(run.run_ts)
     stored = base.counters.total_problems
     with run.store.staging() as stage:
-        fetched = stage(validated(solved(submissions, catalogue(items), limit)))
+        fetched = stage(validated(solved(submissions, catalogue(items), limit, run.count_attempts)))
         existing = base.records()
         new = stage(select.new_items(fetched, existing))
         added, lossless = _counted(new)
@@ -94,7 +98,7 @@ def incremental_refresh(
         frames = {
             "problems": problem_rows(new, run.run_ts),
             "analytics": topics.analytics_rows(totals),
-            "progress": progress_rows(daily.progress(days), run.run_ts),
+            "progress": progress_rows(daily.progress(days, run.streak_rule), run.run_ts),
         }
         key = run.mapping_key if lossless else RECOUNT
         run.store.commit(base, "incremental", run.run_ts, key, counters, frames, ("problems",))
@@ -155,7 +159,7 @@ def _replace(
     frames = {
         "problems": problem_rows(rows, run.run_ts),
         "analytics": topics.analytics_rows(topics.topic_totals(rows, run.mapping)),
-        "progress": progress_rows(daily.progress(days), run.run_ts),
+        "progress": progress_rows(daily.progress(days, run.streak_rule), run.run_ts),
     }
     key = run.mapping_key if lossless else RECOUNT
     run.store.commit(base, job, run.run_ts, key, counters, frames)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from solvetrail.functions.dates import epoch_date, written_date
 from solvetrail.functions.levels import level
 from solvetrail.functions.text import clean_list, number, number_with_unit, strip, truth, whole_number
-from solvetrail.operators import select
+from solvetrail.operators import patterns, select
 
 
 def accepted_submissions(submissions: DataFrame, limit: int | None = None) -> DataFrame:
@@ -17,12 +17,21 @@ def accepted_submissions(submissions: DataFrame, limit: int | None = None) -> Da
     return rows.withColumn("date_solved", epoch_date(F.col("timestamp")))
 
 
-def solved(submissions: DataFrame, catalogue: DataFrame, limit: int | None = None) -> DataFrame:
-    """The solved set; with a limit, of each user's first `limit` submissions of any status."""
-    rows = select.with_slug(select.accepted(select.first_n(submissions, limit)))
+def solved(
+    submissions: DataFrame, catalogue: DataFrame, limit: int | None = None, count_attempts: bool = False
+) -> DataFrame:
+    """The solved set; with a limit, of each user's first `limit` submissions of any status.
+
+    `attempts` is 1, or if they are counted the user's submissions of any status for the item.
+    """
+    taken = select.first_n(submissions, limit)
+    rows = select.with_slug(select.accepted(taken))
     first = select.first_per_item(
         rows.select("user_id", "title_slug", "seq", "timestamp", "language", "runtime", "memory")
     )
+    tries = F.lit(1).cast("bigint")
+    if count_attempts:
+        first, tries = first.join(patterns.attempts(taken), ["user_id", "title_slug"]), F.col("s.attempts")
     return select.with_items(first, catalogue).select(
         "s.user_id",
         "s.seq",
@@ -40,7 +49,7 @@ def solved(submissions: DataFrame, catalogue: DataFrame, limit: int | None = Non
         "d.is_paid_only",
         "d.category",
         number_with_unit(F.col("d.acceptance_rate")).alias("acceptance_rate"),
-        F.lit(1).cast("bigint").alias("attempts"),
+        tries.alias("attempts"),
         F.lit("Solved").alias("status"),
     )
 

@@ -14,6 +14,7 @@ from solvetrail.operators import changes, daily, difficulty, patterns, select, s
 from solvetrail.plans import analytics, jobs
 from solvetrail.plans.solved import accepted_submissions, solved, validated
 from solvetrail.session import shared_folder, tune
+from solvetrail.sources import backup as backups
 from solvetrail.sources import items as item_source
 from solvetrail.sources import mapping as topic_mapping
 from solvetrail.sources import profiles, samples
@@ -431,6 +432,68 @@ def x3_changes(spark, folder):
     return changes.change_counts(old, new, ["difficulty", "date_solved", "language"])
 
 
+@query
+def x1_progress_streaks(spark, folder):
+    """The Progress table of a run that counts streaks."""
+    run = jobs.Run(_store(spark, "streaks"), RUN_TS, streak_rule="row")
+    jobs.full_refresh(run, samples.submissions(spark, folder), samples.items(spark, folder))
+    return run.store.read("progress").drop("last_updated")
+
+
+@query
+def x2_solved_attempts(spark, folder):
+    rows = solved(samples.submissions(spark, folder), _catalogue(spark, folder), count_attempts=True)
+    return rows.select("user_id", "title_slug", "date_solved", "attempts")
+
+
+@query
+def e6_metrics(spark, folder):
+    """One row per user out of the progress metrics."""
+    found = analytics.metrics(_clean(spark, folder), samples.AS_OF)
+    history = found.difficulty_history.groupBy("user_id").agg(F.count("*").alias("n_history"))
+    months = found.monthly_levels.groupBy("user_id").agg(F.count("*").alias("n_months"))
+    trend = found.complexity_trend.select("user_id", "trend")
+    return (
+        found.summary.join(found.best_weekday.withColumnRenamed("day_name", "best_day"), "user_id", "left")
+        .join(found.level_shares.select("user_id", _six("hard")), "user_id", "left")
+        .join(history, "user_id", "left")
+        .join(months, "user_id", "left")
+        .join(trend, "user_id", "left")
+    )
+
+
+@query
+def e7_analytics_bundle(spark, folder):
+    """One row per user out of the bundle, with the standard test mapping."""
+    found = analytics.analytics(_clean(spark, folder), samples.AS_OF, samples.MAPPING)
+    by_topic = found.topics.groupBy("user_id").agg(F.count("*").alias("n_topics"), F.sum("total").alias("topic_rows"))
+    by_day = found.progress.groupBy("user_id").agg(F.count("*").alias("n_days"), F.max("total_solved").alias("last_total"))
+    return found.summary.join(by_topic, "user_id", "left").join(by_day, "user_id", "left")
+
+
+@query
+def s11_created_empty(spark, folder):
+    """Rows of each table when they are created, and after the first incremental run on them."""
+    run = jobs.Run(_store(spark, "created"), RUN_TS)
+    created = run.store.ensure(RUN_TS)
+    counts = lambda shot, name: shot.read(name).agg(F.count("*").alias("n"))
+    names = ("problems", "analytics", "progress")
+    before = [counts(created, name).select(F.lit(name).alias("name"), F.col("n").alias("created")) for name in names]
+    jobs.incremental_refresh(run, samples.submissions(spark, folder), samples.items(spark, folder))
+    after = [counts(run.store.snapshot(), name).select(F.lit(name).alias("name"), F.col("n").alias("filled")) for name in names]
+    return before[0].union(before[1]).union(before[2]).join(after[0].union(after[1]).union(after[2]), "name")
+
+
+@query
+def a11_backup_manifest(spark, folder):
+    """What the manifest of a backup says."""
+    run = _full(spark, folder, "manifest")
+    path = shared_folder(spark, "manifest-rows")
+    jobs.backup(run, path)
+    manifest = spark.read.schema(backups.MANIFEST).json(f"{path}/manifest")
+    return manifest.select("problems_count", "sync_stats.total_problems", "sync_stats.new_problems")
+
+
 @query
 def x4_hours(spark, folder):
     rows = select.accepted(samples.submissions(spark, folder))

@@ -16,7 +16,7 @@ TABLES = (
     "pages benchmark labels conversations"
 ).split()
 # These run jobs while the query is built, so they have no single plan to look at.
-JOBS = ("e8_", "e9_", "e10_", "e11_", "a10_", "s6_", "s7_", "t1_")
+JOBS = ("e8_", "e9_", "e10_", "e11_", "a10_", "a11_", "s6_", "s7_", "s11_", "t1_", "x1_progress")
 
 
 @pytest.fixture(scope="module")
