@@ -27,6 +27,8 @@ from solvetrail.llm.scratch import Scratch
 LENGTH = 35
 # Words of a pick.
 GRAM = 16
+# Bits of a span for its end.
+PLACE = 32
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -244,16 +246,18 @@ def settle_boundaries(length: int, gram: int):
         parser = Parser(length, gram)
         for batch in batches:
             looked_up, done = [], []
-            for key, size, text, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            bounds = batch.column(3).offsets.to_numpy()
+            all_at, all_first, all_known = (x.to_numpy() for x in batch.column(3).values.flatten())
+            for row, (key, size, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
                 document = parser.read(text)
                 if not document:
                     continue
-                at = np.array([m["at"] for m in marks])
-                own = np.array([m["first"] for m in marks], np.int64).view(np.uint64)
+                marks = slice(bounds[row], bounds[row + 1])
+                at, own = all_at[marks], all_first[marks].view(np.uint64)
                 place = np.minimum(np.searchsorted(document.picks, at), len(document.picks) - 1)
                 sound = (document.picks[place] == at) & (document.grams[place] == own)
                 state = np.zeros(document.n, np.int32)
-                np.maximum.at(state, at[sound], np.array([m["known"] for m in marks], np.int32)[sound])
+                np.maximum.at(state, at[sound], all_known[marks][sound])
                 state = state[document.pick]
                 if len(starts := np.flatnonzero(state == OPEN)):
                     looked_up.append((*document.windows(starts), key, size, starts, 0))
@@ -283,7 +287,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFr
 def duplicate_spans(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """(key, size, spans) of the documents with words in a window that also starts elsewhere.
 
-    Spans are structs (start, stop) of words, of at least `length` words each; they may overlap.
+    A span is a long, its first word above PLACE bits and the word behind it below; spans are at least
+    `length` words long and may overlap.
     """
     texts = _keyed(docs, id_col, text_col)
 
@@ -296,18 +301,19 @@ def duplicate_spans(docs: DataFrame, length: int, gram: int, id_col: str, text_c
     marked = scratch.keep(picks.groupBy("key", "size").agg(marks), "marked")
     known = texts.join(marked, ["key", "size"]).select("key", "size", "text", "marks")
     windows = shared(known.mapInArrow(settle_boundaries(length, gram), ENTRIES)).filter(F.col("known") >= REPEATS)
-    span = F.struct(F.col("at").alias("start"), (F.col("at") + F.col("run") + (length - 1)).alias("stop"))
+    at = F.col("at").cast("long")
+    span = F.shiftleft(at, PLACE) + at + F.col("run") + (length - 1)
     return scratch.keep(windows.groupBy("key", "size").agg(F.collect_list(span).alias("spans")), "spans")
 
 
-def _kept(text: str, spans: list | None) -> tuple[int, int, bytes]:
+def _kept(text: str, spans: np.ndarray | None) -> tuple[int, int, bytes]:
     """Number of words, number removed, and the words that stay, joined by spaces."""
     words = text.encode("utf-8", "surrogatepass").split()
     if spans is None or not len(spans):
         return len(words), 0, b" ".join(words)
     depth = np.zeros(len(words) + 1, np.int64)
-    np.add.at(depth, [s["start"] for s in spans], 1)
-    np.add.at(depth, [s["stop"] for s in spans], -1)
+    np.add.at(depth, spans >> PLACE, 1)
+    np.add.at(depth, spans & ((1 << PLACE) - 1), -1)
     stays = np.cumsum(depth[:-1]) == 0
     return len(words), int((~stays).sum()), b" ".join([words[i] for i in np.flatnonzero(stays).tolist()])
 
