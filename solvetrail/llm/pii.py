@@ -33,6 +33,9 @@ FEATURES = 4096
 # Digits from which on tokens with equal digits are held to be similar.
 SIMILAR = 7
 ROUNDS = 8
+# What two tied tokens with one label weigh more than counts alone say, as a logarithm: labels of a
+# document agree unless its contexts say otherwise by more than that.
+AGREEMENT = 6.0
 SURE = 0.95
 CLAMP = -50.0
 
@@ -240,7 +243,8 @@ def trained(docs: DataFrame, text_col: str = "text") -> Field:
         margin = both.sum(axis=1) / both.sum()
         return np.log(both / both.sum()) - np.log(np.outer(margin, margin))
 
-    return Field(np.log(unary / unary.sum(axis=1, keepdims=True)), pairs(tables["chain"]), pairs(tables["skip"]))
+    skip = pairs(tables["skip"]) + AGREEMENT * np.eye(LABELS)
+    return Field(np.log(unary / unary.sum(axis=1, keepdims=True)), pairs(tables["chain"]), skip)
 
 
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Secret scans: fixed patterns, and strings that a battery of randomness tests can't tell from random."""
+"""Secret scans: fixed patterns, and strings that a battery of randomness tests finds too random for text."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -23,8 +25,10 @@ ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")
 ASSIGNED, SHORTEST = 12, 16
 # Strings that the battery looks at: it says little about shorter ones.
 TESTED = 20
-# Of random strings, the share that may be taken for structured.
+# Of the strings reported as random, the share that may be ordinary ones.
 RATE = 0.05
+# Cells of an alphabet's classes: strings of so many characters have one more for each class.
+CELL = 24
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Encodings from the narrowest on; a string is held to be in the first that has all its characters.
@@ -43,8 +47,17 @@ _SETS = {name: frozenset(letters) for name, letters in ALPHABETS.items()}
 
 _RUN = np.zeros(256, bool)
 _RUN[[ord(c) for c in UPPER + LOWER + DIGITS + "+/_=-"]] = True
+# The case in which ordinary text is read as an alphabet's, and the bytes that are left out then.
+_CASE = {
+    name: bytes.lower if own.isdisjoint(UPPER) else bytes.upper if own.isdisjoint(LOWER) else bytes
+    for name, own in _SETS.items()
+}
+_REST = {name: bytes(b for b in range(256) if chr(b) not in own) for name, own in _SETS.items()}
 # P-values are counted in classes of a quarter of a power of two.
 STEPS, CLASSES = 4, 200
+# Length classes in which ordinary text is tested; longer strings are held against the last.
+LENGTHS = 12
+LONGEST = int(4 * math.log2(TESTED)) + LENGTHS - 1
 
 
 def long_runs(text: str) -> list[tuple[int, int]]:
@@ -102,13 +115,27 @@ def chi_tail(x: float, freedom: int) -> float:
     return _above(((max(x, 0.0) / freedom) ** (1 / 3) - 1 + spread) / math.sqrt(spread))
 
 
-def uniform_p(values: np.ndarray, size: int) -> float:
-    """Chi-squared of the alphabet's use, in as many cells as leave five expected in each."""
-    n = len(values)
-    cells = max(2, min(size, n // 5))
-    seen = np.bincount(values * cells // size, minlength=cells)
-    expected = n * np.bincount(np.arange(size) * cells // size, minlength=cells) / size
-    return chi_tail(float(((seen - expected) ** 2 / expected).sum()), cells - 1)
+@lru_cache(maxsize=None)
+def cells_of(encoding: str, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of an alphabet its cell, and the share of the alphabet in each cell.
+
+    Letters of a case make `parts` cells, digits half as many, other characters one.
+    """
+    cell, n = [], 0
+    for letters, split in ((UPPER, parts), (LOWER, parts), (DIGITS, (parts + 1) // 2), ("+/-_", 1)):
+        own = [c for c in ALPHABETS[encoding] if c in letters]
+        split = min(split, len(own))
+        cell += [(c, n + i * split // len(own)) for i, c in enumerate(own)]
+        n += split
+    places = np.array([k for _, k in sorted(cell, key=lambda x: _PLACES[encoding][x[0]])])
+    return places, np.bincount(places) / len(places)
+
+
+def uniform_p(values: np.ndarray, encoding: str) -> float:
+    """Chi-squared of the alphabet's use, over cells of its classes; more cells for longer strings."""
+    places, share = cells_of(encoding, min(10, 1 + len(values) // CELL))
+    seen, expected = np.bincount(places[values], minlength=len(share)), len(values) * share
+    return chi_tail(float(((seen - expected) ** 2 / expected).sum()), len(share) - 1)
 
 
 def runs_p(values: np.ndarray, size: int) -> float:
@@ -136,7 +163,7 @@ def random_p(piece: str, encoding: str) -> float:
     """The three tests by Fisher's rule: small if the string is unlikely to be random."""
     places, size = _PLACES[encoding], len(ALPHABETS[encoding])
     values = np.array([places[c] for c in piece])
-    tests = uniform_p(values, size), runs_p(values, size), serial_p(values)
+    tests = uniform_p(values, encoding), runs_p(values, size), serial_p(values)
     return chi_tail(-2 * sum(math.log(max(p, 1e-300)) for p in tests), 6)
 
 
@@ -146,24 +173,46 @@ def stratum(encoding: str, length: int) -> tuple[str, int]:
 
 
 def p_class(p: float) -> int:
-    """Of two classes the higher has the smaller p-values; those of a class count as its largest."""
+    """Of two classes the higher has the smaller p-values."""
     return min(CLASSES, int(-STEPS * math.log2(max(p, 1e-300))))
 
 
-def cutoffs(counts: dict[tuple[str, int], dict[int, int]], rate: float = RATE) -> dict[tuple[str, int], int]:
-    """By Benjamini and Hochberg, the least class of each stratum that counts as structured.
+def tested(text: str) -> Iterator[tuple[str, int, int]]:
+    """(encoding, length class, p class) of each string of a text that is to be tested."""
+    for start, end, encoding in pieces(text, long_runs(text)):
+        yield *stratum(encoding, end - start), p_class(random_p(text[start:end], encoding))
+
 
-    Strata are judged one by one, as the tests' power grows with the length: a stratum of mostly
-    structured strings has a higher bar than one of keys.
+def ordinary(text: str) -> Iterator[tuple[str, int, int]]:
+    """The same of ordinary text: in each alphabet, of its own characters that the alphabet has as many
+    as a length class takes, from the text's middle. The class is drawn by the text's content."""
+    data = text.encode("utf-8", "surrogatepass")
+    length = int(4 * math.log2(TESTED)) + crc32(data) % LENGTHS
+    n = math.ceil(2 ** (length / 4))
+    for encoding in ALPHABETS:
+        own = _CASE[encoding](data).translate(None, _REST[encoding])
+        if len(own) >= n:
+            middle = (len(own) - n) // 2
+            yield encoding, length, p_class(random_p(own[middle : middle + n].decode(), encoding))
+
+
+def cutoffs(
+    strings: dict[tuple[str, int], dict[int, int]], reference: dict[tuple[str, int], dict[int, int]], rate: float = RATE
+) -> dict[tuple[str, int], int]:
+    """The highest p class of each stratum that counts as random; strata without one are left out.
+
+    By Benjamini and Hochberg, the null hypothesis being that a string is ordinary: its chance to look
+    as random as it does is the share of ordinary stretches of its alphabet and length that do. As the
+    tests' power grows with the length, each stratum has its own bar, and short strings may have none.
     """
     out = {}
-    for name, classes in counts.items():
-        total, below, best = sum(classes.values()), 0, CLASSES + 1
-        for k in sorted(classes, reverse=True):
-            below += classes[k]
-            if 2.0 ** (-k / STEPS) <= rate * below / total:
-                best = k
-        out[name] = best
+    for name, classes in strings.items():
+        null = reference.get(name) or reference.get((name[0], min(name[1], LONGEST)), {})
+        total, plain, seen, alike = sum(classes.values()), sum(null.values()), 0, 0
+        for k in range(CLASSES + 1):
+            seen, alike = seen + classes.get(k, 0), alike + null.get(k, 0)
+            if seen and classes.get(k) and (1 + alike) / (1 + plain) <= rate * seen / total:
+                out[name] = k
     return out
 
 
@@ -180,7 +229,7 @@ def scan(text: str, limits: dict[tuple[str, int], int]) -> Found:
     for start, end, encoding in pieces(text, runs):
         if any(s < end and start < e for s, _, e in base):
             continue
-        if p_class(random_p(text[start:end], encoding)) < limits.get(stratum(encoding, end - start), 0):
+        if p_class(random_p(text[start:end], encoding)) <= limits.get(stratum(encoding, end - start), -1):
             added.append((start, len(KINDS) - 1, end))
     return Found(base, added)
 
@@ -190,7 +239,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def battery_limits(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> dict[tuple[str, int], int]:
-    """Test every string of all documents and set the limits by stratum.
+    """Test the strings and stretches of ordinary text of all documents and set the limits by stratum.
 
     Tasks count p-values by class; a stratum has at most CLASSES + 1 of them, and strata grow with
     the logarithm of the longest string, so what comes to the driver is bounded.
@@ -200,16 +249,16 @@ def battery_limits(docs: DataFrame, text_col: str = "text", rate: float = RATE)
         for rows in batches:
             seen = Counter()
             for text in rows["text"]:
-                for start, end, encoding in pieces(text, long_runs(text)):
-                    seen[*stratum(encoding, end - start), p_class(random_p(text[start:end], encoding))] += 1
-            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["encoding", "length", "p", "n"])
+                seen.update((True, *k) for k in tested(text))
+                seen.update((False, *k) for k in ordinary(text))
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["string", "encoding", "length", "p", "n"])
 
     texts = docs.filter(F.octet_length(text_col) >= TESTED).select(F.col(text_col).alias("text"))
-    cells = texts.mapInPandas(counted, "encoding string, length int, p int, n long")
-    found: dict[tuple[str, int], dict[int, int]] = {}
-    for r in cells.groupBy("encoding", "length", "p").agg(F.sum("n").alias("n")).collect():
-        found.setdefault((r.encoding, r.length), {})[r.p] = r.n
-    return cutoffs(found, rate)
+    cells = texts.mapInPandas(counted, "string boolean, encoding string, length int, p int, n long")
+    found: dict[bool, dict[tuple[str, int], dict[int, int]]] = {True: {}, False: {}}
+    for r in cells.groupBy("string", "encoding", "length", "p").agg(F.sum("n").alias("n")).collect():
+        found[r.string].setdefault((r.encoding, r.length), {})[r.p] = r.n
+    return cutoffs(found[True], found[False], rate)
 
 
 def secret_spans(docs: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,8 +266,8 @@ def secret_spans(docs: DataFrame, rate: float = RATE, id_col: str = "doc_id", te
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind, joined by commas;
     base_sha256 is over the spans of the fixed patterns, of nothing where there are none. Strings of
-    at least TESTED characters with letters and digits that no test tells from random ones come as
-    kind random. Null texts count as empty; rows are scanned one by one, whole. Other columns are not
+    at least TESTED characters with letters and digits that look more random than ordinary text does,
+    with a share of `rate` false ones, come as kind random. Null texts count as empty; rows are scanned one by one, whole. Other columns are not
     read.
     """
     limits = battery_limits(docs, text_col, rate)

@@ -41,31 +41,48 @@ def structured(rng, n):
     return ["-".join(rng.choices(words, k=4)) + f"-{rng.randrange(10)}" for _ in range(n)]
 
 
+def prose(rng, n):
+    words = "the of and river water mountain second other number people called through little sentence great".split()
+    return [" ".join(rng.choice(words).title() if rng.random() < 0.1 else rng.choice(words) for _ in range(150)) for _ in range(n)]
+
+
+def histogram(strata):
+    counts = {}
+    for encoding, length, k in strata:
+        own = counts.setdefault((encoding, length), {})
+        own[k] = own.get(k, 0) + 1
+    return counts
+
+
 def test_battery_tells_keys_from_names():
     rng = random.Random(2)
-    sample = keys(rng, secrets.ALPHABETS["base62"], 40, 300) + structured(rng, 900)
-    counts, of = {}, {}
-    for s in sample:
-        for a, b, encoding in secrets.pieces(s, secrets.long_runs(s)):
-            of[s] = secrets.stratum(encoding, b - a), secrets.p_class(secrets.random_p(s[a:b], encoding))
-            counts.setdefault(of[s][0], {}).setdefault(of[s][1], 0)
-            counts[of[s][0]][of[s][1]] += 1
-    limits = secrets.cutoffs(counts)
-    kept = [s for s in sample if s in of and of[s][1] < limits[of[s][0]]]
-    assert sum(s in kept for s in sample[:300]) >= 270
-    assert sum(s in kept for s in sample[300:]) <= 90
+    real = keys(rng, secrets.ALPHABETS["base62"], 40, 300) + keys(rng, secrets.ALPHABETS["base64url"], 64, 100)
+    names = structured(rng, 900)
+    strings = histogram(x for s in real + names for x in secrets.tested(s))
+    reference = histogram(x for t in prose(rng, 3000) for x in secrets.ordinary(t))
+    limits = secrets.cutoffs(strings, reference)
+    assert sum(bool(secrets.scan(s, limits).added) for s in real) >= 360
+    assert sum(bool(secrets.scan(s, limits).added) for s in names) <= 30
+
+
+def test_p_values_of_random_strings_are_level():
+    rng = random.Random(3)
+    for name, letters in secrets.ALPHABETS.items():
+        found = [secrets.random_p(s, name) for s in keys(rng, letters, 64, 400)]
+        assert 0.3 < sum(p > 0.5 for p in found) / 400 < 0.7
 
 
 def test_cutoffs_follow_the_rule():
-    counts = {("x", 1): {0: 90, 40: 10}, ("y", 1): {0: 100, 3: 5}, ("z", 1): {8: 1}}
-    assert secrets.cutoffs(counts, 0.05) == {("x", 1): 40, ("y", 1): secrets.CLASSES + 1, ("z", 1): secrets.CLASSES + 1}
+    strings = {("x", 1): {0: 90, 40: 10}, ("y", 1): {0: 2, 30: 98}, ("z", 1): {8: 1}}
+    reference = {("x", 1): {30: 99}, ("y", 1): {10: 50, 30: 50}}
+    assert secrets.cutoffs(strings, reference, 0.05) == {("x", 1): 0}
 
 
 def test_rows(spark):
     rng = random.Random(4)
     key = keys(rng, secrets.ALPHABETS["base62"], 48, 1)[0] + "A7z"
     texts = [None, "", f"x é {key} y", 'Token: "abcdefghijkl"', "AKIAABCDEFGHIJKLMN0 0123456789abcdef", "aaaa1111" * 20_000, "internationalization2", key]
-    texts += ["plain words only " * 10] * 3
+    texts += ["plain words only " * 10] * 3 + prose(rng, 600)
     docs = spark.createDataFrame([(i if i else None, t, "clash", "clash") for i, t in enumerate(texts)], SCHEMA)
     found = {r.doc_id: r for r in secrets.secret_spans(docs).collect()}
     for i, text in enumerate(texts):
