@@ -206,6 +206,13 @@ SELECT user_id, title AS name, difficulty, array_to_string(topics, ', ') AS topi
        CAST(1 AS BIGINT) AS attempts, 'Solved' AS status, problem_id
 FROM clean"""
 
+# Of a day's two halves the last one with events is what the calendar says.
+_CALENDAR = """
+calendar AS (
+  SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n FROM events
+  GROUP BY user_id, date, hour(ts) >= 12
+  QUALIFY row_number() OVER (PARTITION BY user_id, date ORDER BY hour(min(ts)) >= 12 DESC) = 1)"""
+
 _LEVEL = """
 orders_by_level AS (
   SELECT o_custkey AS user_id,
@@ -251,10 +258,13 @@ SELECT title_slug, problem_id, title, difficulty, category, is_paid_only,
 FROM items""",
         "s3_user_profiles": """
 SELECT c_custkey AS user_id, c_name AS username, c_mktsegment AS real_name,
-       coalesce(n_name, '') AS country, CAST(0 AS DOUBLE) AS star_rating, c_custkey AS ranking,
-       CAST(0 AS BIGINT) AS reputation, CAST(0 AS DOUBLE) AS contest_rating,
-       CAST(0 AS BIGINT) AS contest_rank, CAST(0 AS BIGINT) AS contests_attended,
-       CAST(0 AS BIGINT) AS n_badges
+       coalesce(n_name, '') AS country,
+       CASE WHEN c_acctbal > 0 THEN floor(c_acctbal / 2000) / 2 ELSE 0 END::DOUBLE AS star_rating, c_custkey AS ranking,
+       CAST(floor(c_acctbal) AS BIGINT) AS reputation,
+       CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 900 + 1500.5 ELSE 0 END::DOUBLE AS contest_rating,
+       CASE WHEN c_custkey % 3 > 0 THEN c_custkey * 2 ELSE 0 END AS contest_rank,
+       CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 40 ELSE 0 END AS contests_attended,
+       CAST(coalesce(c_nationkey % 4, 0) AS BIGINT) AS n_badges
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
         "a9_user_stats": f"""{_with(_LEVEL)},
 f AS (
@@ -271,8 +281,7 @@ SELECT *, easy_solved + medium_solved + hard_solved AS total_solved,
        round(CASE WHEN total_submissions > 0
              THEN (easy_solved + medium_solved + hard_solved) / total_submissions * 100 ELSE 0 END, 6) AS acceptance_rate
 FROM f""",
-        "a12_calendar_days": """
-SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY ALL""",
+        "a12_calendar_days": f"{_with(_CALENDAR)} SELECT user_id, date, n FROM calendar",
         "f2_numbers": f"{_with(_SUBS)} SELECT user_id, seq, runtime, memory FROM subs",
         "f3_f7_calendar_keys": f"""{_with(_SUBS)}
 SELECT user_id, seq, CAST(solved_at AS DATE) AS date, CAST(date_trunc('week', solved_at) AS DATE) AS week_start,
@@ -289,9 +298,9 @@ FROM part""",
         "o3_limited": f"{_with(*shorts)} SELECT user_id, seq, title_slug FROM limited WHERE ok",
         "u3_first_per_item": f"{_with(_SUBS, _FIRST)} SELECT user_id, seq, title_slug FROM firsts",
         "j1_with_items": f"{ln} SELECT user_id, seq, title_slug, problem_id, category FROM solved",
-        "j2_calendar": f"""{_with(_SUBS)}
+        "j2_calendar": f"""{_with(_SUBS, _CALENDAR)}
 SELECT s.user_id, s.seq, CAST(s.solved_at AS DATE) AS date_solved, coalesce(d.n, 0) AS daily_count
-FROM subs s LEFT JOIN (SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY ALL) d
+FROM subs s LEFT JOIN calendar d
   ON d.user_id = s.user_id AND d.date = CAST(s.solved_at AS DATE)
 WHERE s.ok""",
         "j3_j4_topic_map": f"{_with(_ITEMS, _MAPPING)} SELECT topic, category, match_kind FROM topic_map",
@@ -304,6 +313,15 @@ FROM (SELECT title_slug, unnest(topics) AS topic FROM items) i JOIN topic_map m
         "e1_solved_short": _solved_sql("solved", *shorts),
         "e1_solved_lines": _solved_sql("solved", *_LINES),
         "e2_validated": _solved_sql("clean", *_EVENTS),
+        "e2_text_records": """
+WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT user_id, event_id AS seq, CASE WHEN k % 7 = 1 THEN 'Item ' || k ELSE 'Item' END AS title,
+       CASE WHEN k % 6 = 3 THEN DATE '2024-01-05' WHEN k % 6 > 3 THEN CAST(ts AS DATE) END AS date_solved,
+       [12.5, 7, 0, 0, 100][k % 5 + 1]::DOUBLE AS acceptance_rate, [3, 4, 1, 1][k % 4 + 1]::BIGINT AS attempts,
+       [true, false, false, false, true, false][k % 6 + 1] AS is_paid_only,
+       ['Easy', 'Hard', 'Unknown', 'Unknown'][k % 4 + 1] AS difficulty
+FROM e WHERE k % 7 <> 0""",
+        "p13_with_slug": f"{_with(_SUBS)} SELECT user_id, seq, title_slug FROM subs WHERE title_slug NOT LIKE '%9'",
         "a1_topics": _with(*_EVENTS, _TOPIC_ROWS) + _TOTALS,
         "a1_topics_mapped": _with(*_EVENTS, _MAPPING, _MAPPED_ROWS) + _TOTALS,
         "a1_topics_lines": _with(*_LINES, _TOPIC_ROWS) + _TOTALS,
@@ -312,6 +330,16 @@ FROM (SELECT title_slug, unnest(topics) AS topic FROM items) i JOIN topic_map m
 SELECT user_id, topic, CAST(date_trunc('month', date_solved) AS DATE) AS month,
        round(avg(CASE difficulty WHEN 'Easy' THEN 1 WHEN 'Medium' THEN 2 WHEN 'Hard' THEN 3 ELSE 0 END), 6) AS avg_score
 FROM topic_rows WHERE date_solved IS NOT NULL GROUP BY ALL""",
+        "x5_topic_difficulty_lines": f"""{_with(*_LINES, _TOPIC_ROWS)}
+SELECT user_id, topic, CAST(date_trunc('month', date_solved) AS DATE) AS month,
+       round(avg(CASE difficulty WHEN 'Easy' THEN 1 WHEN 'Medium' THEN 2 WHEN 'Hard' THEN 3 ELSE 0 END), 6) AS avg_score
+FROM topic_rows WHERE date_solved IS NOT NULL GROUP BY ALL""",
+        "x8_monthly_lines": f"""{ln} SELECT user_id, CAST(date_trunc('month', date_solved) AS DATE) AS period_start, count(*) AS n
+FROM clean WHERE date_solved IS NOT NULL GROUP BY ALL""",
+        "a3_monthly_difficulty_lines": f"""{ln}
+SELECT user_id, strftime(date_solved, '%Y-%m') AS month, count(*) FILTER (difficulty = 'Easy') AS easy,
+       count(*) FILTER (difficulty = 'Medium') AS medium, count(*) FILTER (difficulty = 'Hard') AS hard
+FROM clean WHERE date_solved IS NOT NULL AND difficulty <> 'Unknown' GROUP BY ALL""",
         "x7_completion": f"""{_with(*_EVENTS, _TOPIC_ROWS)},
 available AS (
   SELECT topic, count(DISTINCT title_slug) AS available

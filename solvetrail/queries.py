@@ -272,6 +272,21 @@ def e2_validated(spark, folder):
     return _solved_columns(_clean(spark, folder))
 
 
+@query
+def e2_text_records(spark, folder):
+    """Records whose cells are texts: blank titles, bad dates, numbers and flags."""
+    return validated(samples.text_records(spark, folder))
+
+
+@query
+def p13_with_slug(spark, folder):
+    """Submissions of which every ninth item has lost its slug."""
+    rows = samples.submissions(spark, folder)
+    lost = F.substring("title_slug", -1, 1) == "9"
+    rows = rows.withColumn("title_slug", F.when(~lost, F.col("title_slug")).otherwise(""))
+    return select.with_slug(rows).select("user_id", "seq", "title_slug")
+
+
 # Topics
 
 
@@ -302,6 +317,12 @@ def x5_topic_difficulty(spark, folder):
     return rows.withColumn("avg_score", F.round("avg_score", 6))
 
 
+@query
+def x5_topic_difficulty_lines(spark, folder):
+    rows = topics.topic_levels(_clean_lines(spark, folder))
+    return rows.withColumn("avg_score", F.round("avg_score", 6))
+
+
 @query
 def x7_completion(spark, folder):
     rows = topics.completion(_clean(spark, folder), _catalogue(spark, folder))
@@ -367,9 +388,19 @@ def x8_monthly(spark, folder):
     return daily.months(_days(spark, folder))
 
 
+@query
+def x8_monthly_lines(spark, folder):
+    return daily.months(_days_lines(spark, folder))
+
+
 # Difficulty
 
 
+@query
+def a3_monthly_difficulty_lines(spark, folder):
+    return difficulty.monthly_levels(_clean_lines(spark, folder))
+
+
 @query
 def a3_monthly_difficulty(spark, folder):
     return difficulty.monthly_levels(_clean(spark, folder))

@@ -117,6 +117,23 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def text_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as problem records whose cells are all text, some of them blank or not what they should be."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    pick = lambda *cells: F.element_at(F.array(*map(F.lit, cells)), (k % len(cells) + 1).cast("int"))
+    return table(spark, folder, "events").select(
+        "user_id",
+        F.col("event_id").alias("seq"),
+        F.when(k % 7 == 0, " \t").when(k % 7 == 1, F.concat(F.lit(" Item "), k.cast("string"), F.lit(" "))).otherwise("Item").alias("title"),
+        F.when(k % 6 == 0, "2024-02-30").when(k % 6 == 1, "soon").when(k % 6 == 2, "").when(k % 6 == 3, "2024-1-5")
+        .otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")).alias("date_solved"),
+        pick("12.5", " 7 ", "abc", "", "1e2").alias("acceptance_rate"),
+        pick("3", " 4 ", "x", "1.5").alias("attempts"),
+        pick("true", "abc", "false", "", "1", "no").alias("is_paid_only"),
+        pick(" easy", "HARD", "Extreme", "").alias("difficulty"),
+    )
+
+
 def topic_names(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct names made of the standard mapping's and the parts' words, each kind from a fifth of the parts."""
     names = F.array(*(F.lit(name) for name, _ in STANDARD))
@@ -133,14 +150,17 @@ def topic_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def calendars(spark: SparkSession, folder: str) -> DataFrame:
-    """Per user one JSON map from the second of midnight to the events of that day.
+    """Per user one JSON map, in order of time, from the second a half day starts to its events.
 
-    Days are counted first, so a user's list holds at most one entry per day.
+    Half days are counted first, so a user's list holds at most two entries per day.
     """
-    midnight = F.unix_seconds(F.date_trunc("day", F.col("ts").cast("timestamp")))
-    days = table(spark, folder, "events").groupBy("user_id", midnight.alias("day")).count()
-    entries = F.collect_list(F.struct(F.col("day").cast("string"), "count"))
-    return days.groupBy("user_id").agg(F.to_json(F.map_from_entries(entries)).alias("calendar"))
+    second = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 43_200) * 43_200
+    halves = table(spark, folder, "events").groupBy("user_id", second.alias("second")).count()
+    entries = F.transform(
+        F.array_sort(F.collect_list(F.struct("second", "count"))),
+        lambda e: F.struct(e["second"].cast("string").alias("key"), e["count"].alias("value")),
+    )
+    return halves.groupBy("user_id").agg(F.to_json(F.map_from_entries(entries)).alias("calendar"))
 
 
 def user_payloads(spark: SparkSession, folder: str) -> DataFrame:
@@ -176,16 +196,30 @@ def user_payloads(spark: SparkSession, folder: str) -> DataFrame:
     people = table(spark, folder, "customer").join(
         table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
     )
+    badge = F.struct(F.col("c_mktsegment").alias("displayName"))
+    badges = F.when(F.col("c_nationkey") % 4 > 0, F.array_repeat(badge, F.col("c_nationkey") % 4))
     body = F.struct(
         F.struct(
             F.col("c_name").alias("username"),
             F.struct(
                 F.col("c_mktsegment").alias("realName"),
                 F.col("n_name").alias("countryName"),
+                F.when(F.col("c_acctbal") > 0, F.floor(F.col("c_acctbal") / 2000) / 2).alias("starRating"),
                 F.col("c_custkey").alias("ranking"),
+                F.floor("c_acctbal").alias("reputation"),
             ).alias("profile"),
             F.struct("acSubmissionNum", "totalSubmissionNum").alias("submitStats"),
-        ).alias("matchedUser")
+            badges.alias("badges"),
+        ).alias("matchedUser"),
+        # Every third customer has no contest standing.
+        F.when(
+            F.col("c_custkey") % 3 > 0,
+            F.struct(
+                (F.col("c_custkey") % 40).alias("attendedContestsCount"),
+                (F.col("c_custkey") % 900 + 1500.5).alias("rating"),
+                (F.col("c_custkey") * 2).alias("globalRanking"),
+            ),
+        ).alias("userContestRanking"),
     )
     return people.join(listed, F.col("c_custkey") == F.col("o_custkey"), "left").select(
         F.col("c_custkey").alias("user_id"), F.to_json(body).alias("body")
