@@ -88,7 +88,7 @@ def phrase_matches(index: Index) -> DataFrame:
     rarest term's shifted list is intersected with them. What passes both is few: the other terms'
     lists are made for those documents alone and intersected in one join.
     """
-    first, second = F.col("terms")[0], F.col("terms")[1]
+    first = F.col("terms")[0]
     entry = index.phrases.select("phrase", first["term"].alias("term"), first["at"].alias("at"))
     started = index.postings.join(entry, "term").select("key", "phrase", (F.col("pos") - F.col("at")).alias("start"))
     started = started.filter("start >= 0")
