@@ -37,11 +37,10 @@ def parsed(messages: DataFrame) -> DataFrame:
 def passages(rows: DataFrame) -> DataFrame:
     """(key, conv, turn, level, place, hash) of the quoted passages: neighbouring lines of one level.
 
-    Lines without words part passages. `rows` has (key, conv, turn, lines).
+    Lines without words part passages. `rows` has (key, conv, turn, lines); rows of one key count once.
     """
-    lines = rows.filter(F.exists("lines", lambda x: x["level"] > 0)).select(
-        "key", "conv", "turn", F.posexplode("lines").alias("place", "line")
-    )
+    quoting = rows.filter(F.exists("lines", lambda x: x["level"] > 0)).dropDuplicates(["key"])
+    lines = quoting.select("key", "conv", "turn", F.posexplode("lines").alias("place", "line"))
     words = normal(F.col("line.text"))
     by_message = Window.partitionBy("key").orderBy("place")
     same = (F.lag("level").over(by_message) == F.col("level")) & (F.lag("words").over(by_message) != "")
@@ -112,7 +111,7 @@ def linked_messages(
     key = F.unhex(F.md5(F.to_json(F.struct("conv", "turn", "text"))))
     rows = parsed(named).withColumn("key", key)
     able = rows.filter("conv is not null and turn is not null")
-    quotes = scratch.keep(passages(able.dropDuplicates(["key"])), "quotes")
+    quotes = scratch.keep(passages(able), "quotes")
     found = scratch.keep(last_before(quotes, originals(able), scratch), "found")
     first = F.min(F.when(F.col("source").isNotNull(), F.struct("level", "place", "source")))
     ties = found.groupBy("key", "conv", "turn").agg(
