@@ -32,7 +32,10 @@ EDGE = "\"'.,;:!?<>()[]{}|"
 FEATURES = 4096
 # Digits from which on tokens with equal digits are held to be similar.
 SIMILAR = 7
-ROUNDS = 8
+# Messages are sent until none changes by more than TOLERANCE; ROUNDS only ends those that go on
+# swinging in circles of edges.
+TOLERANCE = 1e-4
+ROUNDS = 1000
 # What two tied tokens with one label weigh more than counts alone say, as a logarithm: labels of a
 # document agree unless its contexts say otherwise by more than that.
 AGREEMENT = 6.0
@@ -143,6 +146,19 @@ def edges_of(nodes: list[Node]) -> tuple[list[tuple[int, int]], list[tuple[int,
     return chain, sorted(skip)
 
 
+def hubs_of(nodes: list[Node]) -> list[list[int]]:
+    """The places of all occurrences of each token or digits that occur more than once.
+
+    Each list is tied through a hub of its own, so that any two occurrences are two edges apart
+    however many there are, with edges in proportion to the tokens. Lists of the same places count once.
+    """
+    places: dict[str, list[int]] = {}
+    for i, node in enumerate(nodes):
+        for key in dict.fromkeys(node.keys):
+            places.setdefault(key, []).append(i)
+    return [list(x) for x in dict.fromkeys(tuple(x) for x in places.values() if len(x) > 1)]
+
+
 @dataclass
 class Field:
     """Log potentials: of labels given each feature, and of the label pairs of chain and skip edges."""
@@ -152,30 +168,41 @@ class Field:
     skip: np.ndarray
 
     def beliefs(self, nodes: list[Node]) -> np.ndarray:
-        """Probabilities of each node's labels after ROUNDS rounds of loopy message passing.
+        """Probabilities of each node's labels after loopy message passing.
 
-        Nodes that a pattern covers are clamped to its label. All messages of a round are made at
-        once, from those of the round before, and averaged with them, which damps circles.
+        Nodes that a pattern covers are clamped to its label, and hubs of such nodes to their labels.
+        All messages of a round are made at once, from those of the round before, and averaged with
+        them, which damps circles. A hub without a label hears the mean of its nodes, as repeating a
+        token says nothing new about it.
         """
-        own = np.array([self.unary[n.features].mean(axis=0) for n in nodes])
-        for i, node in enumerate(nodes):
-            if node.label != OTHER:
+        hubs = hubs_of(nodes)
+        own = np.zeros((len(nodes) + len(hubs), LABELS))
+        own[: len(nodes)] = [self.unary[n.features].mean(axis=0) for n in nodes]
+        for i, members in enumerate([[i] for i in range(len(nodes))] + hubs):
+            if labels := [nodes[m].label for m in members if nodes[m].label != OTHER]:
                 own[i] = CLAMP
-                own[i, node.label] = 0
-        chain, skip = edges_of(nodes)
+                own[i, labels] = 0
+        chain = [(i - 1, i) for i, node in enumerate(nodes) if node.follows]
+        skip = [(len(nodes) + hub, m) for hub, members in enumerate(hubs) for m in members]
         if edges := chain + skip:
             pairs = np.array(edges)
             tables = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
             source, target = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
             tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
             back = np.roll(np.arange(len(source)), len(edges))
+            weight = np.ones((len(source), 1))
+            weight[len(edges) + len(chain) :, 0] = [1 / (len(members) - 1) for members in hubs for _ in members]
             messages = np.zeros((len(source), LABELS))
             for _ in range(ROUNDS):
                 total = own.copy()
-                np.add.at(total, target, messages)
-                sent = np.logaddexp.reduce((total[source] - messages[back])[:, :, None] + tables, axis=1)
-                messages = (messages + sent - np.logaddexp.reduce(sent, axis=1, keepdims=True)) / 2
-            np.add.at(own, target, messages)
+                np.add.at(total, target, weight * messages)
+                sent = np.logaddexp.reduce((total[source] - (weight * messages)[back])[:, :, None] + tables, axis=1)
+                change = (sent - np.logaddexp.reduce(sent, axis=1, keepdims=True) - messages) / 2
+                messages += change
+                if np.abs(change).max() <= TOLERANCE:
+                    break
+            np.add.at(own, target, weight * messages)
+        own = own[: len(nodes)]
         return np.exp(own - np.logaddexp.reduce(own, axis=1, keepdims=True))
 
 
@@ -186,11 +213,11 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> li
         return []
     belief = field.beliefs(nodes)
     found: list[tuple[int, int, int]] = []
-    open_end = -1
+    open_end = -2
     for i, node in enumerate(nodes):
         label = int(belief[i].argmax())
         if node.label != OTHER or label == OTHER or belief[i, label] < SURE:
-            open_end = -1
+            open_end = -2
             continue
         token = text[node.start : node.end]
         start, end = node.start + len(token) - len(token.lstrip(EDGE)), node.start + len(token.rstrip(EDGE))

@@ -80,6 +80,20 @@ def test_repeated_token_takes_the_label_of_its_pattern(field):
     assert pii.added_spans("Licensed under the Apache License, Version 2.0.", [], field) == []
 
 
+def test_far_repeats_take_the_label_too(field):
+    text = "reach +19885552485 today. " + "Then call 19885552485 again. " * 50
+    assert pii.added_spans(text, plain(text), field) == [(3, m.start(), m.end()) for m in re.finditer("(?<![+])19885552485", text)]
+    text = "19885552485 first, " + text
+    assert len(pii.added_spans(text, plain(text), field)) == 51
+    years = "in 2024 we " * 60
+    assert pii.added_spans(years, plain(years), field) == []
+
+
+def test_hubs_are_linear():
+    nodes = pii.nodes_of("12345678 " * 500, [])
+    assert pii.hubs_of(nodes) == [list(range(500))]
+
+
 def test_rows(spark):
     texts = [None, "", "mail a.b@c.de and 10.0.0.1, card 4111 1111 1111 1111, +1 (988) 555-2485", "no data", "1" * 50_000 + " x@", "9." * 30_000]
     docs = spark.createDataFrame([(i or None, t, "clash", "clash") for i, t in enumerate(texts)] + [(3, "no data", "", "")], SCHEMA)
