@@ -6,10 +6,10 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby
 from typing import NamedTuple
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -55,9 +55,9 @@ _CASE = {
 _REST = {name: bytes(b for b in range(256) if chr(b) not in own) for name, own in _SETS.items()}
 # P-values are counted in classes of a quarter of a power of two.
 STEPS, CLASSES = 4, 200
-# Length classes in which ordinary text is tested; longer strings are held against the last.
-LENGTHS = 12
-LONGEST = int(4 * math.log2(TESTED)) + LENGTHS - 1
+# The first length class, and bytes of ordinary text that are tested at once.
+FIRST = int(4 * math.log2(TESTED))
+BLOCK = 1 << 20
 
 
 def long_runs(text: str) -> list[tuple[int, int]]:
@@ -183,17 +183,101 @@ def tested(text: str) -> Iterator[tuple[str, int, int]]:
         yield *stratum(encoding, end - start), p_class(random_p(text[start:end], encoding))
 
 
-def ordinary(text: str) -> Iterator[tuple[str, int, int]]:
-    """The same of ordinary text: in each alphabet, of its own characters that the alphabet has as many
-    as a length class takes, from the text's middle. The class is drawn by the text's content."""
+def stretch_length(length: int) -> int:
+    """Characters of a length class's stretches of ordinary text: as few as its strings may have."""
+    return math.ceil(2 ** (length / 4))
+
+
+def own_letters(data: bytes, encoding: str) -> bytes:
+    """The characters of a text that an alphabet has."""
+    return _CASE[encoding](data).translate(None, _REST[encoding])
+
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    """Chebyshev fit with a relative error under 1.2e-7 (Numerical Recipes)."""
+    t = 1 / (1 + np.abs(x) / 2)
+    fit = np.full_like(t, 0.17087277)
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        fit = fit * t + c
+    tail = t * np.exp(fit - x * x)
+    return np.where(x >= 0, tail, 2 - tail)
+
+
+def _chi_tails(x: np.ndarray, freedom: int) -> np.ndarray:
+    spread = 2 / (9 * freedom)
+    return _erfc((np.cbrt(np.maximum(x, 0) / freedom) - 1 + spread) / math.sqrt(2 * spread)) / 2
+
+
+_LOOKUP = {name: bytes(places.get(chr(b), 0) for b in range(256)) for name, places in _PLACES.items()}
+
+
+def p_classes(rows: np.ndarray, encoding: str) -> np.ndarray:
+    """`p_class` of `random_p` of each row of bytes, all rows at once."""
+    many, n = rows.shape
+    size, data = len(ALPHABETS[encoding]), rows.tobytes().translate(_LOOKUP[encoding])
+    values = np.frombuffer(data, np.uint8).reshape(many, n)
+    places, share = cells_of(encoding, min(10, 1 + n // CELL))
+    cells = np.frombuffer(data.translate(bytes(places.tolist()).ljust(256)), np.uint8).reshape(many, n)
+    seen, expected = np.stack([np.count_nonzero(cells == k, axis=1) for k in range(len(share))], axis=1), n * share
+    uniform = _chi_tails(((seen - expected) ** 2 / expected).sum(axis=1), len(share) - 1)
+
+    one_sort = 0.5 ** (n - 1)
+    high = values >= size / 2
+    up = np.count_nonzero(high, axis=1).astype(float)
+    mean = 2 * up * (n - up) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    apart = np.abs(1 + np.count_nonzero(high[:, 1:] != high[:, :-1], axis=1) - mean)
+    runs = np.where(spread > 0, np.minimum(1, _erfc(apart / np.sqrt(2 * np.where(spread > 0, spread, 1)))), one_sort)
+
+    centred = values - values.mean(axis=1, keepdims=True)
+    whole = np.einsum("ij,ij->i", centred, centred)
+    r = np.einsum("ij,ij->i", centred[:, 1:], centred[:, :-1]) / np.where(whole > 0, whole, 1)
+    serial = np.where(whole > 0, np.minimum(1, _erfc(np.abs(r + 1 / n) * math.sqrt(n / 2))), one_sort)
+
+    logs = sum(np.log(np.maximum(p, 1e-300)) for p in (uniform, runs, serial))
+    p = np.maximum(_chi_tails(-2 * logs, 6), 1e-300)
+    return np.clip(-STEPS * np.log2(p), 0, CLASSES).astype(int)
+
+
+def ordinary_classes(texts: list[bytes], strata: Iterable[tuple[str, int]]) -> Iterator[tuple[str, int, np.ndarray]]:
+    """(encoding, length class, p classes) of all consecutive stretches of ordinary texts: in each
+    stratum's alphabet, of a text's characters that the alphabet has, each as long as the class takes.
+    Less than a stretch at a text's end is left."""
+    for encoding, group in groupby(sorted(strata), key=lambda x: x[0]):
+        own = [own_letters(data, encoding) for data in texts]
+        for _, length in group:
+            n = stretch_length(length)
+            data = b"".join(x[: len(x) // n * n] for x in own)
+            rows = np.frombuffer(data, np.uint8).reshape(-1, n)
+            step = max(1, BLOCK // n)
+            for at in range(0, len(rows), step):
+                yield encoding, length, p_classes(rows[at : at + step], encoding)
+
+
+def ordinary(text: str, longest: int = 64) -> Iterator[tuple[str, int, int]]:
+    """The same of ordinary text: of all its stretches in every alphabet and length class of strings up to `longest`."""
     data = text.encode("utf-8", "surrogatepass")
-    length = int(4 * math.log2(TESTED)) + crc32(data) % LENGTHS
-    n = math.ceil(2 ** (length / 4))
-    for encoding in ALPHABETS:
-        own = _CASE[encoding](data).translate(None, _REST[encoding])
-        if len(own) >= n:
-            middle = (len(own) - n) // 2
-            yield encoding, length, p_class(random_p(own[middle : middle + n].decode(), encoding))
+    strata = [(encoding, k) for encoding in ALPHABETS for k in range(FIRST, int(4 * math.log2(longest)) + 1)]
+    for encoding, length, classes in ordinary_classes([data], strata):
+        yield from ((encoding, length, k) for k in classes.tolist())
+
+
+def held_against(
+    strings: dict[tuple[str, int], dict[int, int]], stretches: dict[tuple[str, int], int], rate: float = RATE
+) -> dict[tuple[str, int], tuple[str, int]]:
+    """For each stratum of strings the one whose ordinary stretches it is held against.
+
+    That is its own, if there are stretches enough to report a single string, else the next shorter
+    class that has as many, else the one with the most. Shorter stretches look more random, so that
+    this reports less and not more.
+    """
+    out = {}
+    for (encoding, length), classes in strings.items():
+        ways = [(encoding, k) for k in range(length, FIRST - 1, -1) if stretches.get((encoding, k))]
+        if ways:
+            enough = [w for w in ways if 1 + stretches[w] >= sum(classes.values()) / rate]
+            out[encoding, length] = enough[0] if enough else max(ways, key=stretches.__getitem__)
+    return out
 
 
 def cutoffs(
@@ -207,7 +291,7 @@ def cutoffs(
     """
     out = {}
     for name, classes in strings.items():
-        null = reference.get(name) or reference.get((name[0], min(name[1], LONGEST)), {})
+        null = reference.get(name, {})
         total, plain, seen, alike = sum(classes.values()), sum(null.values()), 0, 0
         for k in range(CLASSES + 1):
             seen, alike = seen + classes.get(k, 0), alike + null.get(k, 0)
@@ -239,26 +323,61 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def battery_limits(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> dict[tuple[str, int], int]:
-    """Test the strings and stretches of ordinary text of all documents and set the limits by stratum.
+    """Test the strings and all stretches of ordinary text of all documents and set the limits by stratum.
 
-    Tasks count p-values by class; a stratum has at most CLASSES + 1 of them, and strata grow with
-    the logarithm of the longest string, so what comes to the driver is bounded.
+    A first pass tests the strings and counts how many stretches each alphabet and length class has; a
+    second one tests the stretches that the strings are held against. Tasks count p-values by
+    class; a stratum has at most CLASSES + 1 of them, and strata grow with the logarithm of the
+    longest string or text, so what comes to the driver is bounded.
     """
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def strings_counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            seen = Counter()
+            seen, sizes = Counter(), {encoding: [] for encoding in ALPHABETS}
             for text in rows["text"]:
                 seen.update((True, *k) for k in tested(text))
-                seen.update((False, *k) for k in ordinary(text))
+                data = text.encode("utf-8", "surrogatepass")
+                for encoding, own in sizes.items():
+                    own.append(len(own_letters(data, encoding)))
+            for encoding, own in sizes.items():
+                most, length = np.array(own), FIRST
+                while many := int((most // stretch_length(length)).sum()):
+                    seen[False, encoding, length, 0], length = many, length + 1
             yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["string", "encoding", "length", "p", "n"])
 
     texts = docs.filter(F.octet_length(text_col) >= TESTED).select(F.col(text_col).alias("text"))
-    cells = texts.mapInPandas(counted, "string boolean, encoding string, length int, p int, n long")
+    cells = texts.mapInPandas(strings_counted, "string boolean, encoding string, length int, p int, n long")
     found: dict[bool, dict[tuple[str, int], dict[int, int]]] = {True: {}, False: {}}
     for r in cells.groupBy("string", "encoding", "length", "p").agg(F.sum("n").alias("n")).collect():
         found[r.string].setdefault((r.encoding, r.length), {})[r.p] = r.n
-    return cutoffs(found[True], found[False], rate)
+    against = held_against(found[True], {name: n[0] for name, n in found[False].items()}, rate)
+    strata = set(against.values())
+
+    def stretches_counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = {name: np.zeros(CLASSES + 1, int) for name in strata}
+
+        def add(block: list[bytes]) -> None:
+            for encoding, length, classes in ordinary_classes(block, strata):
+                seen[encoding, length] += np.bincount(classes, minlength=CLASSES + 1)
+
+        for rows in batches:
+            block, held = [], 0
+            for text in rows["text"]:
+                block.append(text.encode("utf-8", "surrogatepass"))
+                held += len(block[-1])
+                if held >= BLOCK:
+                    add(block)
+                    block, held = [], 0
+            add(block)
+        cells = [(*name, int(k), int(counts[k])) for name, counts in seen.items() for k in np.flatnonzero(counts)]
+        yield pd.DataFrame(cells, columns=["encoding", "length", "p", "n"])
+
+    reference: dict[tuple[str, int], dict[int, int]] = {}
+    if strata:
+        cells = texts.mapInPandas(stretches_counted, "encoding string, length int, p int, n long")
+        for r in cells.groupBy("encoding", "length", "p").agg(F.sum("n").alias("n")).collect():
+            reference.setdefault((r.encoding, r.length), {})[r.p] = r.n
+    return cutoffs(found[True], {name: reference[way] for name, way in against.items()}, rate)
 
 
 def secret_spans(docs: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -72,6 +72,27 @@ def test_p_values_of_random_strings_are_level():
         assert 0.3 < sum(p > 0.5 for p in found) / 400 < 0.7
 
 
+def test_all_ordinary_text_is_tested():
+    """Every stretch counts, in every length class, with the class that it has on its own."""
+    rng = random.Random(5)
+    text = " ".join(prose(rng, 5)) + "a" * 900
+    found = histogram(secrets.ordinary(text, 1100))
+    for encoding, length in (("base36", secrets.FIRST), ("hex", 22), ("base62", 30), ("base64", 40)):
+        own, n = secrets.own_letters(text.encode(), encoding).decode(), secrets.stretch_length(length)
+        alone = [secrets.p_class(secrets.random_p(own[i : i + n], encoding)) for i in range(0, len(own) - n + 1, n)]
+        assert found[encoding, length] == histogram((encoding, length, k) for k in alone)[encoding, length]
+
+
+def test_few_long_documents_are_enough(spark):
+    """Two documents have stretches enough for a short and for a very long key."""
+    rng = random.Random(6)
+    short, long = keys(rng, secrets.ALPHABETS["base62"], 44, 1)[0] + "b7Z", keys(rng, secrets.ALPHABETS["base62"], 3000, 1)[0] + "A7z"
+    texts = [" ".join(prose(rng, 40)) + f" {short} ", " ".join(prose(rng, 40)) + f" {long}"]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA)
+    found = {r.doc_id: r.spans for r in secrets.secret_spans(docs).collect()}
+    assert found == {i: f"random:{texts[i].index(k)}:{texts[i].index(k) + len(k)}" for i, k in enumerate((short, long))}
+
+
 def test_cutoffs_follow_the_rule():
     strings = {("x", 1): {0: 90, 40: 10}, ("y", 1): {0: 2, 30: 98}, ("z", 1): {8: 1}}
     reference = {("x", 1): {30: 99}, ("y", 1): {10: 50, 30: 50}}
