@@ -21,10 +21,12 @@ ASSIGN = re.compile(
     r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII
 )
 KEYWORDS = ("password", "passwd", "secret", "token", "api")
+# Stretches of one alphabet in strings that mix those of base64 and base64url.
+PARTS = [re.compile(f"[{own}]{{16,}}") for own in ("A-Za-z0-9_-", "A-Za-z0-9+/", "A-Za-z0-9")]
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")
 ASSIGNED, SHORTEST = 12, 16
-# Strings that the battery looks at: it says little about shorter ones.
-TESTED = 20
+# Strings that the battery looks at. It says little about the shortest; their own limits see to that.
+TESTED = SHORTEST
 # Of the strings reported as random, the share that may be ordinary ones.
 RATE = 0.05
 # Cells of an alphabet's classes: strings of so many characters have one more for each class.
@@ -35,9 +37,12 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 ALPHABETS = {
     "hex": DIGITS + LOWER[:6],
     "HEX": DIGITS + UPPER[:6],
+    "lower": LOWER,
+    "UPPER": UPPER,
     "base32": UPPER + DIGITS[2:8],
     "base36": DIGITS + LOWER,
     "BASE36": DIGITS + UPPER,
+    "letters": UPPER + LOWER,
     "base62": UPPER + LOWER + DIGITS,
     "base64": UPPER + LOWER + DIGITS + "+/",
     "base64url": UPPER + LOWER + DIGITS + "-_",
@@ -94,15 +99,28 @@ def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, i
     return sorted(found)
 
 
+def _encoding(piece: str) -> str | None:
+    letters = frozenset(piece)
+    return next((name for name, own in _SETS.items() if letters <= own), None)
+
+
 def pieces(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
-    """(start, end, encoding) of the strings to be tested: with a letter and a digit, parted by '='."""
+    """(start, end, encoding) of the strings to be tested: with a letter, parted by '='.
+
+    What no alphabet has all characters of, as a path with a base64url key in it, is parted at those
+    of base64 alone, at those of base64url alone and at both. These strings may overlap.
+    """
     for start, stop in runs:
         for piece in text[start:stop].split("="):
-            end, letters = start + len(piece), frozenset(piece)
-            if len(piece) >= TESTED and not letters.isdisjoint(DIGITS) and not letters.isdisjoint(LOWER + UPPER):
-                if encoding := next((name for name, own in _SETS.items() if letters <= own), None):
-                    yield start, end, encoding
-            start = end + 1
+            if len(piece) >= TESTED and not piece.isdigit():
+                if encoding := _encoding(piece):
+                    yield start, start + len(piece), encoding
+                else:
+                    parts = {m.span() for part in PARTS for m in part.finditer(piece)}
+                    for a, b in sorted(parts):
+                        if not piece[a:b].isdigit() and (encoding := _encoding(piece[a:b])):
+                            yield start + a, start + b, encoding
+            start += len(piece) + 1
 
 
 def _above(z: float) -> float:
@@ -119,8 +137,11 @@ def chi_tail(x: float, freedom: int) -> float:
 def cells_of(encoding: str, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """For each place of an alphabet its cell, and the share of the alphabet in each cell.
 
-    Letters of a case make `parts` cells, digits half as many, other characters one.
+    Letters of a case make `parts` cells, two at least if there is nothing else; digits half as many,
+    other characters one.
     """
+    if encoding in ("lower", "UPPER"):
+        parts = max(parts, 2)
     cell, n = [], 0
     for letters, split in ((UPPER, parts), (LOWER, parts), (DIGITS, (parts + 1) // 2), ("+/-_", 1)):
         own = [c for c in ALPHABETS[encoding] if c in letters]
@@ -306,7 +327,7 @@ class Found(NamedTuple):
 
 
 def scan(text: str, limits: dict[tuple[str, int], int]) -> Found:
-    """Base spans, and the strings outside of them that pass for random."""
+    """Base spans, and the strings outside of them that pass for random, the longer of two that overlap."""
     runs = long_runs(text)
     base = base_spans(text, runs)
     added = []
@@ -315,7 +336,14 @@ def scan(text: str, limits: dict[tuple[str, int], int]) -> Found:
             continue
         if p_class(random_p(text[start:end], encoding)) <= limits.get(stratum(encoding, end - start), -1):
             added.append((start, len(KINDS) - 1, end))
-    return Found(base, added)
+    whole, last = [], -1
+    for start, kind, end in added:
+        if start >= last:
+            whole.append((start, kind, end))
+        elif end - start > whole[-1][2] - whole[-1][0]:
+            whole[-1] = (start, kind, end)
+        last = whole[-1][2]
+    return Found(base, whole)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -385,7 +413,7 @@ def secret_spans(docs: DataFrame, rate: float = RATE, id_col: str = "doc_id", te
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind, joined by commas;
     base_sha256 is over the spans of the fixed patterns, of nothing where there are none. Strings of
-    at least TESTED characters with letters and digits that look more random than ordinary text does,
+    at least TESTED characters with a letter that look more random than ordinary text does,
     with a share of `rate` false ones, come as kind random. Null texts count as empty; rows are scanned one by one, whole. Other columns are not
     read.
     """

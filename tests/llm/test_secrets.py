@@ -93,6 +93,18 @@ def test_few_long_documents_are_enough(spark):
     assert found == {i: f"random:{texts[i].index(k)}:{texts[i].index(k) + len(k)}" for i, k in enumerate((short, long))}
 
 
+def test_no_string_is_lost_before_the_test():
+    url, plus, letters = "Ab-9_xK3" * 4, "Ab+9/xK3" * 4, "QxZbLkTwPaRmVcYd"
+    for text, wanted in (
+        (f"com/services/T0/{url}", url), (f"my-key_{plus}", plus), (f"my_key/x-{'Ab9xK3' * 4}/y", "Ab9xK3" * 4),
+        (letters, letters), ("Ab9xK3Qw7LmZ2pRt", "Ab9xK3Qw7LmZ2pRt"),
+    ):
+        assert wanted in [text[a:b] for a, b, _ in secrets.pieces(text, secrets.long_runs(text))]
+    limits = {(e, k): secrets.CLASSES for e in secrets.ALPHABETS for k in range(60)}
+    spans = secrets.scan(f"com/services/T0/{url}", limits).added
+    assert spans == [(16, 3, 48)]
+
+
 def test_cutoffs_follow_the_rule():
     strings = {("x", 1): {0: 90, 40: 10}, ("y", 1): {0: 2, 30: 98}, ("z", 1): {8: 1}}
     reference = {("x", 1): {30: 99}, ("y", 1): {10: 50, 30: 50}}
