@@ -126,7 +126,7 @@ def held_out(id_column: Column) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Classifier:
-    """Fit on at most ROWS_PER_LANGUAGE rows of each language and ROWS in all.
+    """Fit on at most ROWS_PER_LANGUAGE rows of each language and ROWS in all; repeated rows count once.
 
     Taken are the rows with the least hash of id and text among those that are not held out and have
     id, language and a letter in the text. Tasks turn the texts into n-gram codes; only these and
@@ -136,15 +136,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(text_col).rlike(r"\p{L}")
     ).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("draw"), F.col(text_col).alias("text"))
     best = Window.partitionBy("lang").orderBy("draw")
-    drawn = able.select("lang", "draw").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= ROWS_PER_LANGUAGE)
-    drawn = drawn.orderBy("place", "lang").limit(ROWS).select("lang", "draw").distinct()
+    drawn = able.select("lang", "draw").distinct().withColumn("place", F.row_number().over(best)).filter(F.col("place") <= ROWS_PER_LANGUAGE)
+    drawn = drawn.orderBy("place", "lang").limit(ROWS).select("lang", "draw")
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             grams = [np.unique(gram_codes(t)).astype("<i4").tobytes() for t in rows["text"]]
             yield pd.DataFrame({"lang": rows["lang"], "draw": rows["draw"], "grams": grams})
 
-    sample = able.join(drawn, ["lang", "draw"], "left_semi").mapInPandas(coded, "lang string, draw long, grams binary")
+    once = able.join(drawn, ["lang", "draw"], "left_semi").dropDuplicates(["lang", "draw"])
+    sample = once.mapInPandas(coded, "lang string, draw long, grams binary")
     rows = sorted({(r.lang, r.draw, bytes(r.grams)) for r in sample.collect()})
     return fitted([np.frombuffer(g, "<i4") for _, _, g in rows], [lang for lang, _, _ in rows])
 

@@ -49,3 +49,11 @@ def test_odd_rows(spark):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {(r.lang_pred, r.score) for r in language.predictions(unlabelled).collect()} == {("und", 0.0)}
     assert language.predictions(docs.limit(0)).collect() == []
+
+
+def test_repeated_rows_count_once(spark):
+    """Rows that stand there 300 times each do not fill the places of others."""
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % language.HELD_OUT]
+    rows = [(i, f"text number {'abcdefghij'[i % 10] * (i + 1)}", "ab"[i % 2]) for i in ids] * 300
+    classifier = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert classifier.landmarks.shape[0] == len(ids)
