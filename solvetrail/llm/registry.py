@@ -7,12 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from solvetrail.llm import bpe, decontaminate, exact, language, mixing, pii, quotes, secrets, simhash, substrings
+from solvetrail.llm import automaton, bpe, decontaminate, exact, language, mixing, pii, quotes, secrets, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 BPE_FILE = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
+WORD_FILE = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,6 +70,11 @@ def op10_token_counts(spark, folder):
     return bpe.token_counts(table(spark, folder, "documents"), public_tokenizers.path(BPE_FILE), TOKEN_LIMIT)
 
 
+def op13_bpe_automaton(spark, folder):
+    """Ids of every document in the word vocabulary, and what they decode to."""
+    return automaton.token_digests(table(spark, folder, "documents"), public_tokenizers.path(WORD_FILE))
+
+
 OP2_SQL = r"""
 WITH words AS (
     SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -185,6 +191,7 @@ def queries() -> dict[str, Query]:
         "op9_substring_dedup": op9_substring_dedup,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op10_token_counts": op10_token_counts,
+        "op13_bpe_automaton": op13_bpe_automaton,
     }
 
 
