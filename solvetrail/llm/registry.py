@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from solvetrail.llm import automaton, bpe, decontaminate, exact, language, mixing, pii, quotes, secrets, simhash, substrings
+from solvetrail.llm import automaton, bpe, decontaminate, exact, language, mixing, pii, quotes, runs, secrets, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,11 @@ def op10_token_counts(spark, folder):
     return bpe.token_counts(table(spark, folder, "documents"), public_tokenizers.path(BPE_FILE), TOKEN_LIMIT)
 
 
+def op11_periodic_runs(spark, folder):
+    """Periodic stretches of words in every document, some of which get such a stretch first."""
+    return runs.run_digests(table(spark, folder, "documents"))
+
+
 def op13_bpe_automaton(spark, folder):
     """Ids of every document in the word vocabulary, and what they decode to."""
     return automaton.token_digests(table(spark, folder, "documents"), public_tokenizers.path(WORD_FILE))
@@ -191,6 +196,7 @@ def queries() -> dict[str, Query]:
         "op9_substring_dedup": op9_substring_dedup,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op10_token_counts": op10_token_counts,
+        "op11_periodic_runs": op11_periodic_runs,
         "op13_bpe_automaton": op13_bpe_automaton,
     }
 
