@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from solvetrail.llm import automaton, bpe, decontaminate, exact, language, mixing, pii, quotes, runs, secrets, simhash, substrings
+from solvetrail.llm import automaton, bpe, codes, decontaminate, exact, language, mixing, pii, quotes, runs, secrets, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,11 @@ def op11_periodic_runs(spark, folder):
     return runs.run_digests(table(spark, folder, "documents"))
 
 
+def op12_vector_codes(spark, folder):
+    """Every vector as a code of four entries, with what the code loses."""
+    return codes.compressed(table(spark, folder, "embeddings"))
+
+
 def op13_bpe_automaton(spark, folder):
     """Ids of every document in the word vocabulary, and what they decode to."""
     return automaton.token_digests(table(spark, folder, "documents"), public_tokenizers.path(WORD_FILE))
@@ -184,6 +189,84 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha2
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (
+    SELECT i AS byte, i::UBIGINT AS c, 0 AS k FROM range(256) AS t(i)
+    UNION ALL
+    SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (
+    SELECT list(c ORDER BY byte) AS t FROM bits WHERE k = 8
+), hashed AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, xor(list_reduce(
+        list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ord(x)::UBIGINT)),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS h
+    FROM documents, crc
+), sized AS (
+    SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS plant, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS times
+    FROM hashed
+), texts AS (
+    SELECT row_number() OVER () AS id, doc_id, n, CASE WHEN plant THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i
+        ELSE a + (i - a) % (1 + (n - a) // times) END]) ELSE w END AS w
+    FROM sized
+), windows AS (
+    SELECT id, i, hash(array_to_string(w[i + 1:i + 6], ' ')) AS h FROM texts, unnest(range(n - 5)) AS t(i)
+), pairs AS (
+    SELECT x.id, x.i, y.i - x.i AS q FROM windows x JOIN windows y ON x.id = y.id AND x.h = y.h AND x.i < y.i
+), islands AS (
+    SELECT id, q, i, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS island FROM pairs
+), stretches AS (
+    SELECT id, q, min(i) AS start, max(i) + 6 + q - min(i) AS length FROM islands GROUP BY id, q, island
+), runs AS (
+    SELECT id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(12, 2 * q) GROUP BY id, start, length
+), gone AS (
+    SELECT id, list(DISTINCT i) AS places FROM runs, unnest(range(start + period, start + length)) AS t(i) GROUP BY id
+), found AS (
+    SELECT id, count(*) AS n_runs, arg_min(struct_pack(s := start, n := length, p := period), (-length, start, period)) AS best,
+        string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+    FROM runs GROUP BY id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.n AS length, best.p AS period,
+    1000 * best.n // best.p AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+    sha256(array_to_string(list_select(w, list_filter(range(1, n + 1), lambda p: places IS NULL OR NOT list_contains(places, p - 1))), ' ')) AS collapsed_sha256
+FROM texts LEFT JOIN found USING (id) LEFT JOIN gone USING (id)
+"""
+
+# One assignment and one update per round, four of each, and a last assignment.
+_OP12_START = """
+WITH kept AS (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+    SELECT id, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS v FROM kept, unnest(range(4)) AS t(part)
+), book0 AS MATERIALIZED (
+    SELECT part, id - 1 AS entry, v FROM parts WHERE id <= 256
+)"""
+_OP12_ASSIGN = """, near{k} AS MATERIALIZED (
+    SELECT id, part, min((list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, b.entry)) AS hit
+    FROM parts p JOIN book{k} b USING (part) GROUP BY id, part
+)"""
+_OP12_UPDATE = """, sums{k} AS (
+    SELECT part, hit[2] AS entry, place, sum(v[place + 1])::BIGINT AS s, count(*) AS c
+    FROM near{k} JOIN parts USING (id, part), unnest(range(len(v))) AS t(place) GROUP BY ALL
+), book{next} AS MATERIALIZED (
+    SELECT part, entry, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN
+        (SELECT part, entry, list((s - ((s % c) + c) % c) // c ORDER BY place) AS v FROM sums{k} GROUP BY part, entry) m USING (part, entry)
+)"""
+_OP12_END = """, coded AS (
+    SELECT id, string_agg(printf('%02x', hit[2]), '' ORDER BY part) AS code, sum(hit[1])::BIGINT AS error FROM near4 GROUP BY id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+    (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM book4) AS codebooks_sha256
+FROM kept JOIN coded USING (id)
+"""
+OP12_SQL = (
+    _OP12_START
+    + "".join(_OP12_ASSIGN.format(k=k) + _OP12_UPDATE.format(k=k, next=k + 1) for k in range(4))
+    + _OP12_ASSIGN.format(k=4)
+    + _OP12_END
+)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
@@ -197,6 +280,7 @@ def queries() -> dict[str, Query]:
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op10_token_counts": op10_token_counts,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_vector_codes": op12_vector_codes,
         "op13_bpe_automaton": op13_bpe_automaton,
     }
 
@@ -208,4 +292,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_dedup": OP3_SQL,
         "op8_quotation_linking": OP8_SQL,
         "op9_substring_dedup": OP9_SQL,
+        "op11_periodic_runs": OP11_SQL,
+        "op12_vector_codes": OP12_SQL,
     }
