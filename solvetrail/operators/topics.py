@@ -12,9 +12,12 @@ from solvetrail.sources.mapping import Mapping, with_categories
 
 def topic_totals(rows: DataFrame, mapping: Mapping | None = None) -> DataFrame:
     """Per topic: rows, rows by level and the latest date. Without a mapping a topic an
-    item names twice counts twice; with one, an item counts once per category."""
+    item names twice counts twice; with one, an item counts once per category. Rows that carry
+    `categories` already are counted by those."""
+    if "categories" not in rows.columns:
+        rows = with_categories(rows.select("user_id", "difficulty", "date_solved", "topics"), mapping)
     return (
-        with_categories(rows.select("user_id", "difficulty", "date_solved", "topics"), mapping)
+        rows
         .select("user_id", "difficulty", "date_solved", F.explode("categories").alias("topic"))
         .groupBy("user_id", "topic")
         .agg(

@@ -135,6 +135,10 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
+def _with_crc(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",".join(parts)
+
+
 def _base(first: str = _FIRST, subs: str = _SUBS) -> tuple[str, ...]:
     return (subs, _ITEMS, first, _SOLVED, _CLEAN)
 
@@ -241,15 +245,97 @@ clean AS (
 _MERGED = (_SUBS, _ITEMS, _FIRST, _SOLVED, _STORED_THEN_NEW)
 
 
+# CRC-32 of a text, for the fixtures that break bodies by it. The text has no more than ASCII.
+_CRC = """
+bits AS (
+  SELECT i AS byte, i::UBIGINT AS c, 0 AS k FROM range(256) AS t(i)
+  UNION ALL
+  SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY byte) AS steps FROM bits WHERE k = 8)"""
+
+
+def _drawn(key: str) -> str:
+    """The CRC-32 of a text, where `crc` is joined."""
+    return f"""xor(list_reduce(list_prepend(4294967295::UBIGINT,
+         list_transform(string_split({key}, ''), lambda x: ord(x)::UBIGINT)),
+         lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)"""
+
+
+def _keyed(name: str, source: str, key: str) -> str:
+    """A table of the keys in `source`, with the number that says whether the key's body is broken."""
+    return f"""
+{name} AS (SELECT k.*, {_drawn(key)} AS d FROM ({source}) k, crc)"""
+
+
+def _faults(name: str, source: str, key: str, start: str) -> str:
+    """The side table's rows for the broken bodies, whose whole texts begin with `start`."""
+    return f"""
+SELECT '{source}' AS source, {key} AS key, CASE WHEN d % 30 = 20 THEN 'missing' ELSE 'unreadable' END AS reason,
+       CASE d % 30 WHEN 0 THEN '{start}' WHEN 10 THEN '<html>busy</html>' END AS body
+FROM {name} WHERE d % 10 = 0"""
+
+
+_PAGES = """
+paged AS (
+  SELECT *, date_diff('day', CAST(make_timestamp(-seq) AS DATE), DATE '2024-01-31') * 1000000 AS page FROM subs),
+listed AS (
+  SELECT *, page + row_number() OVER (PARTITION BY user_id, page ORDER BY paged.seq, title, title_slug,
+         CAST(CAST(floor(epoch(solved_at)) AS BIGINT) AS VARCHAR) NULLS FIRST, CASE WHEN ok THEN 'A' ELSE 'W' END,
+         language, CAST(CAST(runtime AS BIGINT) AS VARCHAR), CAST(memory AS VARCHAR)) - 1 AS place FROM paged)"""
+_PAGE_KEYS = _keyed("page_keys", "SELECT DISTINCT user_id, page FROM paged", "user_id || '/' || page")
+_ITEM_KEYS = _keyed("item_keys", "SELECT title_slug, problem_id FROM items", "title_slug")
+_READABLE = (_CRC, _SUBS, _PAGES, _PAGE_KEYS)
+_BAD_CELLS = """
+SELECT 'items' AS source, title_slug AS key, 'stats' AS reason, 'none' AS body FROM item_keys
+WHERE d % 10 <> 0 AND CAST(problem_id AS BIGINT) % 7 = 3"""
+_CALENDAR_KEYS = _keyed("calendar_keys", "SELECT DISTINCT user_id FROM calendar", "CAST(user_id AS VARCHAR)")
+_CHANGED_ITEMS = _ITEMS.replace("items AS (", "changed_items AS (").replace(
+    "CASE WHEN p_size <= 16 AND", "CASE WHEN p_partkey % 5 = 0 THEN CASE WHEN p_size > 33 AND p_size <= 47 THEN 'Easy' ELSE 'Hard' END WHEN p_size <= 16 AND"
+).replace("list_append(string_split(p_name, ' '),", "CASE WHEN p_partkey % 11 = 0 THEN string_split(p_name, ' ')[1:1] ELSE list_append(string_split(p_name, ' '),").replace(
+    "lower(substr(p_type, 2))) AS topics", "lower(substr(p_type, 2))) END AS topics"
+)
+# Stored items under the changed metadata, then the new ones.
+_UPSERTED = """
+renewed AS (
+  SELECT s.user_id, s.seq, s.title_slug, s.date_solved, i.problem_id, i.title, i.difficulty, i.topics
+  FROM (SELECT user_id, seq, title_slug, date_solved FROM merged) s JOIN changed_items i ON i.title_slug = s.title_slug),
+upserted AS (
+  SELECT * REPLACE (CASE trim(difficulty) WHEN 'Easy' THEN 'Easy' WHEN 'easy' THEN 'Easy'
+                    WHEN 'Medium' THEN 'Medium' WHEN 'Hard' THEN 'Hard' ELSE 'Unknown' END AS difficulty)
+  FROM renewed)"""
+
+
 def statements() -> dict[str, str]:
     ev, ln = _with(*_EVENTS), _with(*_LINES)
     shorts = _base(_LIMITED.format(limit=20))
     return {
-        "s1_submissions": f"""{_with(_SUBS)}
-SELECT user_id, seq, title, title_slug, CAST(CAST(floor(epoch(solved_at)) AS BIGINT) AS VARCHAR) AS timestamp,
+        "s1_submissions": f"""{_with(_SUBS, _PAGES)}
+SELECT user_id, place AS seq, title, title_slug, CAST(CAST(floor(epoch(solved_at)) AS BIGINT) AS VARCHAR) AS timestamp,
        CASE WHEN ok THEN 'Accepted' ELSE 'Wrong Answer' END AS status, language,
        CAST(CAST(runtime AS BIGINT) AS VARCHAR) || ' ms' AS runtime, CAST(memory AS VARCHAR) || ' MB' AS memory
-FROM subs""",
+FROM listed""",
+        "s1_readable_pages": f"""{_with_crc(*_READABLE)}
+SELECT user_id, place AS seq, title_slug FROM listed JOIN page_keys USING (user_id, page) WHERE d % 10 <> 0""",
+        "s1_rejected_pages": _with_crc(*_READABLE) + _faults("page_keys", "submissions", "user_id || '/' || page", '{"recentSubm'),
+        "s2_rejected_items": _with_crc(_CRC, _ITEMS, _ITEM_KEYS) + _faults("item_keys", "items", "title_slug", '{"question":')
+        + " UNION ALL " + _BAD_CELLS,
+        "s3_rejected_profiles": _with_crc(_CRC, _keyed("people", "SELECT c_custkey FROM customer", "CAST(c_custkey AS VARCHAR)"))
+        + _faults("people", "profiles", "CAST(c_custkey AS VARCHAR)", '{"matchedUse'),
+        "a12_rejected_calendars": _with_crc(_CRC, _CALENDAR, _CALENDAR_KEYS)
+        + _faults("calendar_keys", "calendars", "CAST(user_id AS VARCHAR)", '{"matchedUse')
+        + """ UNION ALL SELECT 'calendars', CAST(user_id AS VARCHAR), 'calendar',
+       '{"matchedUser":{"userCalendar":{"submissionCalendar":"not a calendar"}}}' FROM calendar_keys WHERE d % 10 <> 0 AND user_id % 9 = 4""",
+        "a12_readable_calendars": f"""{_with_crc(_CRC, _CALENDAR, _CALENDAR_KEYS)}
+SELECT user_id, date, n FROM calendar JOIN calendar_keys USING (user_id) WHERE d % 10 <> 0 AND user_id % 9 <> 4""",
+        "a10_errors": f"""{_with_crc(*_READABLE, _ITEMS, _ITEM_KEYS)},
+lost AS (
+  SELECT (SELECT count(*) FROM page_keys WHERE d % 10 = 0) + (SELECT count(*) FROM item_keys WHERE d % 10 = 0)
+         + (SELECT count(*) FROM ({_BAD_CELLS})) AS n),
+found AS (
+  SELECT count(*) AS n FROM (SELECT DISTINCT user_id, title_slug FROM listed JOIN page_keys USING (user_id, page) WHERE d % 10 <> 0 AND ok)
+  JOIN item_keys USING (title_slug) WHERE d % 10 <> 0)
+SELECT found.n AS total_problems, found.n AS new_problems, 0::BIGINT AS updated_problems, lost.n AS errors, lost.n AS rejected
+FROM found, lost""",
         "s2_details": f"""{_with(_ITEMS)}
 SELECT title_slug, problem_id, title, difficulty, category, is_paid_only,
        array_to_string(topics, ', ') AS topics_text, company AS companies_text,
@@ -461,6 +547,29 @@ SELECT *, 1.0::DOUBLE AS percentage FROM ({_TOTALS})""",
         "e9_incremental_progress": _with(*_MERGED, _DAYS) + _PROGRESS,
         "e10_cleanup": f"""{_with(*_EVENTS)}
 SELECT user_id, title, date_solved FROM clean WHERE date_solved >= DATE '2024-01-21'""",
+        "e10_cleanup_analytics": f"""{_with(*_EVENTS)},
+topic_rows AS (
+  SELECT user_id, title_slug, difficulty, date_solved, unnest(topics) AS topic FROM clean WHERE date_solved >= DATE '2024-01-21')
+{_TOTALS}""",
+        "e9_upserted": _with(*_MERGED, _CHANGED_ITEMS, _UPSERTED) + _PROBLEMS.replace("FROM clean", "FROM upserted"),
+        "e9_upserted_analytics": f"""{_with(*_MERGED, _CHANGED_ITEMS, _UPSERTED)},
+topic_rows AS (SELECT user_id, title_slug, difficulty, date_solved, unnest(topics) AS topic FROM upserted){_TOTALS}""",
+        "e9_upserted_stats": f"""{_with(*_MERGED, _CHANGED_ITEMS, _UPSERTED)}
+SELECT (SELECT count(*) FROM merged) AS total_problems,
+       (SELECT count(*) FROM merged) - (SELECT count(*) FROM stored) AS new_problems,
+       (SELECT count(*) FROM stored JOIN clean USING (user_id, title_slug) JOIN upserted u USING (user_id, title_slug)
+        WHERE clean.difficulty <> u.difficulty OR clean.topics <> u.topics) AS updated_problems,
+       CAST(0 AS BIGINT) AS errors""",
+        "e8_changed_stats": f"""{_with(*_MERGED, _CHANGED_ITEMS, _UPSERTED)},
+before AS (
+  SELECT s.user_id, s.title_slug, s.date_solved, c.difficulty, c.topics
+  FROM stored s JOIN clean c USING (user_id, title_slug)),
+now AS (SELECT s.user_id, s.title_slug, s.date_solved, u.difficulty, u.topics FROM solved s JOIN upserted u USING (user_id, title_slug))
+SELECT count(*) AS total_problems, count(*) FILTER (b.user_id IS NULL) AS new_problems,
+       count(*) FILTER (b.user_id IS NOT NULL AND (b.date_solved IS DISTINCT FROM n.date_solved
+                        OR b.difficulty <> n.difficulty OR b.topics <> n.topics)) AS updated_problems,
+       CAST(0 AS BIGINT) AS errors
+FROM now n LEFT JOIN before b USING (user_id, title_slug)""",
         "e11_e12_backup_restore": f"{_with(*_EVENTS)} SELECT user_id, title, date_solved, problem_id FROM clean",
         "a10_run_stats": f"""{_with(*_MERGED)}
 SELECT (SELECT count(*) FROM merged) AS total_problems,

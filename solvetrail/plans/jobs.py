@@ -3,24 +3,32 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import hashlib
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvetrail.functions.text import join_list, split_list
-from solvetrail.operators import daily, select, topics
+from solvetrail.functions.dates import month_key
+from solvetrail.operators import changes, daily, topics
 from solvetrail.plans.solved import solved, validated
 from solvetrail.sources import backup as backups
+from solvetrail.sources.bodies import Opened
 from solvetrail.sources.items import catalogue
 from solvetrail.sources.mapping import Mapping
-from solvetrail.sources.tables import Counters, Snapshot, Store, problem_rows, progress_rows
+from solvetrail.sources.tables import Counters, Snapshot, Store, problem_records, problem_rows, progress_rows
 
 RETENTION_DAYS = 365
-# In place of the mapping's key: the stored totals are not what the stored rows give.
-RECOUNT = "recount"
+
+# A user's item in the Problems table, its title, what makes it another version of the item, and what a new
+# version takes over from the stored row: when and how it was solved.
+KEY, TITLE = ["user_id", "name", "problem_id"], ["user_id", "name"]
+COMPARED, KEPT = ["difficulty", "topics_text"], ["date_solved", "attempts", "status", "month"]
+
+# Landed rows, or what was read of landed bodies together with what could not be.
+Landed = DataFrame | Opened
 
 
 @dataclass(frozen=True)
@@ -48,73 +56,118 @@ class Run:
     count_attempts: bool = False
 
     @property
-    def mapping_key(self) -> str | None:
-        if not self.mapping:
+    def settings(self) -> str | None:
+        """What the Analytics and Progress tables depend on besides Problems; None if nothing is set."""
+        if not self.mapping and not self.streak_rule:
             return None
-        return hashlib.sha256(json.dumps([list(m) for m in self.mapping]).encode()).hexdigest()
+        chosen = [[list(m) for m in self.mapping or ()], self.streak_rule]
+        return hashlib.sha256(json.dumps(chosen).encode()).hexdigest()
 
+    def analytics(self, records: DataFrame) -> DataFrame:
+        """Topic totals of records as the Problems table holds them."""
+        return topics.topic_totals(records, self.mapping)
 
-def full_refresh(
-    run: Run, submissions: DataFrame, items: DataFrame, limit: int | None = None
-) -> Outcome:
-    """Rebuild the three tables from the landed rows."""
-    fetched = solved(submissions, catalogue(items), limit, run.count_attempts)
+    def progress(self, days: DataFrame) -> DataFrame:
+        return progress_rows(daily.progress(days, self.streak_rule), self.run_ts)
+
+
+def full_refresh(run: Run, submissions: Landed, items: Landed, limit: int | None = None) -> Outcome:
+    """Rebuild the three tables from the landed rows.
+
+    Items count as new or updated against the tables before. If no cell of Problems would change, nothing is
+    written.
+    """
+    errors = _reject(run, "full", submissions, items)
+    fetched = solved(_rows(submissions), catalogue(_rows(items)), limit, run.count_attempts)
     with run.store.staging() as stage:
-        rows = stage(validated(fetched))
-        total, lossless = _counted(rows)
+        rows = stage(problem_rows(validated(fetched), run.run_ts))
+        total = rows.count()
         if not total:
-            return Outcome("nothing_fetched" if fetched.isEmpty() else "nothing_valid")
-        base, counters = run.store.latest(), Counters(total, total)
-        return _replace(run, base, "full", rows, counters, lossless)
+            return Outcome("nothing_fetched" if fetched.isEmpty() else "nothing_valid", Counters(errors=errors))
+        base, counters = run.store.latest(), Counters(total, total, 0, errors)
+        if base and base.counters.total_problems:
+            cells = [c for c in rows.columns if c not in (*KEY, "last_updated")]
+            found = changes.differences(base.read("problems"), rows, KEY, cells).first()
+            counters = Counters(total, found["new"], found["updated"], errors)
+            if base.last["settings"] == run.settings and not (found["new"] or found["updated"] or found["missing"]):
+                return Outcome("nothing_new", counters)
+        return _rebuild(run, base, "full", rows, counters)
 
 
 def incremental_refresh(
-    run: Run, submissions: DataFrame, items: DataFrame, limit: int | None = None
+    run: Run,
+    submissions: Landed,
+    items: Landed,
+    limit: int | None = None,
+    source: str | None = None,
+    batch: int | None = None,
 ) -> Outcome:
-    """Add the items whose titles are not in the Problems table yet.
+    """Add the items whose titles are not in the Problems table yet, and replace those whose metadata changed.
 
-    The Problems table grows by the new rows. Topic totals and day counts are sums, so
-    the new rows' figures are added to the stored ones instead of reading all items again.
-    It counts every item anew when the topic mapping changed, or when topics of the last
-    run read back differently from the Problems table.
+    A changed item keeps the date and attempts it was stored with. What is read and written are the partitions
+    that the fetched users and the changed items fall into: users with new or changed items are counted anew, and
+    everyone when the mapping or the streak rule changed. Partitions of Problems come last: a run that dies before
+    is made good by repeating it. A batch of a stream (`source`) that is recorded already changes nothing.
     """
     base = run.store.ensure(run.run_ts)
-    stored = base.counters.total_problems
+    if batch is not None and run.store.batches(source) >= batch:
+        return Outcome("nothing_new", base.counters)
+    errors = _reject(run, "incremental", submissions, items)
     with run.store.staging() as stage:
-        fetched = stage(validated(solved(submissions, catalogue(items), limit, run.count_attempts)))
-        existing = base.records()
-        new = stage(select.new_items(fetched, existing))
-        added, lossless = _counted(new)
-        if not added:
-            return Outcome("nothing_fetched" if fetched.isEmpty() else "nothing_new")
-        if stored and base.last["mapping"] != run.mapping_key:
-            totals = topics.topic_totals(select.append_rows(existing, new), run.mapping)
-        else:
-            new_totals = topics.topic_totals(new, run.mapping)
-            totals = topics.add_topic_totals(base.read("analytics"), new_totals)
-        new_days = daily.dated_days(daily.day_counts(new))
-        days = daily.add_day_counts(base.read("progress"), new_days)
-        counters = Counters(stored + added, added)
-        frames = {
-            "problems": problem_rows(new, run.run_ts),
-            "analytics": topics.analytics_rows(totals),
-            "progress": progress_rows(daily.progress(days, run.streak_rule), run.run_ts),
-        }
-        key = run.mapping_key if lossless else RECOUNT
-        run.store.commit(base, "incremental", run.run_ts, key, counters, frames, ("problems",))
+        fetched = problem_rows(validated(solved(_rows(submissions), catalogue(_rows(items)), limit, run.count_attempts)), run.run_ts)
+        fetched = stage(run.store.place("problems", fetched, base))
+        buckets = _buckets(fetched)
+        if not buckets:
+            return Outcome("nothing_fetched", Counters(errors=errors))
+        changed = stage(changes.upserts(fetched, base.placed("problems", buckets), KEY, TITLE, COMPARED, KEPT))
+        counts = {r["change"]: r["count"] for r in changed.groupBy("change").count().collect()}
+        if not counts:
+            return Outcome("nothing_new", replace(base.counters, new_problems=0, updated_problems=0, errors=errors))
+        new, updated = counts.get("new", 0), counts.get("updated", 0)
+        if base.last["settings"] != run.settings and base.counters.total_problems:
+            rows = base.placed("problems").join(changed.select(*KEY), KEY, "left_anti").unionByName(changed.drop("change"))
+            return _rebuild(run, base, "incremental", stage(rows), Counters(base.counters.total_problems + new, new, updated, errors))
+        _count_anew(run, base, stage, changed, updated)
+        run.store.write(base.last["version"], "problems", _merged(base, changed, updated))
+        counters = Counters(base.placed("problems").count(), new, updated, errors)
+        run.store.record(base, "incremental", run.run_ts, run.settings, counters, source=source, batch=batch)
         return Outcome("written", counters)
 
 
 def cleanup(run: Run, as_of: dt.date, days: int = RETENTION_DAYS) -> Outcome:
-    """Drop items older than `days` days, and undated ones."""
-    base = run.store.snapshot()
-    records = base.records()
-    with run.store.staging() as stage:
-        kept = stage(select.retained(validated(records), as_of, days))
-        left, total = kept.count(), records.count()
-        if left == total:
-            return Outcome("nothing_old", Counters(total))
-        return _replace(run, base, "cleanup", kept, Counters(left))
+    """Drop items older than `days` days, and undated ones.
+
+    Partitions of whole months are deleted unread, the month of the limit is rewritten, and the results of
+    users in the buckets that lost rows are counted anew.
+    """
+    store, base = run.store, run.store.snapshot()
+    first_day = as_of - dt.timedelta(days=days)
+    first = first_day.strftime("%Y-%m")
+    old = F.col("date_solved") < F.lit(first_day)
+    placed = base.placed("problems")
+    # Counting by partition reads no column; of the limit's month one column is read.
+    cells = {(r["bucket"], r["month"]): r["count"] for r in placed.groupBy("bucket", "month").count().collect()}
+    gone = {cell for cell in cells if cell[1] is None or cell[1] < first}
+    edge = placed.filter(F.col("month") == first).groupBy("bucket").agg(F.count_if(old).alias("n")).filter("n > 0")
+    edges = {(r["bucket"], first): r["n"] for r in edge.collect()}
+    left = sum(cells.values()) - sum(cells[cell] for cell in gone) - sum(edges.values())
+    if not gone and not edges:
+        return Outcome("nothing_old", Counters(left))
+    same = base.last["settings"] == run.settings
+    buckets = {cell[0] for cell in (gone | edges.keys() if same else cells.keys())}
+    with store.staging() as stage:
+        kept = base.placed("problems", buckets).filter((F.col("month") >= first) & ~old)
+        records = problem_records(kept)
+        results = {"analytics": topics.analytics_rows(run.analytics(records)), "progress": run.progress(daily.day_counts(records))}
+        for name, rows in results.items():
+            store.overwrite(base, name, stage(store.place(name, rows, base)), {(b,) for b in buckets})
+        if edges:
+            rows = kept.filter((F.col("month") == first) & F.col("bucket").isin(*(cell[0] for cell in edges)))
+            store.overwrite(base, "problems", stage(rows), set(edges))
+        store.drop(base, "problems", gone)
+    counters = Counters(left)
+    store.record(base, "cleanup", run.run_ts, run.settings, counters)
+    return Outcome("written", counters)
 
 
 def backup(run: Run, path: str) -> int:
@@ -126,41 +179,73 @@ def backup(run: Run, path: str) -> int:
 def restore(run: Run, path: str) -> Outcome:
     """Rebuild the three tables from a backup folder."""
     with run.store.staging() as stage:
-        rows = stage(validated(backups.read_backup(run.store.spark, path)))
-        total, lossless = _counted(rows)
-        return _replace(run, run.store.latest(), "restore", rows, Counters(total), lossless)
+        rows = stage(problem_rows(validated(backups.read_backup(run.store.spark, path)), run.run_ts))
+        return _rebuild(run, run.store.latest(), "restore", rows, Counters(rows.count()))
 
 
 def run_stats(store: Store) -> DataFrame:
     """The counters of the latest run, one row."""
-    log = store.commits()
     columns = ("total_problems", "new_problems", "updated_problems", "errors")
     newest = F.max_by(F.struct(*columns), "run_id").alias("stats")
-    return log.agg(newest).select("stats.*")
+    return store.runs().agg(newest).select("stats.*")
 
 
-def _counted(rows: DataFrame) -> tuple[int, bool]:
-    """How many rows, and whether all their topic lists survive being one text cell."""
-    topic_list = F.col("topics")
-    changed = F.max(split_list(join_list(topic_list)) != topic_list)
-    found = rows.agg(F.count("*").alias("n"), changed.alias("changed")).first()
-    return found["n"], not found["changed"]
+def _rows(landed: Landed) -> DataFrame:
+    return landed.rows if isinstance(landed, Opened) else landed
 
 
-def _replace(
-    run: Run,
-    base: Snapshot | None,
-    job: str,
-    rows: DataFrame,
-    counters: Counters,
-    lossless: bool = True,
-) -> Outcome:
-    days = daily.day_counts(rows)
+def _reject(run: Run, job: str, *landed: Landed) -> int:
+    """Write what could not be read to the side table; returns how much."""
+    found = [one.rejected for one in landed if isinstance(one, Opened)]
+    return run.store.reject(functools.reduce(DataFrame.unionByName, found), job, run.run_ts) if found else 0
+
+
+def _buckets(rows: DataFrame) -> list[int]:
+    """The buckets that rows fall into, at most as many as there are."""
+    return [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+
+
+def _merged(base: Snapshot, changed: DataFrame, updated: int) -> DataFrame:
+    """All rows of the partitions of Problems that changed items fall into."""
+    cells = changed.select("bucket", "month").distinct()
+    months = [r["month"] for r in cells.select("month").distinct().collect()]
+    named = F.col("month").isin(*(m for m in months if m is not None))
+    touched = base.placed("problems", _buckets(changed)).filter(named | F.col("month").isNull() if None in months else named)
+    same = [touched["bucket"] == cells["bucket"], touched["month"].eqNullSafe(cells["month"])]
+    rows = touched.join(cells, functools.reduce(lambda a, b: a & b, same), "left_semi")
+    if updated:
+        rows = rows.join(changed.filter("change = 'updated'").select(*KEY), KEY, "left_anti")
+    return rows.unionByName(changed.drop("change"))
+
+
+def _count_anew(run: Run, base: Snapshot, stage, changed: DataFrame, updated: int) -> None:
+    """Bring Analytics and Progress of the changed users up to date; other users' rows are copied.
+
+    A changed user's items are counted anew out of Problems as it will be, not added to what is there: so a
+    run that died after this gives the same when it is repeated.
+    """
+    store, buckets = run.store, _buckets(changed)
+    users = changed.select("user_id").distinct()
+    stored = base.placed("problems", buckets).join(users, "user_id", "left_semi").join(changed.select(*KEY), KEY, "left_anti")
+    records = stage(problem_records(stored.unionByName(changed.drop("change")).drop("bucket", "month")))
+    results = {"analytics": topics.analytics_rows(run.analytics(records)), "progress": run.progress(daily.day_counts(records))}
+    for name, rows in results.items():
+        others = base.placed(name, buckets).join(users, "user_id", "left_anti")
+        rows = others.unionByName(store.place(name, rows, base))
+        if updated:  # a bucket may have lost its last topic
+            store.overwrite(base, name, stage(rows), {(b,) for b in buckets})
+        else:
+            store.write(base.last["version"], name, rows)
+
+
+def _rebuild(run: Run, base: Snapshot | None, job: str, rows: DataFrame, counters: Counters) -> Outcome:
+    """A new version out of rows of the Problems table, which were written before."""
+    rows = rows.drop("bucket", "month")
+    records = problem_records(rows)
     frames = {
-        "problems": problem_rows(rows, run.run_ts),
-        "analytics": topics.analytics_rows(topics.topic_totals(rows, run.mapping)),
-        "progress": progress_rows(daily.progress(days, run.streak_rule), run.run_ts),
+        "problems": rows,
+        "analytics": topics.analytics_rows(run.analytics(records)),
+        "progress": run.progress(daily.day_counts(records)),
     }
-    key = run.mapping_key if lossless else RECOUNT
-    run.store.commit(base, job, run.run_ts, key, counters, frames)
+    run.store.replace(base, job, run.run_ts, run.settings, frames, counters)
     return Outcome("written", counters)

@@ -9,6 +9,7 @@ from solvetrail.functions.dates import epoch_date, written_date
 from solvetrail.functions.levels import level
 from solvetrail.functions.text import clean_list, number, number_with_unit, strip, truth, whole_number
 from solvetrail.operators import patterns, select
+from solvetrail.sources.mapping import Mapping, with_categories
 
 
 def accepted_submissions(submissions: DataFrame, limit: int | None = None) -> DataFrame:
@@ -51,9 +52,15 @@ def solved(
         number_with_unit(F.col("d.acceptance_rate")).alias("acceptance_rate"),
         tries.alias("attempts"),
         F.lit("Solved").alias("status"),
+        *(["d.categories"] if "categories" in catalogue.columns else []),
     )
 
 
+def catalogue_with_categories(catalogue: DataFrame, mapping: Mapping) -> DataFrame:
+    """Items with the categories of their topics, so that solved rows carry them and meet no mapping later."""
+    return with_categories(catalogue.withColumn("topics", clean_list(F.col("topics"))), mapping)
+
+
 def validated(rows: DataFrame) -> DataFrame:
     """Cleaned rows; columns beyond the known ones pass through. Rows without a title are dropped.
 

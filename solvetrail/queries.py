@@ -12,7 +12,7 @@ from solvetrail.functions import dates, levels
 from solvetrail.functions.text import join_list, number_with_unit
 from solvetrail.operators import changes, daily, difficulty, patterns, select, streaks, topics
 from solvetrail.plans import analytics, jobs
-from solvetrail.plans.solved import accepted_submissions, solved, validated
+from solvetrail.plans.solved import accepted_submissions, catalogue_with_categories, solved, validated
 from solvetrail.session import shared_folder, tune
 from solvetrail.sources import backup as backups
 from solvetrail.sources import items as item_source
@@ -89,39 +89,27 @@ def _solved_columns(rows: DataFrame) -> DataFrame:
 
 @query
 def s1_submissions(spark, folder):
-    """Landed submission pages, opened; every page here holds one row."""
-    rows = samples.submissions(spark, folder)
-    row = F.struct(
-        "title",
-        F.col("title_slug").alias("titleSlug"),
-        "timestamp",
-        F.col("status").alias("statusDisplay"),
-        F.col("language").alias("lang"),
-        "runtime",
-        "memory",
-    )
-    body = F.to_json(F.struct(F.array(row).alias("recentSubmissionList")))
-    pages = rows.select("user_id", F.col("seq").alias("offset"), body.alias("body"))
-    return submission_source.from_payloads(pages)
+    """Landed submission pages, opened; a page has all rows of a user's day."""
+    return submission_source.from_payloads(samples.pages(spark, folder))
+
+
+@query
+def s1_readable_pages(spark, folder):
+    """The rows of the readable pages, where one page in ten is broken."""
+    found = submission_source.opened(samples.damaged(samples.pages(spark, folder), "user_id", "offset"))
+    return found.rows.select("user_id", "seq", "title_slug")
+
+
+@query
+def s1_rejected_pages(spark, folder):
+    """The pages that can't be read, with their keys."""
+    return submission_source.opened(samples.damaged(samples.pages(spark, folder), "user_id", "offset")).rejected
 
 
 @query
 def s2_details(spark, folder):
     """Landed item bodies, opened."""
-    rows = samples.items(spark, folder)
-    question = F.struct(
-        F.col("problem_id").alias("questionId"),
-        "title",
-        F.col("title_slug").alias("titleSlug"),
-        "difficulty",
-        F.col("topic_tags").alias("topicTags"),
-        F.col("company_tags").alias("companyTagStats"),
-        "stats",
-        F.col("is_paid_only").alias("isPaidOnly"),
-        F.col("category").alias("categoryTitle"),
-    )
-    bodies = rows.select(F.to_json(F.struct(question.alias("question"))).alias("body"))
-    return item_source.catalogue(item_source.from_payloads(bodies)).select(
+    return item_source.catalogue(item_source.from_payloads(samples.item_bodies(spark, folder))).select(
         "title_slug", "problem_id", "title", "difficulty", "category", "is_paid_only",
         join_list(F.col("topics")).alias("topics_text"),
         join_list(F.col("companies")).alias("companies_text"),
@@ -129,6 +117,28 @@ def s2_details(spark, folder):
     )
 
 
+@query
+def s2_rejected_items(spark, folder):
+    """Item bodies that can't be read, and cells of items that can't."""
+    return item_source.opened(samples.damaged(samples.item_bodies(spark, folder, cells=True), "title_slug")).rejected
+
+
+@query
+def s3_rejected_profiles(spark, folder):
+    return profiles.opened(samples.damaged(samples.user_payloads(spark, folder), "user_id")).rejected
+
+
+@query
+def a12_rejected_calendars(spark, folder):
+    """Calendar bodies that can't be read, and those whose calendar can't."""
+    return submission_source.opened_calendars(samples.damaged(samples.calendar_bodies(spark, folder), "user_id")).rejected
+
+
+@query
+def a12_readable_calendars(spark, folder):
+    return submission_source.opened_calendars(samples.damaged(samples.calendar_bodies(spark, folder), "user_id")).rows
+
+
 @query
 def s3_user_profiles(spark, folder):
     users = profiles.from_payloads(samples.user_payloads(spark, folder))
@@ -297,7 +307,8 @@ def a1_topics(spark, folder):
 
 @query
 def a1_topics_mapped(spark, folder):
-    return topics.topic_totals(_clean(spark, folder), samples.MAPPING)
+    catalogue = catalogue_with_categories(_catalogue(spark, folder), samples.MAPPING)
+    return topics.topic_totals(validated(solved(samples.submissions(spark, folder), catalogue)))
 
 
 @query
@@ -670,6 +681,56 @@ def a10_run_stats(spark, folder):
     return jobs.run_stats(run.store)
 
 
+@query
+def a10_errors(spark, folder):
+    """The counters of a full run over pages and items some of which can't be read."""
+    run = jobs.Run(_store(spark, "errors"), RUN_TS)
+    pages = submission_source.opened(samples.damaged(samples.pages(spark, folder), "user_id", "offset"))
+    items = item_source.opened(samples.damaged(samples.item_bodies(spark, folder, cells=True), "title_slug"))
+    jobs.full_refresh(run, pages, items)
+    kept = run.store.rejected().agg(F.count("*").alias("rejected"))
+    return jobs.run_stats(run.store).crossJoin(kept)
+
+
+def _upserted(spark, folder, purpose) -> jobs.Run:
+    """Tables that hold the items solved before the split date, then one run with changed items."""
+    run = _before_split(spark, folder, purpose)
+    jobs.incremental_refresh(run, samples.submissions(spark, folder), samples.changed_items(spark, folder))
+    return run
+
+
+@query
+def e9_upserted(spark, folder):
+    """The Problems table after a run that brought new items and changed metadata."""
+    return _problem_columns(_upserted(spark, folder, "upsert").store.read("problems"))
+
+
+@query
+def e9_upserted_analytics(spark, folder):
+    return _upserted(spark, folder, "upsert").store.read("analytics").drop("percentage")
+
+
+@query
+def e9_upserted_stats(spark, folder):
+    return jobs.run_stats(_upserted(spark, folder, "upsert").store)
+
+
+@query
+def e8_changed_stats(spark, folder):
+    """The counters of a full run over tables of the early items, with changed metadata."""
+    run = _before_split(spark, folder, "changed")
+    jobs.full_refresh(run, samples.submissions(spark, folder), samples.changed_items(spark, folder))
+    return jobs.run_stats(run.store)
+
+
+@query
+def e10_cleanup_analytics(spark, folder):
+    """The Analytics table of what a cleanup leaves."""
+    run = _full(spark, folder, "cleanup")
+    jobs.cleanup(run, samples.AS_OF, KEPT_DAYS)
+    return run.store.read("analytics").drop("percentage")
+
+
 @query
 def t1_stream_ingest(spark, folder):
     """Three landings of ten days each, a scheduled run of the stream after each."""

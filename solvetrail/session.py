@@ -50,7 +50,24 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/solvetrail/{purpose}-{uuid.uuid4().hex}"
+    system, folder = _folder(spark, path)
+    system.deleteOnExit(folder)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it; one that is not there is fine."""
+    system, folder = _folder(spark, path)
+    system.delete(folder, True)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies directly in a folder."""
+    system, folder = _folder(spark, path)
+    return sorted(status.getPath().getName() for status in system.listStatus(folder)) if system.exists(folder) else []
+
+
+def _folder(spark: SparkSession, path: str):
     context = spark.sparkContext
     folder = context._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return path
+    return folder.getFileSystem(context._jsc.hadoopConfiguration()), folder

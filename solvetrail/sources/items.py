@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvetrail.functions import tags
 from solvetrail.functions.text import truth
+from solvetrail.sources.bodies import Opened, bad_cell, fault, parsed, rejected, strict
 
 # Field names fixed by the landed format.
 ITEM_BODY = (
@@ -16,14 +17,49 @@ ITEM_BODY = (
 )
 
 
-def read_bodies(spark: SparkSession, path: str) -> DataFrame:
-    """Landed item rows out of lines with one JSON body each."""
-    return from_payloads(spark.read.schema("body string").json(path))
+# What a landing zone holds per line: which item was asked for, and the answer.
+ITEM_BODIES = "title_slug string, body string"
+# Cells of an item that are JSON text themselves.
+CELLS = ("topic_tags", "company_tags", "stats")
+
+
+def read_bodies(spark: SparkSession, path: str) -> Opened:
+    """Landed item rows out of lines with one JSON body each, and what could not be read."""
+    return opened(spark.read.schema(ITEM_BODIES).json(path))
+
+
+def opened(payloads: DataFrame) -> Opened:
+    """Rows (title_slug, body), or (body): rows of the landed item table, and what can't be read.
+
+    Items not found (a body without an item) are dropped. An item with a JSON cell that can't be read stays,
+    the cell counts as absent there and is listed by its name.
+    """
+    body, key, reason = _body(payloads)
+    rows = _items(body.select(F.when(reason.isNull(), F.col("found.question")).alias("q")))
+    bad = F.filter(F.array(*(F.when(bad_cell(F.col(name)), F.lit(name)) for name in CELLS)), lambda name: name.isNotNull())
+    cells = rows.select("title_slug", F.explode(bad).alias("cell"), *CELLS)
+    text = F.coalesce(*(F.when(F.col("cell") == name, F.col(name)) for name in CELLS))
+    return Opened(
+        rows,
+        rejected(body, "items", key, reason, F.col("body")).unionByName(
+            rejected(cells, "items", F.col("title_slug"), F.col("cell"), text)
+        ),
+    )
 
 
 def from_payloads(payloads: DataFrame) -> DataFrame:
-    """Bodies (one column `body`) to rows of the landed item table; items not found are dropped."""
-    item = payloads.select(F.from_json("body", ITEM_BODY)["question"].alias("q"))
+    """The items of bodies that can all be read; one that can't makes the query fail."""
+    body, key, reason = _body(payloads)
+    return _items(body.select(strict(F.col("found.question"), key, reason).alias("q")))
+
+
+def _body(payloads: DataFrame) -> tuple[DataFrame, Column, Column]:
+    key = F.col("title_slug") if "title_slug" in payloads.columns else F.lit(None).cast("string")
+    body = payloads.select(key.alias("key"), "body", parsed(F.col("body"), ITEM_BODY).alias("found"))
+    return body, F.col("key"), fault(F.col("body"), F.col("found"))
+
+
+def _items(item: DataFrame) -> DataFrame:
     return item.filter(F.col("q.titleSlug").isNotNull()).select(
         F.col("q.questionId").alias("problem_id"),
         F.col("q.title").alias("title"),

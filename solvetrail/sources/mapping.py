@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 Mapping = Sequence[tuple[str, str]]
 
+# Longest mapping that is written into an expression; a longer one is joined.
+LITERAL = 256
+
 # The standard mapping. Order matters, the first partial match wins.
 STANDARD: Mapping = (
     ("Array", "Arrays & Strings"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvetrail.functions.levels import LEVELS, percent
+from solvetrail.sources.bodies import Opened, fault, parsed, rejected, strict
 
 # Field names fixed by the landed format.
 _LEVEL_COUNT = "array<struct<difficulty:string, count:bigint, submissions:bigint>>"
@@ -25,16 +26,34 @@ def _figure(counts: Column, name: str, field: str) -> Column:
     return F.coalesce(F.try_element_at(listed, F.lit(-1))[field], F.lit(0).cast("bigint"))
 
 
-def read_users(spark: SparkSession, path: str) -> DataFrame:
-    """User records out of landed lines (user_id, body)."""
-    return from_payloads(spark.read.schema("user_id bigint, body string").json(path))
+def read_users(spark: SparkSession, path: str) -> Opened:
+    """User records out of landed lines (user_id, body), and the bodies that could not be read."""
+    return opened(spark.read.schema("user_id bigint, body string").json(path))
+
+
+def opened(payloads: DataFrame) -> Opened:
+    """Bodies (user_id, body): one row per user, and the bodies that can't be read.
+
+    A user the service does not know has a row of zeros; one whose body can't be read has none.
+    """
+    body, reason = _body(payloads)
+    users = _users(body.filter(reason.isNull()).select("user_id", "found"))
+    return Opened(users, rejected(body, "profiles", F.col("user_id"), reason, F.col("body")))
 
 
 def from_payloads(payloads: DataFrame) -> DataFrame:
-    """Bodies (user_id, body) to one row per user."""
-    body = payloads.select("user_id", F.from_json("body", USER_BODY).alias("b")).select(
-        "user_id", F.col("b.matchedUser").alias("u"), F.col("b.userContestRanking").alias("c")
-    )
+    """The users of bodies that can all be read; one that can't makes the query fail."""
+    body, reason = _body(payloads)
+    return _users(body.select("user_id", strict(F.col("found"), F.col("user_id"), reason).alias("found")))
+
+
+def _body(payloads: DataFrame) -> tuple[DataFrame, Column]:
+    body = payloads.select("user_id", "body", parsed(F.col("body"), USER_BODY).alias("found"))
+    return body, fault(F.col("body"), F.col("found"))
+
+
+def _users(found: DataFrame) -> DataFrame:
+    body = found.select("user_id", F.col("found.matchedUser").alias("u"), F.col("found.userContestRanking").alias("c"))
     accepted = F.col("u.submitStats.acSubmissionNum")
     solved = [_figure(accepted, n, "count").alias(f"{n.lower()}_solved") for n in LEVELS]
     submitted = [_figure(accepted, n, "submissions") for n in LEVELS]

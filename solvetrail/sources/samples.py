@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from solvetrail.sources.mapping import STANDARD
 
 AS_OF = dt.date(2024, 1, 31)
+# List positions between the pages of two days.
+PAGE = 1_000_000
 
 # The mapping for the words of the test items.
 MAPPING = (
@@ -61,6 +63,72 @@ def from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as landed list pages, one per user and day, newest first within the day.
+
+    Days count back from AS_OF, and a day's page starts at its number times PAGE.
+    """
+    rows = submissions(spark, folder)
+    day = F.floor(-F.col("seq") / F.lit(86_400_000_000))
+    row = F.struct(
+        "seq", "title", F.col("title_slug").alias("titleSlug"), "timestamp",
+        F.col("status").alias("statusDisplay"), F.col("language").alias("lang"), "runtime", "memory",
+    )
+    days = rows.groupBy("user_id", day.alias("day")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    listed = F.transform("rows", lambda r: r.dropFields("seq"))
+    last = (AS_OF - dt.date(1970, 1, 1)).days
+    return days.select(
+        "user_id",
+        ((F.lit(last) - F.col("day")) * PAGE).alias("offset"),
+        F.to_json(F.struct(listed.alias("recentSubmissionList"))).alias("body"),
+    )
+
+
+def item_bodies(spark: SparkSession, folder: str, cells: bool = False) -> DataFrame:
+    """Items as landed bodies; with `cells`, every seventh item's stats are no JSON."""
+    rows = items(spark, folder)
+    stats = F.when(F.col("problem_id").cast("bigint") % 7 == 3, "none").otherwise(F.col("stats")) if cells else F.col("stats")
+    question = F.struct(
+        F.col("problem_id").alias("questionId"),
+        "title",
+        F.col("title_slug").alias("titleSlug"),
+        "difficulty",
+        F.col("topic_tags").alias("topicTags"),
+        F.col("company_tags").alias("companyTagStats"),
+        stats.alias("stats"),
+        F.col("is_paid_only").alias("isPaidOnly"),
+        F.col("category").alias("categoryTitle"),
+    )
+    return rows.select("title_slug", F.to_json(F.struct(question.alias("question"))).alias("body"))
+
+
+def calendar_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """Calendars as landed bodies; every ninth user's calendar is no JSON."""
+    cell = F.when(F.col("user_id") % 9 == 4, "not a calendar").otherwise(F.col("calendar"))
+    body = F.struct(F.struct(F.struct(cell.alias("submissionCalendar")).alias("userCalendar")).alias("matchedUser"))
+    return calendars(spark, folder).select("user_id", F.to_json(body).alias("body"))
+
+
+def damaged(bodies: DataFrame, *key: str) -> DataFrame:
+    """Bodies of which one in ten, by the CRC-32 of its key, is cut off, no JSON, or absent."""
+    drawn = F.crc32(F.concat_ws("/", *key))
+    body = (
+        F.when(drawn % 10 != 0, F.col("body"))
+        .when(drawn % 30 == 0, F.substring("body", 1, 12))
+        .when(drawn % 30 == 10, "<html>busy</html>")
+    )
+    return bodies.withColumn("body", body)
+
+
+def changed_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of which every fifth has another level, and every eleventh has lost all topics but the first."""
+    number = F.col("problem_id").cast("bigint")
+    level = F.when(number % 5 == 0, F.when(F.col("difficulty") == "Hard", "Easy").otherwise("Hard")).otherwise(F.col("difficulty"))
+    first = F.to_json(F.slice(F.from_json("topic_tags", "array<struct<name:string, slug:string>>"), 1, 1))
+    topics = F.when(number % 11 == 0, first).otherwise(F.col("topic_tags"))
+    return items(spark, folder).withColumns({"difficulty": level, "topic_tags": topics})
+
+
 def submissions_from_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as submissions, the larger set: supplier as user, part as item.
 

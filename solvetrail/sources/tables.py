@@ -1,36 +1,41 @@
-"""The result tables: row shapes, and a folder of written runs with a log of commits.
+"""The result tables: row shapes, and a folder that keeps them in partitions.
 
-A run writes new folders and then one commit record that lists the folders each table
-consists of. Readers follow the latest record, so a table that is being read is never
-overwritten and a run that dies half way leaves no trace in what readers see. Of two runs
-that started from the same commit the second to end fails: a commit's file is named by its
-number and is never overwritten.
+Below the folder lie versions. A version has the three tables: Problems by bucket of users and month of
+solving, Analytics and Progress by bucket. Jobs that rebuild everything write a new version; jobs that change
+a part overwrite that part's partitions. A run that ends adds one row to `runs`, which says which version holds.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, fields
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from solvetrail import schemas
-from solvetrail.functions.dates import utc
+from solvetrail.functions.dates import month_key, utc
 from solvetrail.functions.text import join_list, split_list
 from solvetrail.operators.select import with_title
-
-COMMITS = (
-    "run_id bigint, run_ts timestamp, job string, mapping string, total_problems bigint, "
-    "new_problems bigint, updated_problems bigint, errors bigint, "
-    "problems array<string>, analytics array<string>, progress array<string>"
+from solvetrail.session import delete_folder, subfolders
+from solvetrail.sources.bodies import REJECTED
+
+# Partitions of users; the unit in which Analytics and Progress are rewritten. A table keeps the number
+# it was created with.
+BUCKETS = 16
+LAYOUT = {"problems": ("bucket", "month"), "analytics": ("bucket",), "progress": ("bucket",)}
+PLACES = {"bucket": "bucket int", "month": "month string"}
+
+RUNS = (
+    "run_id bigint, run_ts timestamp, job string, version string, buckets int, settings string, "
+    "source string, batch bigint, total_problems bigint, new_problems bigint, updated_problems bigint, errors bigint"
 )
+# Moments in the runs' rows keep their microseconds.
+_MOMENT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def problem_rows(rows: DataFrame, run_ts: dt.datetime) -> DataFrame:
@@ -101,14 +106,20 @@ class Counters:
 
 @dataclass(frozen=True)
 class Snapshot:
-    """The tables as one commit left them."""
+    """The tables of the version that the latest run left."""
 
     store: Store
     last: Row
 
+    def placed(self, name: str, buckets: Iterable[int] | None = None) -> DataFrame:
+        """A table with the columns it is laid out by; with buckets, those partitions alone."""
+        places = ", ".join(PLACES[p] for p in LAYOUT[name])
+        reader = self.store.spark.read.schema(f"{schemas.RESULTS[name]}, {places}")
+        rows = reader.parquet(self.store.path(self.last["version"], name))
+        return rows if buckets is None else rows.filter(F.col("bucket").isin(*buckets))
+
     def read(self, name: str) -> DataFrame:
-        paths = [f"{self.store.base}/{path}" for path in self.last[name]]
-        return self.store.spark.read.schema(schemas.RESULTS[name]).parquet(*paths)
+        return self.placed(name).drop(*LAYOUT[name])
 
     def records(self) -> DataFrame:
         return problem_records(self.read("problems"))
@@ -119,25 +130,30 @@ class Snapshot:
 
 
 class Store:
-    """Problems, Analytics and Progress below one folder."""
+    """Problems, Analytics and Progress below one folder. One job writes at a time; any number read."""
 
-    def __init__(self, spark: SparkSession, base: str):
+    def __init__(self, spark: SparkSession, base: str, buckets: int = BUCKETS):
         self.spark = spark
         self.base = base.rstrip("/")
+        self.buckets = buckets
 
-    def commits(self) -> DataFrame:
-        reader = self.spark.read.schema(COMMITS).option("recursiveFileLookup", "true")
-        return reader.json(f"{self.base}/commits")
+    def path(self, version: str, name: str) -> str:
+        return f"{self.base}/{version}/{name}"
+
+    def runs(self) -> DataFrame:
+        """One row per run that ended. A file that a dead run left without a row counts for nothing."""
+        rows = self.spark.read.schema(RUNS).options(**_MOMENT).json(f"{self.base}/runs")
+        return rows.filter(F.col("run_id").isNotNull())
 
     def latest(self) -> Snapshot | None:
-        """What readers see now; None before the first commit. Any other failure is an error."""
+        """What readers see now; None before the first run. Any other failure is an error."""
         try:
-            log = self.commits()
+            log = self.runs()
         except AnalysisException as failure:
             if failure.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
-        last = log.orderBy(F.desc("run_id")).first()
+        last = log.orderBy(F.desc("run_id"), F.desc("run_ts")).first()
         return Snapshot(self, last) if last else None
 
     def snapshot(self) -> Snapshot:
@@ -152,15 +168,87 @@ class Store:
     def records(self) -> DataFrame:
         return self.snapshot().records()
 
+    def rejected(self) -> DataFrame:
+        """Bodies and cells that runs could not read (run_ts, job, and REJECTED)."""
+        return self.spark.read.schema(f"run_ts timestamp, job string, {REJECTED}").parquet(f"{self.base}/rejected")
+
+    def reject(self, found: DataFrame, job: str, run_ts: dt.datetime) -> int:
+        """Add rows (REJECTED) to the side table; how many there were is counted as they are written."""
+        seen = Observation()
+        rows = found.select(F.lit(utc(run_ts)).alias("run_ts"), F.lit(job).alias("job"), "*")
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{self.base}/rejected")
+        return seen.get["n"]
+
     def ensure(self, run_ts: dt.datetime) -> Snapshot:
         """The tables, created empty unless they are there."""
         found = self.latest()
         if found is None:
             empty = {n: self.spark.createDataFrame([], s) for n, s in schemas.RESULTS.items()}
-            self.commit(None, "create", run_ts, None, Counters(), empty)
-            found = self.snapshot()
+            found = self.replace(None, "create", run_ts, None, empty, Counters())
         return found
 
+    def bucket(self, user: Column, base: Snapshot | None) -> Column:
+        return F.pmod(F.xxhash64(user), F.lit(base.last["buckets"] if base else self.buckets)).cast("int")
+
+    def place(self, name: str, rows: DataFrame, base: Snapshot | None) -> DataFrame:
+        """Rows of a table with the columns it is laid out by."""
+        rows = rows.to(self.spark.createDataFrame([], schemas.RESULTS[name]).schema)
+        rows = rows.withColumn("bucket", self.bucket(F.col("user_id"), base))
+        return rows.withColumn("month", month_key(F.col("date_solved"))) if "month" in LAYOUT[name] else rows
+
+    def write(self, version: str, name: str, placed: DataFrame) -> None:
+        """Put rows in place of the partitions they fall into; all other partitions stay.
+
+        Spark deals the rows out by partition, and splits a partition that is far larger than others.
+        """
+        rows = placed.hint("rebalance", *LAYOUT[name]).write.partitionBy(*LAYOUT[name])
+        rows.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path(version, name))
+
+    def overwrite(self, base: Snapshot, name: str, placed: DataFrame, cells: set[tuple]) -> None:
+        """Put rows, which were written before, in place of these partitions; one without rows goes."""
+        filled = {tuple(r) for r in placed.select(*LAYOUT[name]).distinct().collect()}
+        if filled:
+            self.write(base.last["version"], name, placed)
+        self.drop(base, name, cells - filled)
+
+    def drop(self, base: Snapshot, name: str, cells: set[tuple]) -> None:
+        """Delete whole partitions, without reading them."""
+        for cell in cells:
+            named = zip(LAYOUT[name], cell, strict=True)
+            place = "/".join(f"{k}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for k, v in named)
+            delete_folder(self.spark, f"{self.path(base.last['version'], name)}/{place}")
+
+    def replace(
+        self, base: Snapshot | None, job: str, run_ts: dt.datetime, settings: str | None, frames: dict[str, DataFrame], counters: Counters
+    ) -> Snapshot:
+        """Write the frames as a new version and make it the one that holds.
+
+        The version before stays for those that still read it; older ones, and those that a dead run left, go.
+        """
+        version = f"v-{uuid.uuid4().hex}"
+        for name, frame in frames.items():
+            self.write(version, name, self.place(name, frame, None))
+        self.record(base, job, run_ts, settings, counters, version=version, buckets=self.buckets)
+        kept = {version, base.last["version"] if base else None}
+        for name in subfolders(self.spark, self.base):
+            if name.startswith("v-") and name not in kept:
+                delete_folder(self.spark, f"{self.base}/{name}")
+        return self.snapshot()
+
+    def record(self, base: Snapshot | None, job: str, run_ts: dt.datetime, settings: str | None, counters: Counters, **more) -> None:
+        """Add the run that follows `base` to the runs."""
+        last = base.last.asDict() if base else {"run_id": 0}
+        row = {"version": last.get("version"), "buckets": last.get("buckets"), "source": None, "batch": None} | more
+        row |= {"run_id": last["run_id"] + 1, "run_ts": utc(run_ts), "job": job, "settings": settings} | asdict(counters)
+        names = [field.split()[0] for field in RUNS.split(", ")]
+        rows = self.spark.createDataFrame([tuple(row[name] for name in names)], RUNS)
+        rows.coalesce(1).write.mode("append").options(**_MOMENT).json(f"{self.base}/runs")
+
+    def batches(self, source: str) -> int:
+        """The number of the last batch that a stream has recorded here; -1 before the first."""
+        last = self.runs().filter(F.col("source") == source).agg(F.max("batch").alias("batch")).first()
+        return -1 if last["batch"] is None else last["batch"]
+
     @contextmanager
     def staging(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
         """Gives a function that writes intermediate rows and reads them back.
@@ -177,48 +265,4 @@ class Store:
         try:
             yield stage
         finally:
-            context = self.spark.sparkContext
-            target = context._jvm.org.apache.hadoop.fs.Path(folder)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-
-    def commit(
-        self,
-        base: Snapshot | None,
-        job: str,
-        run_ts: dt.datetime,
-        mapping: str | None,
-        counters: Counters,
-        frames: dict[str, DataFrame],
-        append: tuple[str, ...] = (),
-    ) -> None:
-        """Write the frames, then make them the tables that follow `base`.
-
-        The tables named in `append` keep the folders they have and gain one.
-        """
-        run_id = base.last["run_id"] + 1 if base else 1
-        folder = f"run-{run_id:09d}-{uuid.uuid4().hex[:8]}"
-        paths = {}
-        for name, schema in schemas.RESULTS.items():
-            frame = frames[name].to(self.spark.createDataFrame([], schema).schema)
-            frame.write.parquet(f"{self.base}/{name}/{folder}")
-            kept = list(base.last[name]) if base and name in append else []
-            paths[name] = [*kept, f"{name}/{folder}"]
-        moment = utc(run_ts).astimezone(dt.timezone.utc).isoformat(timespec="microseconds")
-        record = {"run_id": run_id, "run_ts": moment, "job": job, "mapping": mapping, **asdict(counters), **paths}
-        self._claim(f"{self.base}/commits/{run_id:09d}.json", json.dumps(record))
-
-    def _claim(self, path: str, text: str) -> None:
-        """Create a small file; one that is there already makes this fail."""
-        context = self.spark.sparkContext
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        system = target.getFileSystem(context._jsc.hadoopConfiguration())
-        try:
-            out = system.create(target, False)
-        except Py4JJavaError as failure:
-            if "FileAlreadyExists" not in str(failure.java_exception):
-                raise
-            raise FileExistsError(f"another run has committed {path} meanwhile") from failure
-        try:
-            out.write(bytearray(text.encode()))
-        finally:
-            out.close()
+            delete_folder(self.spark, folder)
