@@ -8,7 +8,7 @@ import hashlib
 import json
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from solvetrail.functions.dates import month_key
@@ -80,8 +80,9 @@ def full_refresh(run: Run, submissions: Landed, items: Landed, limit: int | None
     errors = _reject(run, "full", submissions, items)
     fetched = solved(_rows(submissions), catalogue(_rows(items)), limit, run.count_attempts)
     with run.store.staging() as stage:
-        rows = stage(problem_rows(validated(fetched), run.run_ts))
-        total = rows.count()
+        seen = Observation()
+        rows = stage(problem_rows(validated(fetched), run.run_ts).observe(seen, F.count(F.lit(1)).alias("n")))
+        total = seen.get.get("n", 0)
         if not total:
             return Outcome("nothing_fetched" if fetched.isEmpty() else "nothing_valid", Counters(errors=errors))
         base, counters = run.store.latest(), Counters(total, total, 0, errors)
@@ -120,15 +121,17 @@ def incremental_refresh(
         if not buckets:
             return Outcome("nothing_fetched", Counters(errors=errors))
         changed = stage(changes.upserts(fetched, base.placed("problems", buckets), KEY, TITLE, COMPARED, KEPT))
-        counts = {r["change"]: r["count"] for r in changed.groupBy("change").count().collect()}
-        if not counts:
+        # One row per kind of change and partition.
+        found = changed.groupBy("change", "bucket", "month").count().collect()
+        if not found:
             return Outcome("nothing_new", replace(base.counters, new_problems=0, updated_problems=0, errors=errors))
-        new, updated = counts.get("new", 0), counts.get("updated", 0)
+        new, updated = (sum(r["count"] for r in found if r["change"] == kind) for kind in ("new", "updated"))
+        cells = {(r["bucket"], r["month"]) for r in found}
         if base.last["settings"] != run.settings and base.counters.total_problems:
             rows = base.placed("problems").join(changed.select(*KEY), KEY, "left_anti").unionByName(changed.drop("change"))
             return _rebuild(run, base, "incremental", stage(rows), Counters(base.counters.total_problems + new, new, updated, errors))
-        _count_anew(run, base, stage, changed, updated)
-        run.store.write(base.last["version"], "problems", _merged(base, changed, updated))
+        _count_anew(run, base, stage, changed, cells, updated)
+        run.store.write(base.last["version"], "problems", _merged(base, changed, cells, updated))
         counters = Counters(base.placed("problems").count(), new, updated, errors)
         run.store.record(base, "incremental", run.run_ts, run.settings, counters, source=source, batch=batch)
         return Outcome("written", counters)
@@ -205,26 +208,26 @@ def _buckets(rows: DataFrame) -> list[int]:
     return [r["bucket"] for r in rows.select("bucket").distinct().collect()]
 
 
-def _merged(base: Snapshot, changed: DataFrame, updated: int) -> DataFrame:
+def _merged(base: Snapshot, changed: DataFrame, cells: set[tuple], updated: int) -> DataFrame:
     """All rows of the partitions of Problems that changed items fall into."""
-    cells = changed.select("bucket", "month").distinct()
-    months = [r["month"] for r in cells.select("month").distinct().collect()]
-    named = F.col("month").isin(*(m for m in months if m is not None))
-    touched = base.placed("problems", _buckets(changed)).filter(named | F.col("month").isNull() if None in months else named)
-    same = [touched["bucket"] == cells["bucket"], touched["month"].eqNullSafe(cells["month"])]
-    rows = touched.join(cells, functools.reduce(lambda a, b: a & b, same), "left_semi")
+    by_month = {}
+    for bucket, month in cells:
+        by_month.setdefault(month, []).append(bucket)
+    month, bucket = F.col("month"), F.col("bucket")
+    within = [(month.isNull() if m is None else month == m) & bucket.isin(*buckets) for m, buckets in by_month.items()]
+    rows = base.placed("problems").filter(functools.reduce(lambda a, b: a | b, within))
     if updated:
         rows = rows.join(changed.filter("change = 'updated'").select(*KEY), KEY, "left_anti")
     return rows.unionByName(changed.drop("change"))
 
 
-def _count_anew(run: Run, base: Snapshot, stage, changed: DataFrame, updated: int) -> None:
+def _count_anew(run: Run, base: Snapshot, stage, changed: DataFrame, cells: set[tuple], updated: int) -> None:
     """Bring Analytics and Progress of the changed users up to date; other users' rows are copied.
 
     A changed user's items are counted anew out of Problems as it will be, not added to what is there: so a
     run that died after this gives the same when it is repeated.
     """
-    store, buckets = run.store, _buckets(changed)
+    store, buckets = run.store, {bucket for bucket, _ in cells}
     users = changed.select("user_id").distinct()
     stored = base.placed("problems", buckets).join(users, "user_id", "left_semi").join(changed.select(*KEY), KEY, "left_anti")
     records = stage(problem_records(stored.unionByName(changed.drop("change")).drop("bucket", "month")))

@@ -29,6 +29,8 @@ SPLIT_DATE = dt.date(2024, 1, 20)
 LINES_AS_OF = dt.date(2001, 11, 5)
 KEPT_DAYS = 10
 SHORT_LIMIT = 20
+# The test tables are small; a real one has more.
+STORE_BUCKETS = 4
 
 _REGISTERED: dict[str, Query] = {}
 
@@ -551,7 +553,7 @@ def x6_paid_share(spark, folder):
 
 
 def _store(spark, purpose):
-    return Store(spark, shared_folder(spark, purpose))
+    return Store(spark, shared_folder(spark, purpose), STORE_BUCKETS)
 
 
 def _problem_columns(rows: DataFrame) -> DataFrame:

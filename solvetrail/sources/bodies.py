@@ -25,9 +25,13 @@ class Opened(NamedTuple):
     rejected: DataFrame
 
 
-def parsed(body: Column, schema: str) -> Column:
-    """A JSON body under a schema; what is no such body leaves its text in a field of its own."""
-    return F.from_json(body, f"{schema}, {_BROKEN} string", {"columnNameOfCorruptRecord": _BROKEN})
+def parsed(payloads: DataFrame, schema: str, *keys: str | Column) -> DataFrame:
+    """The keys, `body`, and `found`: the JSON body under a schema; a broken one leaves its text in a field of its own.
+
+    Exploding a list of one keeps Spark from parsing a body once more for every field that is taken out of it.
+    """
+    found = F.from_json("body", f"{schema}, {_BROKEN} string", {"columnNameOfCorruptRecord": _BROKEN})
+    return payloads.select(*keys, "body", F.explode(F.array(found)).alias("found"))
 
 
 def fault(body: Column, found: Column) -> Column:

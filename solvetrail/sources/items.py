@@ -55,7 +55,7 @@ def from_payloads(payloads: DataFrame) -> DataFrame:
 
 def _body(payloads: DataFrame) -> tuple[DataFrame, Column, Column]:
     key = F.col("title_slug") if "title_slug" in payloads.columns else F.lit(None).cast("string")
-    body = payloads.select(key.alias("key"), "body", parsed(F.col("body"), ITEM_BODY).alias("found"))
+    body = parsed(payloads, ITEM_BODY, key.alias("key"))
     return body, F.col("key"), fault(F.col("body"), F.col("found"))
 
 

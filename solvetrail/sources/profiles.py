@@ -48,7 +48,7 @@ def from_payloads(payloads: DataFrame) -> DataFrame:
 
 
 def _body(payloads: DataFrame) -> tuple[DataFrame, Column]:
-    body = payloads.select("user_id", "body", parsed(F.col("body"), USER_BODY).alias("found"))
+    body = parsed(payloads, USER_BODY, "user_id")
     return body, fault(F.col("body"), F.col("found"))
 
 

@@ -50,7 +50,7 @@ def from_payloads(payloads: DataFrame) -> DataFrame:
 
 
 def _page(payloads: DataFrame) -> tuple[DataFrame, Column, Column]:
-    page = payloads.select("user_id", "offset", "body", parsed(F.col("body"), LIST_BODY).alias("found"))
+    page = parsed(payloads, LIST_BODY, "user_id", "offset")
     found = F.col("found")
     no_list = F.when(found["recentSubmissionList"].isNull(), "no list")
     return page, F.concat_ws("/", "user_id", "offset"), F.coalesce(fault(F.col("body"), found), no_list)
@@ -74,7 +74,7 @@ def _listed(page: DataFrame, rows: Column) -> DataFrame:
 
 def opened_calendars(payloads: DataFrame) -> Opened:
     """Rows (user_id, body): calendar days, and the bodies and calendar cells that can't be read."""
-    body = payloads.select("user_id", "body", parsed(F.col("body"), CALENDAR_BODY).alias("found"))
+    body = parsed(payloads, CALENDAR_BODY, "user_id")
     cell = F.col("found.matchedUser.userCalendar.submissionCalendar")
     reason = F.coalesce(fault(F.col("body"), F.col("found")), F.when(bad_calendar(cell), "calendar"))
     days = calendar_days(body.select("user_id", cell.alias("calendar")))

@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, fields
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,13 +146,9 @@ class Store:
 
     def latest(self) -> Snapshot | None:
         """What readers see now; None before the first run. Any other failure is an error."""
-        try:
-            log = self.runs()
-        except AnalysisException as failure:
-            if failure.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
-        last = log.orderBy(F.desc("run_id"), F.desc("run_ts")).first()
+        if "runs" not in subfolders(self.spark, self.base):
+            return None
+        last = self.runs().orderBy(F.desc("run_id"), F.desc("run_ts")).first()
         return Snapshot(self, last) if last else None
 
     def snapshot(self) -> Snapshot:
@@ -177,7 +172,7 @@ class Store:
         seen = Observation()
         rows = found.select(F.lit(utc(run_ts)).alias("run_ts"), F.lit(job).alias("job"), "*")
         rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{self.base}/rejected")
-        return seen.get["n"]
+        return seen.get.get("n", 0)
 
     def ensure(self, run_ts: dt.datetime) -> Snapshot:
         """The tables, created empty unless they are there."""
