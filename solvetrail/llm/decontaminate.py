@@ -206,7 +206,11 @@ def contaminated_keys(docs, items, window, id_col, text_col, item_id, item_text)
 def without_contaminated(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of `docs` that are not contaminated, with all their columns."""
+    """The rows of `docs` that are not contaminated, with all their columns.
+
+    Rows that agree in id and text stay or go together. A null or empty text has no words, so it stays; an empty
+    table of items or of documents takes nothing away. Columns of `docs` may have any names.
+    """
     found = contaminated_keys(docs, items, window, id_col, text_col, "item_id", "text").select("key", "n_hit")
     n_words = F.size(words(F.col(f"docs.`{text_col}`")))
     keyed = docs.alias("docs").select(F.struct("docs.*").alias("row"), _key(id_col, text_col).alias("key"), n_words.alias("n_words"))

@@ -208,10 +208,16 @@ def mixed_documents(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """The documents of the mix: the columns of `docs`, then size, target and `times` (how often it is taken).
+    """The documents of the mix: the columns of `docs`, then mix_size, mix_target and mix_times (how often it is taken).
 
-    Rows that agree in source, id and text come as one row that carries the times of all.
+    Rows that agree in source, id and text come as one row that carries the times of all. A column of `docs`
+    that bears one of the new names stays as it is; the new one's name then ends in as many '_' as it takes.
     """
+    taken, names = {c.lower() for c in docs.columns}, []
+    for name in ("mix_size", "mix_target", "mix_times"):
+        while name in taken:
+            name += "_"
+        names.append(name)
     plan = _plan(docs, weights, share, most, seed, id_col, text_col, source_col)
     times = (F.col("base") * F.col("copies") + F.col("sure") + F.col("extra")).cast("long")
     plan = plan.select("source", "id", "digest", "size", "target", "copies", times.alias("times")).filter("times > 0 and size > 0")
@@ -228,5 +234,5 @@ def mixed_documents(
     repeated = found.filter("copies > 1").groupBy(keys).agg(F.first("row").alias("row"))
     out = ["row", "size", "target", "times"]
     return lone.select(out).unionByName(repeated.select(out)).select(
-        "row.*", F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("times").alias("mix_times")
+        "row.*", *(F.col(c).alias(name) for c, name in zip(("size", "target", "times"), names, strict=True))
     )

@@ -279,18 +279,34 @@ def settle_boundaries(length: int, gram: int):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    """Rows that agree in id and text share a key; the size tells apart what 64 bits might not."""
+    """Rows that agree in id and text share a key, and no others: the size tells apart what 64 bits might not."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.octet_length(text).alias("size"), text.alias("text"), *more)
 
 
-def duplicate_spans(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+def repeated_rows(texts: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(key, size) of the rows that agree with another in id and text, written; None if there are none.
+
+    Only keys are shuffled, counted before that. All words of such a row that are in a window go, as the other
+    row has it too; so the index needs it once, however often it is there.
+    """
+    found = texts.groupBy("key", "size").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    again = scratch.keep(found.select("key", "size"), "again")
+    return None if again.isEmpty() else again
+
+
+def duplicate_spans(
+    docs: DataFrame, length: int, gram: int, id_col: str, text_col: str, again: DataFrame | None, scratch: Scratch
+) -> DataFrame:
     """(key, size, spans) of the documents with words in a window that also starts elsewhere.
 
     A span is a long, its first word above PLACE bits and the word behind it below; spans are at least
-    `length` words long and may overlap.
+    `length` words long and may overlap. Rows `again`, which are there more than once, come in once.
     """
     texts = _keyed(docs, id_col, text_col)
+    if again is not None:
+        once = texts.join(again, ["key", "size"], "left_semi").dropDuplicates(["key", "size"])
+        texts = texts.join(again, ["key", "size"], "left_anti").unionByName(once)
 
     def shared(entries: DataFrame) -> DataFrame:
         dealt = entries.repartition("part").sortWithinPartitions("part", "first", "second", "known")
@@ -339,8 +355,11 @@ def deduplicated_digests(
 
 
 def _judged_documents(docs, length, gram, id_col, text_col, hashed: bool) -> DataFrame:
-    spans = duplicate_spans(docs, length, gram, id_col, text_col, Scratch(docs.sparkSession, "spans"))
+    scratch = Scratch(docs.sparkSession, "spans")
     name = "kept_sha256" if hashed else "kept_text"
+    texts = _keyed(docs, id_col, text_col, F.col(id_col).alias("id"))
+    again = repeated_rows(texts, scratch)
+    spans = duplicate_spans(docs, length, gram, id_col, text_col, again, scratch)
 
     @F.pandas_udf(f"n_words long, n_removed long, {name} string")
     def kept(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -348,6 +367,19 @@ def _judged_documents(docs, length, gram, id_col, text_col, hashed: bool) -> Dat
         last = [hashlib.sha256(k).hexdigest() if hashed else k.decode("utf-8", "surrogatepass") for _, _, k in rows]
         return pd.DataFrame({"n_words": [r[0] for r in rows], "n_removed": [r[1] for r in rows], name: last})
 
-    texts = _keyed(docs, id_col, text_col, F.col(id_col).alias("id"))
-    found = texts.join(spans, ["key", "size"], "left").select("id", kept("text", "spans").alias("kept"))
+    @F.pandas_udf(f"n_words long, n_removed long, {name} string")
+    def emptied(texts: pd.Series) -> pd.DataFrame:
+        """What is left of rows that are there twice: nothing, unless they are shorter than a window."""
+        rows = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        left = [b"" if len(w) >= length else b" ".join(w) for w in rows]
+        last = [hashlib.sha256(k).hexdigest() if hashed else k.decode("utf-8", "surrogatepass") for k in left]
+        sizes = [len(w) for w in rows]
+        return pd.DataFrame({"n_words": sizes, "n_removed": [n if n >= length else 0 for n in sizes], name: last})
+
+    lone = texts if again is None else texts.join(again, ["key", "size"], "left_anti")
+    found = lone.join(spans, ["key", "size"], "left").select("id", kept("text", "spans").alias("kept"))
+    if again is not None:
+        # Nothing but the text is needed of these, so no key gathers its copies.
+        copies = texts.join(again, ["key", "size"], "left_semi").select("id", emptied("text").alias("kept"))
+        found = found.unionByName(copies)
     return found.select(F.col("id").alias(id_col), "kept.*")

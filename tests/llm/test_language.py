@@ -1,8 +1,10 @@
 """Language identification: held-out accuracy, what is learnt from, defined results for odd rows."""
 
+import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from solvetrail.llm import language
@@ -45,7 +47,8 @@ def test_odd_rows(spark):
     assert [(found[i].lang_pred, found[i].score) for i in (1000, 1001, 1002)] == [("und", 0.0)] * 3
     assert found[1003].lang_pred == "en" and found[1004].lang_pred in ("de", "xx") and found[1005].lang_pred in ("de", "en", "xx")
     kept = language.identified(docs)
-    assert kept.columns == docs.columns and kept.count() == len(rows) - 3
+    assert kept.columns == docs.columns
+    assert {r[0] for r in rows} - {r.doc_id for r in kept.collect()} == {1000, 1001, 1002, 1005}
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {(r.lang_pred, r.score) for r in language.predictions(unlabelled).collect()} == {("und", 0.0)}
     assert language.predictions(docs.limit(0)).collect() == []
@@ -57,3 +60,67 @@ def test_repeated_rows_count_once(spark):
     rows = [(i, f"text number {'abcdefghij'[i % 10] * (i + 1)}", "ab"[i % 2]) for i in ids] * 300
     classifier = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert classifier.landmarks.shape[0] == len(ids)
+
+
+def speech(draw, words, alphabet=None):
+    """A text of a made-up language: its own words, or random letters."""
+    count = draw.randint(3, 120)
+    if alphabet:
+        return " ".join("".join(draw.choice(alphabet) for _ in range(draw.randint(2, 8))) for _ in range(count))
+    return " ".join(draw.choice(words) for _ in range(count))
+
+
+@pytest.mark.parametrize("count", [1, 2, 10])
+def test_what_is_foreign_does_not_depend_on_how_many_languages_there_are(count):
+    """Close languages: the same syllables, and half of the words in common."""
+    draw = random.Random(count)
+    syllables = [a + b for a in "bdklmnrst" for b in "aeiou"]
+    word = lambda: "".join(draw.choice(syllables) for _ in range(draw.randint(1, 3)))
+    common = [word() for _ in range(150)]
+    languages = {f"l{i}": common + [word() for _ in range(150)] for i in range(count)}
+    rows = [(name, speech(draw, words)) for name, words in languages.items() for _ in range(100)]
+    fitted = language.fitted([np.unique(language.gram_codes(t)) for _, t in rows], [name for name, _ in rows])
+    clean = [speech(draw, words) for words in languages.values() for _ in range(50)]
+    assert all(fitted.recognised(clean))
+    foreign = [speech(draw, None, a) for a in ("αβγδεζηθικλ", "зийклмнопрст", "日本語漢字仮名", "qwxzvjpfh", "qxzy") for _ in range(50)]
+    assert not any(fitted.recognised(foreign))
+    assert fitted.recognised([None, "", "12 %"]) == [False] * 3
+
+
+def test_wrong_labels_do_not_lower_the_bar():
+    draw = random.Random(1)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(200)]
+    rows = [speech(draw, words) for _ in range(200)] + [speech(draw, None, "qxzy") for _ in range(5)]
+    draw.shuffle(rows)
+    fitted = language.fitted([np.unique(language.gram_codes(t)) for t in rows], ["x"] * len(rows), landmarks=200)
+    assert fitted.usual[0] > 0.5
+
+
+def test_scores_are_those_of_ridge_regression_on_nystroem_features():
+    """The same with sets of n-grams and without folding the products; all n-grams of the landmarks count."""
+    draw = random.Random(4)
+    words = {name: ["".join(draw.choice(letters) for _ in range(4)) for _ in range(60)] for name, letters in (("a", "abcdef"), ("b", "cdefgh"), ("c", "éßfgab"))}
+    rows = [(name, speech(draw, own)) for name, own in words.items() for _ in range(20)]
+    texts = [speech(draw, own) for own in words.values() for _ in range(5)]
+    fitted = language.fitted([np.unique(language.gram_codes(t)) for _, t in rows], [n for n, _ in rows], landmarks=6)
+    marks = [t for name in words for t in [t for n, t in rows if n == name][:6]]
+
+    def grams(text):
+        data = b" " + b" ".join(bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in text.lower().encode()).split()) + b" "
+        return {data[i : i + n] for n in (1, 2, 3) for i in range(len(data) - n + 1)}
+
+    of_marks = set().union(*map(grams, marks))
+    sets = lambda many: [grams(t) & of_marks for t in many]
+    kernel = lambda x, y: np.array([[len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1)) for b in sets(y)] for a in sets(x)])
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    root = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    features = kernel([t for _, t in rows], marks) @ root
+    wanted = np.array([[float(n == name) for name in sorted(words)] for n, _ in rows])
+    weight = np.full(len(rows), 1 / len(rows))[:, None]
+    centre, mean = (weight * features).sum(axis=0), (weight * wanted).sum(axis=0)
+    inner = (features - centre).T @ (weight * (features - centre))
+    ridge = language.RIDGE * np.trace(inner) / len(inner) * np.eye(len(inner))
+    beta = np.linalg.solve(inner + ridge, (features - centre).T @ (weight * (wanted - mean)))
+    expected = (kernel(texts, marks) @ root - centre) @ beta + mean
+    assert np.allclose(fitted.scores(texts), expected, atol=1e-3)
+    assert fitted.codes.size == len(of_marks)

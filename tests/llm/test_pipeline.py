@@ -35,8 +35,9 @@ def mixed(spark, folder):
 def test_documents(spark, folder, mixed):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
-    found = language.predictions(docs).collect()
-    recognised = {r.doc_id for r in found if r.lang_pred != "und" and r.score >= corpus_pipeline.LEAST_SCORE}
+    rows = docs.collect()
+    stays = language.train(docs).recognised([r.text for r in rows])
+    recognised = {r.doc_id for r, s in zip(rows, stays, strict=True) if s}
     assert len(recognised) > 0.98 * docs.count()
     rows = {r.doc_id: r for r in docs.collect()}
     clean = plain_stages([(i, r.text) for i, r in rows.items()], items, recognised)
@@ -60,14 +61,17 @@ def test_odd_rows_and_empty_tables(spark, folder, tmp_path):
     rows = [(i, (english if i % 2 else german) * 3 + f"{i} w{i} x{i * 7}", "en" if i % 2 else "de", "s") for i in range(40)]
     rows += [(None, english + "nowhere", None, None), (100, None, "en", "s"), (101, "", "en", None), (102, "12", None, "s"), (1, rows[1][1], "en", "s")]
     rows += [(103, english * 20_000, "en", "s")]
-    schema = "doc_id bigint, text string, lang string, source string, mix_note string"
-    docs = spark.createDataFrame([(*r, "") for r in rows], schema)
+    rows += [(104, "ξένο κείμενο " * 30, None, "s"), (105, "zqxw vvkj qqpt " * 30, None, "s")]
+    names = ("mix_size", "Mix_Times", "mix_times_", "row", "docs", "found", "kept", "size", "copies")
+    schema = "doc_id bigint, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, *("x" + n for n in names)) for r in rows], schema)
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
     for name, frame in (("some", docs), ("none", docs.limit(0))):
         frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
     found = corpus_pipeline.run(spark, f"{tmp_path}/some")
-    assert found.columns[:5] == docs.columns
+    assert found.columns == [*docs.columns, "mix_size_", "mix_target", "mix_times__"]
     ids = [r.doc_id for r in found.collect()]
-    assert len(ids) == len(set(ids)) and not {100, 101, 102} & set(ids)
+    assert len(ids) == len(set(ids)) and not {100, 101, 102, 104, 105} & set(ids)
+    assert {tuple(r)[4:-3] for r in found.collect()} == {tuple("x" + n for n in names)}
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []

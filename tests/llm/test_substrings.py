@@ -88,3 +88,16 @@ def test_entries_are_judged_alike_in_any_batches(size):
         elif others:
             expected[(*r, sub.OPEN)] += 1
     assert found == +expected
+
+
+def test_rows_that_are_there_many_times(spark):
+    """Of one row 3,000 copies, of a short one as many; others share a passage with it, or nothing."""
+    rng = random.Random(9)
+    words = lambda n: [rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(n)]
+    hot = words(60)
+    docs = [(1, " ".join(hot))] * 3000 + [(2, "too short for a window")] * 3000
+    docs += [(3, " ".join(words(20) + hot[5:50] + words(20))), (4, " ".join(words(50))), (None, " ".join(words(40)))]
+    docs += [(5, None), (5, None), (6, " ".join(words(9) + hot[:36])), (6, " ".join(words(9) + hot[:36]))]
+    assert run(spark, docs, 35, 16, parts=7) == plain(docs, 35)
+    seen = sub.repeated_rows(sub._keyed(spark.createDataFrame(docs, "id long, text string"), "id", "text"), sub.Scratch(spark, "test"))
+    assert seen.count() == 3
