@@ -35,9 +35,10 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def passages(rows: DataFrame) -> DataFrame:
-    """(key, conv, turn, level, place, hash) of the quoted passages: neighbouring lines of one level.
+    """(key, conv, turn, level, place, hash, first, size) of the quoted passages: neighbouring lines of one level.
 
-    Lines without words part passages. `rows` has (key, conv, turn, lines); rows of one key count once.
+    `first` is the hash of the first line, `size` the number of lines. Lines without words part passages.
+    `rows` has (key, conv, turn, lines); rows of one key count once.
     """
     quoting = rows.filter(F.exists("lines", lambda x: x["level"] > 0)).dropDuplicates(["key"])
     lines = quoting.select("key", "conv", "turn", F.posexplode("lines").alias("place", "line"))
@@ -47,10 +48,31 @@ def passages(rows: DataFrame) -> DataFrame:
     lines = lines.select("key", "conv", "turn", "place", F.col("line.level").alias("level"), words.alias("words"))
     lines = lines.withColumn("new", F.when(same & (F.col("words") != ""), 0).otherwise(1))
     lines = lines.withColumn("passage", F.sum("new").over(by_message)).filter("level > 0 and words <> ''")
-    together = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "words"))), lambda x: x["words"]), " ")
-    return lines.groupBy("key", "conv", "turn", "level", "passage").agg(
-        F.min("place").alias("place"), F.unhex(F.md5(together)).alias("hash")
-    )
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("place", "words"))), lambda x: x["words"])
+    found = lines.groupBy("key", "conv", "turn", "level", "passage").agg(F.min("place").alias("place"), in_order.alias("said"))
+    hashes = [_hash(F.array_join("said", " ")).alias("hash"), _hash(F.element_at("said", 1)).alias("first")]
+    return found.select("key", "conv", "turn", "level", "place", *hashes, F.size("said").alias("size"))
+
+
+def _hash(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def trimmed(quotes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For quotes of several lines that no whole part of a message equals: their lines, and where such lines are.
+
+    Both sides get a hash of the number of lines and the lines' words. Of the messages' bodies, stretches of
+    lines are hashed that begin with a quote's first line and have as many; lines without words don't count.
+    """
+    several = quotes.filter("size > 1")
+    sized = lambda words: F.unhex(F.md5(F.concat_ws(":", "size", words)))
+    lines = F.filter(F.transform(F.split("body", "\n"), normal), lambda x: x != "")
+    wanted = several.select("conv", "first", "size").distinct()
+    at = rows.select("conv", "turn", lines.alias("said")).select("conv", "turn", "said", F.posexplode("said").alias("at", "line"))
+    at = at.withColumn("first", _hash(F.col("line"))).join(wanted, ["conv", "first"]).filter("at + size <= size(said)")
+    stretch = F.array_join(F.slice("said", F.col("at") + 1, F.col("size")), " ")
+    there = at.select("conv", "turn", sized(F.hex(_hash(stretch))).alias("hash")).distinct()
+    return several.withColumn("hash", sized(F.hex("hash"))), there
 
 
 def originals(rows: DataFrame) -> DataFrame:
@@ -58,10 +80,10 @@ def originals(rows: DataFrame) -> DataFrame:
     paragraphs = F.split("body", r"\n[ \t]*\n")
     parts = F.array_distinct(F.concat(F.array("body"), paragraphs, F.split("body", "\n")))
     found = rows.select("conv", "turn", F.explode(F.transform(parts, normal)).alias("words")).filter("words <> ''")
-    return found.select("conv", "turn", F.unhex(F.md5("words")).alias("hash")).distinct()
+    return found.select("conv", "turn", _hash(F.col("words")).alias("hash")).distinct()
 
 
-def last_before(quotes: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame:
+def last_before(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """`quotes` with `source`: the last turn before its own of the same conversation and hash.
 
     No pairs are made, as a line may stand in any number of turns: within blocks of turns the rows are
@@ -94,7 +116,8 @@ def linked_messages(
 
     `content` is the text without quoted lines, trimmed. Quoted passages are looked up, by the hash of
     their words, among the bodies, paragraphs and lines of earlier turns of the conversation; the last
-    such turn is linked. `reply_to` is the turn that the first linked passage of the lowest level
+    such turn is linked. A passage of several lines that is none of these is looked up once more as lines that
+    follow each other in an earlier turn, whatever stands before and after them. `reply_to` is the turn that the first linked passage of the lowest level
     comes from, null without one. `thread` is the turn where following reply_to ends, so that
     conv_col, thread, turn_col is reply order: an answer follows what it quotes. `chat` is the message
     between role marks. A conversation is the rows in that order and is not gathered in one row, as it
@@ -112,7 +135,12 @@ def linked_messages(
     rows = parsed(named).withColumn("key", key)
     able = rows.filter("conv is not null and turn is not null")
     quotes = scratch.keep(passages(able), "quotes")
-    found = scratch.keep(last_before(quotes, originals(able), scratch), "found")
+    whole = scratch.keep(last_before(quotes, originals(able)), "whole")
+    place = ["key", "level", "place"]
+    rest = quotes.join(whole.filter("source is null").select(*place), place, "left_semi")
+    parts = last_before(*trimmed(rest, able)).select(*place, F.col("source").alias("part"))
+    found = whole.join(parts, place, "left").withColumn("source", F.coalesce("source", "part")).drop("part")
+    found = scratch.keep(found, "found")
     first = F.min(F.when(F.col("source").isNotNull(), F.struct("level", "place", "source")))
     ties = found.groupBy("key", "conv", "turn").agg(
         F.count(F.lit(1)).alias("n_quotes"), F.count("source").alias("n_linked"), first["source"].alias("reply_to")

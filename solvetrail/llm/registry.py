@@ -131,16 +131,32 @@ WITH RECURSIVE split AS (
 ), runs AS (
     SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY place) AS run FROM steps
 ), quotes AS (
-    SELECT conv_id, turn, level, min(place) AS place, string_agg(words, ' ' ORDER BY place) AS words
+    SELECT conv_id, turn, level, min(place) AS place, string_agg(words, ' ' ORDER BY place) AS words,
+        arg_min(words, place) AS first, count(*) AS size
     FROM runs WHERE level > 0 AND words <> '' GROUP BY conv_id, turn, level, run
 ), originals AS (
     SELECT DISTINCT conv_id, turn, trim(regexp_replace(part, '[\x20\x09-\x0D]+', ' ', 'g')) AS words
     FROM (SELECT conv_id, turn, unnest(list_concat([body], list_concat(regexp_split_to_array(body, '\n[ \t]*\n'),
         string_split(body, chr(10))))) AS part FROM bodies)
-), found AS (
-    SELECT q.conv_id, q.turn, q.level, q.place, max(o.turn) AS source
+), whole AS (
+    SELECT q.conv_id, q.turn, q.level, q.place, any_value(q.words) AS words, any_value(q.first) AS first, any_value(q.size) AS size,
+        max(o.turn) AS source
     FROM quotes q LEFT JOIN originals o ON o.conv_id = q.conv_id AND o.words = q.words AND o.turn < q.turn AND o.words <> ''
-    GROUP BY ALL
+    GROUP BY q.conv_id, q.turn, q.level, q.place
+), said AS (
+    SELECT conv_id, turn, list_filter(list_transform(string_split(body, chr(10)),
+        lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS l
+    FROM bodies
+), stretches AS (
+    SELECT DISTINCT s.conv_id, s.turn, w.first, w.size, array_to_string(l[i:i + w.size - 1], ' ') AS words
+    FROM (SELECT DISTINCT conv_id, first, size FROM whole WHERE source IS NULL AND size > 1) w JOIN said s USING (conv_id),
+        unnest(range(1, len(l) - w.size + 2)) AS t(i)
+    WHERE l[i] = w.first
+), found AS (
+    SELECT q.conv_id, q.turn, q.level, q.place, coalesce(any_value(q.source), max(s.turn)) AS source
+    FROM whole q LEFT JOIN stretches s ON q.source IS NULL AND s.conv_id = q.conv_id AND s.first = q.first AND s.size = q.size
+        AND s.words = q.words AND s.turn < q.turn
+    GROUP BY q.conv_id, q.turn, q.level, q.place
 ), ties AS (
     SELECT conv_id, turn, count(*) AS n_quotes, count(source) AS n_linked,
         arg_min(source, level * 1000000 + place) FILTER (source IS NOT NULL) AS reply_to

@@ -26,14 +26,18 @@ def plain(rows):
             if not level:
                 own.append(line)
             elif words and last == level:
-                passages[-1][1] += " " + words
+                passages[-1][1].append(words)
             elif words:
-                passages.append([level, words])
+                passages.append([level, [words]])
             last = level if words else None
         body = "\n".join(own).strip(" \t\n\x0b\x0c\r")
         found = []
         for place, (level, words) in enumerate(passages):
-            turns = [t for t, parts in said.get(conv, {}).items() if words in parts]
+            before, whole = said.get(conv, {}), " ".join(words)
+            turns = [t for t, (parts, _) in before.items() if whole in parts]
+            if not turns and len(words) > 1:
+                same = lambda lines: any(lines[i] == words[0] and " ".join(lines[i : i + len(words)]) == whole for i in range(len(lines) - len(words) + 1))  # noqa: B023, E731
+                turns = [t for t, (_, lines) in before.items() if same(lines)]
             if turns:
                 found.append((level, place, max(turns)))
         reply[conv, turn] = min(found)[2] if found else None
@@ -42,7 +46,8 @@ def plain(rows):
             end = reply[conv, end]
         out.append((conv, turn, body, len(passages), len(found), reply[conv, turn], end))
         parts = {squeezed(p) for p in [body, *re.split(r"\n[ \t]*\n", body), *body.split("\n")]} - {""}
-        said.setdefault(conv, {})[turn] = parts
+        lines = [x for x in map(squeezed, body.split("\n")) if x]
+        said.setdefault(conv, {})[turn] = parts, lines
     return sorted(out)
 
 
@@ -56,7 +61,11 @@ def test_random_threads(spark, seed, turns, monkeypatch):
         for turn in range(rng.randrange(1, 25)):
             text = []
             for _ in range(rng.randrange(5)):
-                if lines and rng.random() < 0.6:
+                if rows and rng.random() < 0.4:
+                    earlier = rng.choice(rows)[2].split("\n")
+                    start = rng.randrange(len(earlier))
+                    text += ["> " + x.lstrip("> ") for x in earlier[start : start + rng.randrange(1, 4)] if x.strip()]
+                elif lines and rng.random() < 0.6:
                     text += ["> " * rng.randrange(1, 4) + x for x in rng.sample(lines, min(len(lines), rng.randrange(1, 3)))]
                 else:
                     text.append(rng.choice(["", "ok", f"line {rng.randrange(12)}", "two  words", f"  é {turn}"]))
@@ -83,3 +92,51 @@ def test_nested_quotes_and_odd_rows(spark):
         (2, 1, "", 1, 0, None, 1), (3, 0, "long long", 0, 0, None, 0), (3, 1, "yes", 1, 1, 0, 0),
     ], key=str)
     assert quotes.linked_messages(frame.limit(0)).collect() == []
+
+
+QUOTING = [
+    (1, 0, "First line.\nSecond  line.\nThird line.\n\nNew paragraph.\nLast line."),
+    (1, 1, "> First line.\n> Second line.\nTwo of three."),
+    (1, 2, "> Second line.\n> Third line.\n> New paragraph.\nOver the break."),
+    (1, 3, "> First line.\n> Third line.\nNot one after the other."),
+    (1, 4, "First line.\nSecond line.\nthen more"),
+    (1, 5, "> First line.\n> Second line.\nThe last turn that has them."),
+    (1, 6, ">> First line.\n>> Second line.\n> Two of three.\nNested."),
+    (1, 7, "> Last line.\n> Second line.\nBackwards."),
+    (1, 8, "> Two of three.\n> Over the break.\nFrom two messages."),
+    (2, 0, "> First line.\n> Second line.\nAnother conversation."),
+]
+
+
+def test_lines_out_of_a_paragraph(spark):
+    """Trimmed quotes: the usual reply quotes some consecutive lines of a longer message."""
+    frame = spark.createDataFrame([(c, t, "user", x, "") for c, t, x in QUOTING], SCHEMA)
+    found = sorted((r.conv_id, r.turn, r.content, r.n_quotes, r.n_linked, r.reply_to, r.thread) for r in quotes.linked_messages(frame).collect())
+    assert found == plain(QUOTING)
+    assert [r[4:6] for r in found] == [(0, None), (1, 0), (1, 0), (0, None), (0, None), (1, 4), (2, 1), (0, None), (0, None), (0, None)]
+
+
+def test_sql_on_messages_that_quote(spark):
+    import duckdb
+    from helpers import ordered
+
+    from solvetrail.llm import registry
+
+    rng, rows = random.Random(3), [*QUOTING]
+    for conv in range(10, 30):
+        for turn in range(12):
+            own = [rng.choice(["ok", "", f"line {rng.randrange(9)}", "some  more"]) for _ in range(rng.randrange(1, 6))]
+            lines = [x for c, _, t in rows if c == conv for x in t.split("\n")]
+            start = rng.randrange(len(lines) + 1)
+            rows.append((conv, turn, "\n".join([">" * rng.randrange(1, 3) + " " + x for x in lines[start : start + rng.randrange(4)]] + own)))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, 'user', ?)", rows)
+    frame = quotes.linked_messages(spark.createDataFrame([(c, t, "user", x, "") for c, t, x in rows], SCHEMA))
+    columns = frame.columns
+    cursor = con.execute(registry.oracle_sql()["op8_quotation_linking"])
+    names = [d[0] for d in cursor.description]
+    expected = ordered(tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall())
+    found = ordered(tuple(r) for r in frame.collect())
+    assert found == expected
+    assert sum(r[columns.index("n_linked")] for r in found) > 100
