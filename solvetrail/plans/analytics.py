@@ -49,13 +49,14 @@ def summary(days: DataFrame, as_of: dt.date, rule: str = "row") -> DataFrame:
 
 
 def analytics(
-    rows: DataFrame, as_of: dt.date, mapping: Mapping | None = None, rule: str = "row"
+    rows: DataFrame, as_of: dt.date, mapping: Mapping | None = None, rule: str = "row", streak_rule: str | None = None
 ) -> Analytics:
+    """What the result tables are made of; with a `streak_rule` the progress has running streaks."""
     days = daily.day_counts(rows)
     return Analytics(
         topics=topics.topic_totals(rows, mapping),
         days=days,
-        progress=daily.progress(days),
+        progress=daily.progress(days, streak_rule),
         summary=summary(days, as_of, rule),
     )
 

@@ -11,8 +11,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from solvetrail.functions.dates import month_key
-from solvetrail.operators import changes, daily, topics
+from solvetrail.operators import changes, topics
+from solvetrail.plans.analytics import analytics
 from solvetrail.plans.solved import solved, validated
 from solvetrail.sources import backup as backups
 from solvetrail.sources.bodies import Opened
@@ -63,12 +63,10 @@ class Run:
         chosen = [[list(m) for m in self.mapping or ()], self.streak_rule]
         return hashlib.sha256(json.dumps(chosen).encode()).hexdigest()
 
-    def analytics(self, records: DataFrame) -> DataFrame:
-        """Topic totals of records as the Problems table holds them."""
-        return topics.topic_totals(records, self.mapping)
-
-    def progress(self, days: DataFrame) -> DataFrame:
-        return progress_rows(daily.progress(days, self.streak_rule), self.run_ts)
+    def results(self, records: DataFrame) -> dict[str, DataFrame]:
+        """The Analytics and Progress tables of records as the Problems table holds them."""
+        found = analytics(records, self.run_ts.date(), self.mapping, streak_rule=self.streak_rule)
+        return {"analytics": topics.analytics_rows(found.topics), "progress": progress_rows(found.progress, self.run_ts)}
 
 
 def full_refresh(run: Run, submissions: Landed, items: Landed, limit: int | None = None) -> Outcome:
@@ -161,8 +159,7 @@ def cleanup(run: Run, as_of: dt.date, days: int = RETENTION_DAYS) -> Outcome:
     with store.staging() as stage:
         kept = base.placed("problems", buckets).filter((F.col("month") >= first) & ~old)
         records = problem_records(kept)
-        results = {"analytics": topics.analytics_rows(run.analytics(records)), "progress": run.progress(daily.day_counts(records))}
-        for name, rows in results.items():
+        for name, rows in run.results(records).items():
             store.overwrite(base, name, stage(store.place(name, rows, base)), {(b,) for b in buckets})
         if edges:
             rows = kept.filter((F.col("month") == first) & F.col("bucket").isin(*(cell[0] for cell in edges)))
@@ -231,8 +228,7 @@ def _count_anew(run: Run, base: Snapshot, stage, changed: DataFrame, cells: set[
     users = changed.select("user_id").distinct()
     stored = base.placed("problems", buckets).join(users, "user_id", "left_semi").join(changed.select(*KEY), KEY, "left_anti")
     records = stage(problem_records(stored.unionByName(changed.drop("change")).drop("bucket", "month")))
-    results = {"analytics": topics.analytics_rows(run.analytics(records)), "progress": run.progress(daily.day_counts(records))}
-    for name, rows in results.items():
+    for name, rows in run.results(records).items():
         others = base.placed(name, buckets).join(users, "user_id", "left_anti")
         rows = others.unionByName(store.place(name, rows, base))
         if updated:  # a bucket may have lost its last topic
@@ -244,11 +240,6 @@ def _count_anew(run: Run, base: Snapshot, stage, changed: DataFrame, cells: set[
 def _rebuild(run: Run, base: Snapshot | None, job: str, rows: DataFrame, counters: Counters) -> Outcome:
     """A new version out of rows of the Problems table, which were written before."""
     rows = rows.drop("bucket", "month")
-    records = problem_records(rows)
-    frames = {
-        "problems": rows,
-        "analytics": topics.analytics_rows(run.analytics(records)),
-        "progress": run.progress(daily.day_counts(records)),
-    }
+    frames = {"problems": rows} | run.results(problem_records(rows))
     run.store.replace(base, job, run.run_ts, run.settings, frames, counters)
     return Outcome("written", counters)
