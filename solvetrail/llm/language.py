@@ -20,7 +20,7 @@ ROWS = 4096
 LANDMARKS_PER_LANGUAGE = 32
 RIDGE = 1e-2
 # Rows of a language are ranked in this many lanes before the survivors are.
-LANES = 64
+LANES = 16
 # Texts whose kernel rows are multiplied at once, and cells of their matrix.
 BATCH, CELLS = 256, 1 << 24
 # A text is of its language if it shares with the landmarks this part of the share of 3-grams that all but
