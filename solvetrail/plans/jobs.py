@@ -108,8 +108,8 @@ def incremental_refresh(
     everyone when the mapping or the streak rule changed. Partitions of Problems come last: a run that dies before
     is made good by repeating it. A batch of a stream (`source`) that is recorded already changes nothing.
     """
-    base = run.store.ensure(run.run_ts)
-    if batch is not None and run.store.batches(source) >= batch:
+    base = run.store.ensure(run.run_ts, source)
+    if None not in (batch, base.batch) and base.batch >= batch:
         return Outcome("nothing_new", base.counters)
     errors = _reject(run, "incremental", submissions, items)
     with run.store.staging() as stage:

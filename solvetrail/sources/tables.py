@@ -109,6 +109,8 @@ class Snapshot:
 
     store: Store
     last: Row
+    # Of the stream that was asked for.
+    batch: int | None = None
 
     def placed(self, name: str, buckets: Iterable[int] | None = None) -> DataFrame:
         """A table with the columns it is laid out by; with buckets, those partitions alone."""
@@ -144,12 +146,18 @@ class Store:
         rows = self.spark.read.schema(RUNS).options(**_MOMENT).json(f"{self.base}/runs")
         return rows.filter(F.col("run_id").isNotNull())
 
-    def latest(self) -> Snapshot | None:
-        """What readers see now; None before the first run. Any other failure is an error."""
+    def latest(self, source: str | None = None) -> Snapshot | None:
+        """What readers see now, and the last batch that a stream has recorded; None before the first run.
+
+        Any failure to read the runs is an error.
+        """
         if "runs" not in subfolders(self.spark, self.base):
             return None
-        last = self.runs().orderBy(F.desc("run_id"), F.desc("run_ts")).first()
-        return Snapshot(self, last) if last else None
+        runs = self.runs()
+        last = F.max_by(F.struct(*runs.columns), F.struct("run_id", "run_ts")).alias("last")
+        batch = F.max(F.when(F.col("source") == F.lit(source), F.col("batch"))).alias("batch")
+        found = runs.agg(last, batch).first()
+        return Snapshot(self, found["last"], found["batch"]) if found["last"] else None
 
     def snapshot(self) -> Snapshot:
         found = self.latest()
@@ -174,9 +182,9 @@ class Store:
         rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{self.base}/rejected")
         return seen.get.get("n", 0)
 
-    def ensure(self, run_ts: dt.datetime) -> Snapshot:
+    def ensure(self, run_ts: dt.datetime, source: str | None = None) -> Snapshot:
         """The tables, created empty unless they are there."""
-        found = self.latest()
+        found = self.latest(source)
         if found is None:
             empty = {n: self.spark.createDataFrame([], s) for n, s in schemas.RESULTS.items()}
             found = self.replace(None, "create", run_ts, None, empty, Counters())
@@ -223,14 +231,14 @@ class Store:
         version = f"v-{uuid.uuid4().hex}"
         for name, frame in frames.items():
             self.write(version, name, self.place(name, frame, None))
-        self.record(base, job, run_ts, settings, counters, version=version, buckets=self.buckets)
+        found = self.record(base, job, run_ts, settings, counters, version=version, buckets=self.buckets)
         kept = {version, base.last["version"] if base else None}
         for name in subfolders(self.spark, self.base):
             if name.startswith("v-") and name not in kept:
                 delete_folder(self.spark, f"{self.base}/{name}")
-        return self.snapshot()
+        return found
 
-    def record(self, base: Snapshot | None, job: str, run_ts: dt.datetime, settings: str | None, counters: Counters, **more) -> None:
+    def record(self, base: Snapshot | None, job: str, run_ts: dt.datetime, settings: str | None, counters: Counters, **more) -> Snapshot:
         """Add the run that follows `base` to the runs."""
         last = base.last.asDict() if base else {"run_id": 0}
         row = {"version": last.get("version"), "buckets": last.get("buckets"), "source": None, "batch": None} | more
@@ -238,11 +246,7 @@ class Store:
         names = [field.split()[0] for field in RUNS.split(", ")]
         rows = self.spark.createDataFrame([tuple(row[name] for name in names)], RUNS)
         rows.coalesce(1).write.mode("append").options(**_MOMENT).json(f"{self.base}/runs")
-
-    def batches(self, source: str) -> int:
-        """The number of the last batch that a stream has recorded here; -1 before the first."""
-        last = self.runs().filter(F.col("source") == source).agg(F.max("batch").alias("batch")).first()
-        return -1 if last["batch"] is None else last["batch"]
+        return Snapshot(self, Row(**row))
 
     @contextmanager
     def staging(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
