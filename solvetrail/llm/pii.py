@@ -30,7 +30,7 @@ SPACE = frozenset(" \t\n\x0b\x0c\r")
 EDGE = "\"'.,;:!?<>()[]{}|"
 # Features are counted by hash, so that the tables have a fixed size.
 FEATURES = 4096
-# Digits from which on tokens with equal digits are held to be similar.
+# Digits from which on tokens with equal digits, or as many equal last ones, are held to be similar.
 SIMILAR = 7
 # Messages are sent until none changes by more than TOLERANCE; ROUNDS only ends those that go on
 # swinging in circles of edges.
@@ -97,7 +97,7 @@ class Node:
 
 def _shape(token: str) -> str:
     runs = re.sub(r"[^\W\d_]+", "a", token)
-    return re.sub(r"[0-9]+", lambda m: f"d{min(len(m[0]), 20)}", runs)[:40]
+    return re.sub(r"[0-9]+", lambda m: f"d{len(m[0])}", runs)
 
 
 def nodes_of(text: str, base: list[tuple[int, int, int]]) -> list[Node]:
@@ -105,6 +105,7 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]) -> list[Node]:
     found: list[Node] = []
     covered = sorted((a, b, k) for k, a, b in base)
     ahead = last = 0
+    tail = ""
     for mark in MARK.finditer(text):
         start, end = mark.start(), mark.end()
         while start > last and text[start - 1] not in SPACE:
@@ -121,11 +122,13 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]) -> list[Node]:
         token = text[start:end].strip(EDGE)
         digits = "".join(c for c in token if "0" <= c <= "9")
         shape = _shape(token)
-        names = (f"s{shape}", f"w{text[word:back][-24:].lower()}", f"n{len(digits)}{'@' in token}{token.count('.')}")
-        keys = [token.lower()] + ([digits] if len(digits) >= SIMILAR else [])
-        found.append(
-            Node(start, end, label, [crc32(n.encode("utf-8", "replace")) % FEATURES for n in names], bool(found) and back == last, keys)
-        )
+        names = (f"s{shape}", f"w{text[word:back].lower()}", f"n{len(digits)}{'@' in token}{token.count('.')}")
+        # Equal tokens, tokens of equal digits, and places up to which the same digits stand, in this token
+        # and those right before it, share a key.
+        follows = bool(found) and back == last
+        tail = ((tail if follows else "") + digits)[-SIMILAR:]
+        keys = [token.lower()] + [digits] * (len(digits) >= SIMILAR) + [f"..{tail}"] * (len(tail) == SIMILAR and bool(digits))
+        found.append(Node(start, end, label, [crc32(n.encode("utf-8", "replace")) % FEATURES for n in names], follows, keys))
         last = end
     return found
 
@@ -226,7 +229,19 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> li
         else:
             found.append((label, start, end))
         open_end = node.end
-    return found
+    return [(label, *_balanced(text, start, end)) for label, start, end in found]
+
+
+def _balanced(text: str, start: int, end: int) -> tuple[int, int]:
+    """A span with the brackets that belong to those in it, where they stand right beside it."""
+    inside = text[start:end]
+    for left, right in ("()", "[]"):
+        more = inside.count(left) - inside.count(right)
+        if more < 0 and text[start - 1 : start] == left:
+            start -= 1
+        elif more > 0 and text[end : end + 1] == right:
+            end += 1
+    return start, end
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -106,3 +106,35 @@ def test_rows(spark):
         assert r.base_sha256 == hashlib.sha256(names.encode()).hexdigest()
         assert set(filter(None, names.split(","))) <= set(r.spans.split(","))
     assert pii.personal_spans(docs.limit(0)).collect() == []
+
+
+def test_repeats_in_other_formats(field):
+    """Numbers that the patterns find once, repeated in forms that they don't match; and ordinary numbers beside them."""
+    import random
+
+    rng = random.Random(2)
+    caught = total = 0
+    for _ in range(100):
+        a, b, c = rng.randrange(201, 990), rng.randrange(201, 990), rng.randrange(1000, 9999)
+        card = f"4{rng.randrange(10**13, 10**14 - 1)}"
+        card = next(card + str(k) for k in range(10) if pii.luhn(card + str(k)))
+        cells = [card[i : i + 4] for i in (0, 4, 8, 12)]
+        repeats = [(3, f"({a}) {b}-{c}"), (3, f"{a}-{b}-{c}"), (3, f"{a}{b}{c}"), (2, ".".join(cells)), (2, "/".join(cells))]
+        rng.shuffle(repeats)
+        text = f"reach +1 ({a}) {b}-{c} or pay with {' '.join(cells)} in 2024, room {rng.randrange(100, 999)}. "
+        text += " ".join(f"then we wrote {r} in the book on page {rng.randrange(10, 400)}, and" for _, r in repeats)
+        spans = pii.added_spans(text, plain(text), field)
+        for kind, repeat in repeats:
+            at = text.rindex(repeat)
+            total += 1
+            caught += any(k == kind and s <= at and at + len(repeat) <= e for k, s, e in spans)
+        words = {text[s:e] for _, s, e in spans}
+        assert not any(w in words or w + "," in words for w in ("2024", "1.0"))
+        assert len(spans) <= len(repeats)
+    assert caught >= 0.9 * total
+
+
+def test_brackets_stay_with_their_span():
+    assert pii._balanced("call (988) 555-2485 now", 6, 19) == (5, 19)
+    assert pii._balanced("call (988) now", 5, 9) == (5, 10)
+    assert pii._balanced("(see 988) x", 5, 8) == (5, 8)
