@@ -25,7 +25,7 @@ def words(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """Postings of the terms that searches start from; `docs` has (key, text), a key per id and text."""
+    """Postings of the terms that searches start from; `docs` is the word table that `read_words` makes."""
 
     docs: DataFrame
     postings: DataFrame
@@ -48,18 +48,23 @@ def phrases_of(items: DataFrame, id_col: str, text_col: str, window: int) -> Dat
     return cut.select("item", terms.alias("terms")).select("item", F.unhex(F.md5(F.array_join("terms", " "))).alias("phrase"), "terms")
 
 
-def build_index(docs: DataFrame, phrases: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> Index:
+def read_words(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(id, key, n_words, words) of every row, written: texts are cut into words once, for all that follows."""
+    cut = docs.select(F.col(id_col).alias("id"), _key(id_col, text_col).alias("key"), words(F.col(text_col)).alias("words"))
+    return scratch.keep(cut.select("id", "key", F.size("words").cast("long").alias("n_words"), "words"), "words")
+
+
+def build_index(docs: DataFrame, phrases: DataFrame, scratch: Scratch) -> Index:
     """Count the phrases' terms in all documents, then post the two rarest terms of each phrase.
 
-    `phrases` has (phrase, terms), one row per phrase. In the index, `terms` is rarest first: structs
+    `docs` comes from `read_words`. `phrases` has (phrase, terms), one row per phrase. In the index, `terms` is rarest first: structs
     (n, at, term) with the term's count in all documents and its place in the phrase. A phrase with
     a term that no document has is left out.
     """
-    texts = docs.select(_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     placed = scratch.keep(phrases.select("phrase", F.posexplode("terms").alias("at", "term")), "placed")
     vocabulary = scratch.keep(placed.select("term").distinct(), "vocabulary")
     counts = scratch.keep(
-        texts.select(F.explode(words(F.col("text"))).alias("term"))
+        docs.select(F.explode("words").alias("term"))
         .join(vocabulary, "term")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n")),
@@ -76,9 +81,9 @@ def build_index(docs: DataFrame, phrases: DataFrame, id_col: str, text_col: str,
         ranked.select(F.explode(F.slice("terms", 1, 2)).alias("x")).select("x.term").distinct(), "posted"
     )
     postings = scratch.keep(
-        texts.select("key", F.posexplode(words(F.col("text"))).alias("pos", "term")).join(posted, "term"), "postings"
+        docs.select("key", F.posexplode("words").alias("pos", "term")).join(posted, "term"), "postings"
     )
-    return Index(texts, postings, ranked, scratch)
+    return Index(docs, postings, ranked, scratch)
 
 
 def phrase_matches(index: Index) -> DataFrame:
@@ -118,8 +123,12 @@ def phrase_matches(index: Index) -> DataFrame:
 def _lists(index: Index, candidates: DataFrame) -> DataFrame:
     """(key, term, pos) of all words of the documents that have a candidate."""
     keys = index.scratch.keep(candidates.select("key").distinct(), "keys")
-    texts = index.docs.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    return texts.select("key", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    return _words_of(index, keys)
+
+
+def _words_of(index: Index, keys: DataFrame) -> DataFrame:
+    texts = index.docs.join(keys, "key", "left_semi").groupBy("key").agg(F.first("words").alias("words"))
+    return texts.select("key", F.posexplode("words").alias("pos", "term"))
 
 
 def proximity_matches(index: Index, span: int) -> DataFrame:
@@ -139,9 +148,7 @@ def proximity_matches(index: Index, span: int) -> DataFrame:
     bags = index.phrases.select("phrase", F.explode("terms").alias("x")).groupBy("phrase", F.col("x.term").alias("term"))
     wanted = candidates.join(bags.agg(F.count(F.lit(1)).alias("times")), "phrase")
     keys = index.scratch.keep(candidates.select("key").distinct(), f"near-keys-{span}")
-    texts = index.docs.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    lists = texts.select("key", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    places = index.scratch.keep(wanted.join(lists, ["key", "term"]).select("key", "phrase", "term", "times", "pos"), f"places-{span}")
+    places = index.scratch.keep(wanted.join(_words_of(index, keys), ["key", "term"]).select("key", "phrase", "term", "times", "pos"), f"places-{span}")
     starts = places.select("key", "phrase", F.col("pos").alias("start")).distinct()
     starts = starts.withColumn("block", F.explode(F.sequence((F.col("start") / span).cast("long"), ((F.col("start") + span - 1) / span).cast("long"))))
     inside = starts.join(places.withColumn("block", block), ["key", "phrase", "block"]).filter(
@@ -172,12 +179,10 @@ def contamination(
     id counts as the empty id, equal item ids as one item. Rows that agree in id and text get equal
     results. Other columns are not read.
     """
-    found = contaminated_keys(docs, items, window, id_col, text_col, item_id, item_text)
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        _key(id_col, text_col).alias("key"),
-        F.size(words(F.col(text_col))).cast("long").alias("n_words"),
-    )
+    scratch = Scratch(docs.sparkSession, "index")
+    read = read_words(docs, id_col, text_col, scratch)
+    found = contaminated_keys(read, items, window, item_id, item_text, scratch).drop("n_words")
+    rows = read.select("id", "key", "n_words")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return rows.join(found, "key", "left").select(
         F.col("id").alias(id_col),
@@ -189,18 +194,19 @@ def contamination(
     )
 
 
-def contaminated_keys(docs, items, window, id_col, text_col, item_id, item_text) -> DataFrame:
-    """(key, n_hit, items) of the documents with any hit, written."""
-    scratch = Scratch(docs.sparkSession, "index")
+def contaminated_keys(read: DataFrame, items: DataFrame, window: int, item_id: str, item_text: str, scratch: Scratch) -> DataFrame:
+    """(key, n_words, n_hit, items) of the documents with any hit, written; `read` comes from `read_words`."""
     named = scratch.keep(phrases_of(items, item_id, item_text, window), "named")
     phrases = named.groupBy("phrase").agg(F.first("terms").alias("terms"))
-    index = build_index(docs, phrases, id_col, text_col, scratch)
-    matches = scratch.keep(phrase_matches(index), "matches")
+    matches = scratch.keep(phrase_matches(build_index(read, phrases, scratch)), "matches")
     hit = matches.select("key", F.explode(F.expr("sequence(start, start + length - 1)")).alias("pos")).distinct()
     hits = hit.groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
     met = matches.select("key", "phrase").distinct().join(named.select("phrase", "item").distinct(), "phrase")
     names = met.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return scratch.keep(hits.join(names, "key"), "hits")
+    sizes = read.select("key", "n_words").join(matches.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    found = scratch.keep(hits.join(names, "key").join(sizes, "key"), "hits")
+    scratch.drop("named", "placed", "vocabulary", "counts", "ranked", "posted", "postings", "candidates", "keys", "matches")
+    return found
 
 
 def without_contaminated(
@@ -211,8 +217,10 @@ def without_contaminated(
     Rows that agree in id and text stay or go together. A null or empty text has no words, so it stays; an empty
     table of items or of documents takes nothing away. Columns of `docs` may have any names.
     """
-    found = contaminated_keys(docs, items, window, id_col, text_col, "item_id", "text").select("key", "n_hit")
-    n_words = F.size(words(F.col(f"docs.`{text_col}`")))
-    keyed = docs.alias("docs").select(F.struct("docs.*").alias("row"), _key(id_col, text_col).alias("key"), n_words.alias("n_words"))
-    bad = F.coalesce(share * F.col("n_hit") >= F.col("n_words"), F.lit(False))
-    return keyed.join(found, "key", "left").filter(~bad).select("row.*")
+    scratch = Scratch(docs.sparkSession, "index")
+    read = read_words(docs, id_col, text_col, scratch)
+    found = contaminated_keys(read, items, window, "item_id", "text", scratch)
+    scratch.drop("words")
+    bad = found.filter(share * F.col("n_hit") >= F.col("n_words")).select("key")
+    keyed = docs.alias("docs").select(F.struct("docs.*").alias("row"), _key(id_col, text_col).alias("key"))
+    return keyed.join(bad, "key", "left_anti").select("row.*")

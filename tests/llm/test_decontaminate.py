@@ -80,7 +80,8 @@ def test_proximity(spark):
     phrases = [["d", "e", "a"], ["f", "f", "b"], ["g"], ["h", "a"], ["d", "zz"]]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
     table = spark.createDataFrame([(bytes([i]), p) for i, p in enumerate(phrases)], "phrase binary, terms array<string>")
-    index = dc.build_index(frame, table, "doc_id", "text", Scratch(spark, "test"))
+    scratch = Scratch(spark, "test")
+    index = dc.build_index(dc.read_words(frame, "doc_id", "text", scratch), table, scratch)
     keys = {bytes(r.key): r.doc_id for r in frame.select("doc_id", dc._key("doc_id", "text").alias("key")).collect()}
     found = {(keys[bytes(r.key)], r.phrase[0], r.start) for r in dc.proximity_matches(index, 6).collect()}
     expected = set()
