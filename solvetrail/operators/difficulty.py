@@ -39,113 +39,126 @@ def level_shares(rows: DataFrame) -> DataFrame:
     )
 
 
-# The middle of a user's rows is found level by level: the day, then the upper bits of
-# seq, then the middle ones, then the row. Above the last level only counts are put in
-# order, and below the day no window sees more than 2**21 of them.
-_BITS = 21
-_ROW = ["user_id", "date", "upper", "middle", "seq", "title_slug"]
+# A boundary day of up to this many rows is put in order in one window. A longer one is cut
+# at about SPLITS of its own places first, and only the stretch that is wanted is put in order.
+DAY_ROWS = 2**21
+SPLITS = 512
 
 
-def _sums() -> list[Column]:
-    return [F.sum("n").alias("n"), F.sum("score").alias("score")]
+def _dated(rows: DataFrame) -> DataFrame:
+    # seq is never NULL, so that Spark adds no checks to some of the uses of these rows and sees
+    # that they are all the same shuffle.
+    return rows.filter(F.col("date_solved").isNotNull()).select(
+        "user_id",
+        F.col("date_solved").alias("date"),
+        F.coalesce("seq", F.lit(-(2**63))).alias("seq"),
+        "title_slug",
+        score(F.col("difficulty")).alias("score"),
+    )
 
 
-def _descend(cells: DataFrame, parent: list[str], order: list[str]) -> DataFrame:
-    """Of each parent's cells the one that holds its row number `need`.
+def _with_ahead(cells: DataFrame, order: str) -> DataFrame:
+    """`need` becomes a row's number from the cell's start on; `before` gets the scores ahead of the cell."""
+    ahead = Window.partitionBy("user_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumns(
+        {
+            "need": F.col("need") - F.coalesce(F.sum("n").over(ahead), F.lit(0)),
+            "before": F.col("before") + F.coalesce(F.sum("score").over(ahead), F.lit(0)),
+        }
+    )
+
 
-    `need` becomes the number within that cell; `before` collects the scores ahead of it.
+def _days(dated: DataFrame) -> DataFrame:
+    """Every user's days with `n` rows, and where the first half's last row is from there.
+
+    It is row number `need` counted from the day's start: on the day if that is 1 to n, else before
+    or after it. A lone row counts as the last one. `rows` and `score_sum` are the user's, `before` is
+    the score of the days ahead.
     """
-    ahead = Window.partitionBy("user_id", *parent).orderBy(*order)
-    ahead = ahead.rowsBetween(Window.unboundedPreceding, -1)
-    n_ahead, need = F.col("n_ahead"), F.col("need")
-    return (
-        cells.withColumns(
-            {
-                "n_ahead": F.coalesce(F.sum("n").over(ahead), F.lit(0)),
-                "score_ahead": F.coalesce(F.sum("score").over(ahead), F.lit(0)),
-            }
-        )
-        .filter((n_ahead < need) & (need <= n_ahead + F.col("n")))
-        .withColumns({"need": need - n_ahead, "before": F.col("before") + F.col("score_ahead")})
-        .drop("n_ahead", "score_ahead")
-    )
+    user = Window.partitionBy("user_id")
+    days = dated.groupBy("user_id", "date").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    days = days.withColumns({"rows": F.sum("n").over(user), "score_sum": F.sum("score").over(user)})
+    days = days.withColumns({"need": F.expr("greatest(rows div 2, 1)"), "before": F.lit(0).cast("bigint")})
+    return _with_ahead(days, "date").drop("score")
+
+
+_ON_DAY = "need between 1 and n"
+
+
+def _stretch(many: DataFrame, splits: int) -> DataFrame:
+    """Of every boundary day the stretch between two of its places that holds row number `need`.
+
+    The places are drawn by their hash, about `splits` of a day's distinct ones, so that also rows
+    of one seq are told apart; one counting pass finds the stretch.
+    """
+    place = F.struct("seq", "title_slug")
+    drawn = F.pmod(F.xxhash64("seq", "title_slug"), F.expr(f"greatest(n div {splits}, 1)")) == 0
+    marks = many.filter(drawn).groupBy("user_id").agg(F.array_sort(F.collect_set(place)).alias("marks"))
+    passed = F.size(F.filter("marks", lambda mark: mark < place))
+    cut = many.join(marks, "user_id", "left").withColumn("stretch", F.coalesce(F.when(F.col("marks").isNotNull(), passed), F.lit(0)))
+    cut = cut.drop("marks", "n")
+    cells = cut.groupBy("user_id", "stretch", "need", "before").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    wanted = _with_ahead(cells, "stretch").filter(_ON_DAY).select("user_id", "stretch", "need", "before")
+    return cut.drop("need", "before").join(wanted, ["user_id", "stretch"]).drop("stretch")
 
 
-def middle_rows(rows: DataFrame) -> DataFrame:
+def _numbered(edge: DataFrame) -> DataFrame:
+    """Rows of one boundary day per user with their `number`, and `first_sum` up to and with each."""
+    order = Window.partitionBy("user_id").orderBy("seq", "title_slug").rowsBetween(Window.unboundedPreceding, 0)
+    return edge.withColumns({"number": F.count(F.lit(1)).over(order), "first_sum": F.col("before") + F.sum("score").over(order)})
+
+
+def middle_rows(rows: DataFrame, day_rows: int = DAY_ROWS, splits: int = SPLITS) -> DataFrame:
     """Per user the last row of the first half by (date, seq); of a lone row, that row.
 
     Columns: rows, score_sum (all of the user), date, seq, title_slug (of that row),
-    first_sum (scores up to and with it).
+    first_sum (scores up to and with it). Only the day that has the row is put in order.
     """
-    # Never NULL, so that Spark adds no checks to some of the uses of these rows below and
-    # sees that they are all the same shuffle.
-    seq = F.coalesce("seq", F.lit(-(2**63)))
-    dated = rows.filter(F.col("date_solved").isNotNull()).select(
-        "user_id",
-        F.col("date_solved").alias("date"),
-        F.shiftright(seq, 2 * _BITS).alias("upper"),
-        F.shiftright(seq, _BITS).alias("middle"),
-        seq.alias("seq"),
-        "title_slug",
-        F.lit(1).cast("bigint").alias("n"),
-        score(F.col("difficulty")).alias("score"),
-    )
-    user = Window.partitionBy("user_id")
-    days = (
-        dated.groupBy("user_id", "date")
-        .agg(*_sums())
-        .withColumns({"rows": F.sum("n").over(user), "score_sum": F.sum("score").over(user)})
-        .withColumns({"need": F.expr("greatest(rows div 2, 1)"), "before": F.lit(0).cast("bigint")})
-    )
-    day = _descend(days, [], ["date"]).drop("n", "score")
-    # The rows of that day alone. The join may meet a busy day, which adaptive execution
-    # splits; the repartition after it spreads the day's rows and leaves the join free for that.
-    within = dated.join(day, ["user_id", "date"]).repartition(*_ROW)
-    leaves = within.groupBy(*_ROW, "rows", "score_sum", "need", "before").agg(*_sums())
-
-    uppers = leaves.groupBy("user_id", "upper", "need", "before").agg(*_sums())
-    upper = _descend(uppers, [], ["upper"]).select("user_id", "upper", "need", "before")
-
-    middles = leaves.groupBy("user_id", "upper", "middle").agg(*_sums())
-    middles = middles.join(upper, ["user_id", "upper"])
-    middle = _descend(middles, ["upper"], ["middle"])
-    middle = middle.select("user_id", "upper", "middle", "need", "before")
-
-    last = leaves.drop("need", "before").join(middle, ["user_id", "upper", "middle"])
-    return _descend(last, ["upper", "middle"], ["seq", "title_slug"]).select(
-        "user_id", "rows", "score_sum", "date", "seq", "title_slug",
-        (F.col("before") + F.col("score")).alias("first_sum"),
+    dated = _dated(rows)
+    # The join may meet a busy day, which adaptive execution splits; a shuffle follows on either way.
+    edge = dated.join(_days(dated).filter(_ON_DAY), ["user_id", "date"])
+    few = edge.filter(F.col("n") <= day_rows).drop("n")
+    many = _stretch(edge.filter(F.col("n") > day_rows), splits)
+    return _numbered(few.unionByName(many)).filter("number = need").select(
+        "user_id", "rows", "score_sum", "date", "seq", "title_slug", "first_sum"
     )
 
 
-def halves(rows: DataFrame) -> DataFrame:
+def halves(rows: DataFrame, day_rows: int = DAY_ROWS, splits: int = SPLITS) -> DataFrame:
     """Every dated row with the half (1 or 2) of its user's rows it is in.
 
-    The first half has `rows div 2` rows, so a user's only row is in the second.
+    The first half has `rows div 2` rows, so a user's only row is in the second. Days on either
+    side of the boundary go whole, by their counts; of the boundary day the rows are put in order.
     """
-    last = middle_rows(rows).filter(F.col("rows") > 1)
-    last = last.select("user_id", F.struct("date", "seq", "title_slug").alias("last"))
-    place = F.struct(F.col("date_solved").alias("date"), "seq", "title_slug")
-    return (
-        rows.filter(F.col("date_solved").isNotNull())
-        .join(last, "user_id", "left")
-        .select(
-            "user_id",
-            "title_slug",
-            "date_solved",
-            F.when(place <= F.col("last"), 1).otherwise(2).cast("bigint").alias("half"),
-        )
-    )
-
-
-def complexity_trend(rows: DataFrame) -> DataFrame:
+    dated = _dated(rows).withColumn("score", F.lit(0).cast("bigint"))
+    days = _days(dated).select("user_id", "date", "n", "need", "before", "rows")
+    placed = dated.join(days, ["user_id", "date"])
+    on_day = F.expr(_ON_DAY) & (F.col("rows") > 1)
+    edge = placed.filter(on_day)
+    few = _numbered(edge.filter(F.col("n") <= day_rows))
+    many = edge.filter(F.col("n") > day_rows)
+    last = _numbered(_stretch(many, splits)).filter("number = need")
+    last = last.select("user_id", F.struct("seq", "title_slug").alias("last"))
+    halved = [
+        (placed.filter(~on_day), F.col("need") > F.col("n")),
+        (few, F.col("number") <= F.col("need")),
+        (many.join(last, "user_id"), F.struct("seq", "title_slug") <= F.col("last")),
+    ]
+    whole, ordered, cut = [
+        frame.select("user_id", "title_slug", F.col("date").alias("date_solved"), F.when(first, 1).otherwise(2).cast("bigint").alias("half"))
+        for frame, first in halved
+    ]
+    return whole.unionByName(ordered).unionByName(cut)
+
+
+def complexity_trend(rows: DataFrame, day_rows: int = DAY_ROWS, splits: int = SPLITS) -> DataFrame:
     """Mean score of the first half against the second, in words; averages from ten rows on."""
     enough = F.col("rows") >= FEWEST_ROWS
     size = F.expr("rows div 2")
     first = F.when(enough, F.col("first_sum") / size)
     second = F.when(enough, (F.col("score_sum") - F.col("first_sum")) / (F.col("rows") - size))
     return (
-        middle_rows(rows)
+        middle_rows(rows, day_rows, splits)
         .select("user_id", first.alias("first_avg"), second.alias("second_avg"), enough.alias("enough"))
         .select(
             "user_id",

@@ -58,8 +58,10 @@ def halved(rows):
     return rows[: len(rows) // 2], rows[len(rows) // 2 :]
 
 
-def test_halves_with_hot_users_and_days(spark):
-    """User 0 holds a third of all rows, most of them on one day; seq spans the bigint range."""
+@pytest.mark.parametrize("day_rows, splits", [(difficulty.DAY_ROWS, difficulty.SPLITS), (20, 8), (1, 1000)])
+@pytest.mark.parametrize("one_seq", [False, True])
+def test_halves_with_hot_users_and_days(spark, day_rows, splits, one_seq):
+    """User 0 holds a third of all rows, most of them on one day; seq spans the bigint range or is the same."""
     random.seed(3)
     users = {}
     for i in range(3000):
@@ -68,7 +70,7 @@ def test_halves_with_hot_users_and_days(spark):
         if random.random() < 0.05:
             date = None
         wide = 2**62 if random.random() < 0.5 else 2**20
-        seq = random.randint(-wide, wide)
+        seq = 7 if one_seq else random.randint(-wide, wide)
         users.setdefault(user, []).append((date, seq, f"s{i}", random.choice(list(SCORES))))
     data = [(u, q, "T", s, n, [], d) for u, rows in users.items() for d, q, s, n in rows]
     frame = spark.createDataFrame(data, ROWS).repartition(8)
@@ -79,11 +81,24 @@ def test_halves_with_hot_users_and_days(spark):
         if len(first) + len(second) >= 10:
             means = [sum(SCORES[r[3]] for r in part) / len(part) for part in (first, second)]
             expected_trend.append((user, *means))
-    assert values(difficulty.halves(frame)) == ordered(expected_halves)
-    found = difficulty.complexity_trend(frame).filter(F.col("first_avg").isNotNull())
+    assert values(difficulty.halves(frame, day_rows, splits)) == ordered(expected_halves)
+    found = difficulty.complexity_trend(frame, day_rows, splits).filter(F.col("first_avg").isNotNull())
     assert values(found, "user_id", "first_avg", "second_avg") == ordered(expected_trend)
 
 
+def test_long_day_is_cut_into_short_stretches(spark):
+    """Of 20,000 rows of one day and one seq at most a twentieth is put in order."""
+    rows = spark.range(20_000).select(
+        F.lit(1).alias("user_id"), F.lit(day(1)).alias("date_solved"), F.lit(5).alias("seq"),
+        F.concat(F.lit("item-"), F.format_string("%06d", "id")).alias("title_slug"), F.lit("Hard").alias("difficulty"),
+    )
+    dated = difficulty._dated(rows)
+    edge = dated.join(difficulty._days(dated).filter(difficulty._ON_DAY), ["user_id", "date"])
+    assert difficulty._stretch(edge, difficulty.SPLITS).count() <= 1_000
+    found = difficulty.middle_rows(rows, 1_000).first()
+    assert (found.rows, found.title_slug, found.first_sum) == (20_000, "item-009999", 30_000)
+
+
 def test_difficulty_history(spark):
     rows = problems(spark, [(1, "Easy", [], 2), (1, "Unknown", [], 1), (1, "Hard", [], None)])
     assert values(patterns.difficulty_history(rows)) == [(1, 0, day(2), "easy"), (1, 1, day(1), "unknown")]
