@@ -28,10 +28,12 @@ def score(text: Column) -> Column:
     return out.otherwise(F.lit(0).cast("bigint"))
 
 
-def counts_by_level(difficulty: Column) -> list[Column]:
-    """Three aggregates: easy, medium, hard."""
+def counts_by_level(difficulty: Column, n: Column | None = None) -> list[Column]:
+    """Three aggregates: easy, medium, hard; with `n`, of rows that stand for so many."""
     key = F.lower(difficulty)
-    return [F.count_if(key == name.lower()).alias(name.lower()) for name in LEVELS]
+    if n is None:
+        return [F.count_if(key == name.lower()).alias(name.lower()) for name in LEVELS]
+    return [F.sum(F.when(key == name.lower(), n).otherwise(0)).alias(name.lower()) for name in LEVELS]
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -20,6 +20,21 @@ def day_counts(rows: DataFrame) -> DataFrame:
     )
 
 
+def level_days(rows: DataFrame) -> DataFrame:
+    """Rows per user, day and level as `n`, dealt out by user: one input for the metrics of a user.
+
+    It has the columns `user_id`, `date_solved` and `difficulty` of the rows it stands for. A user has at most
+    a few rows per day here, so what follows needs no further shuffle.
+    """
+    cells = rows.groupBy("user_id", "date_solved", "difficulty").agg(F.count("*").alias("n"))
+    return cells.repartition("user_id")
+
+
+def days_of_levels(cells: DataFrame) -> DataFrame:
+    """`day_counts` of the rows that the cells of `level_days` stand for."""
+    return cells.groupBy("user_id", F.col("date_solved").alias("date")).agg(F.sum("n").alias("daily_count"))
+
+
 def dated_days(days: DataFrame) -> DataFrame:
     return days.filter(F.col("date").isNotNull())
 

@@ -17,24 +17,29 @@ EASIER = "Focusing on easier problems"
 SAME = "Consistent difficulty level"
 
 
-def monthly_levels(rows: DataFrame) -> DataFrame:
-    """Easy, medium and hard per month; a month with none of them does not show."""
-    return (
-        rows.filter(F.col("date_solved").isNotNull() & F.col("difficulty").isin(*LEVELS))
-        .groupBy("user_id", month_key(F.col("date_solved")).alias("month"))
-        .agg(*counts_by_level(F.col("difficulty")))
-    )
+def _weight(n: str | None) -> Column:
+    return F.col(n) if n else F.lit(1).cast("bigint")
 
 
-def level_shares(rows: DataFrame) -> DataFrame:
-    """Each level's share of all dated rows, those of unknown level included."""
-    counts = (
-        rows.filter(F.col("date_solved").isNotNull())
-        .groupBy("user_id")
-        .agg(F.count("*").alias("all"), *counts_by_level(F.col("difficulty")))
+def monthly_levels(rows: DataFrame, n: str | None = None) -> DataFrame:
+    """Easy, medium and hard per month; a month with none of them does not show.
+
+    With `n`, the column that says for how many each row stands, as in `level_days`.
+    """
+    # The condition is inside the sums, so that cells shared with other metrics are read alike.
+    known = F.col("date_solved").isNotNull() & F.col("difficulty").isin(*LEVELS)
+    counts = rows.groupBy("user_id", month_key(F.col("date_solved")).alias("month")).agg(
+        *counts_by_level(F.when(known, F.col("difficulty")), _weight(n))
     )
+    return counts.filter(F.col("easy") + F.col("medium") + F.col("hard") > 0)
+
+
+def level_shares(rows: DataFrame, n: str | None = None) -> DataFrame:
+    """Each level's share of all dated rows, those of unknown level included; `n` as in `monthly_levels`."""
+    weight = F.when(F.col("date_solved").isNotNull(), _weight(n)).otherwise(0)
+    counts = rows.groupBy("user_id").agg(F.sum(weight).alias("all"), *counts_by_level(F.col("difficulty"), weight))
     names = [name.lower() for name in LEVELS]
-    return counts.select(
+    return counts.filter(F.col("all") > 0).select(
         "user_id", *[share(F.col(name), F.col("all")).alias(name) for name in names]
     )
 
@@ -57,6 +62,11 @@ def _dated(rows: DataFrame) -> DataFrame:
     )
 
 
+def _cells(cells: DataFrame) -> DataFrame:
+    dated = cells.filter(F.col("date_solved").isNotNull())
+    return dated.select("user_id", F.col("date_solved").alias("date"), score(F.col("difficulty")).alias("score"), "n")
+
+
 def _with_ahead(cells: DataFrame, order: str) -> DataFrame:
     """`need` becomes a row's number from the cell's start on; `before` gets the scores ahead of the cell."""
     ahead = Window.partitionBy("user_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -68,7 +78,7 @@ def _with_ahead(cells: DataFrame, order: str) -> DataFrame:
     )
 
 
-def _days(dated: DataFrame) -> DataFrame:
+def _days(dated: DataFrame, n: str | None = None) -> DataFrame:
     """Every user's days with `n` rows, and where the first half's last row is from there.
 
     It is row number `need` counted from the day's start: on the day if that is 1 to n, else before
@@ -76,7 +86,8 @@ def _days(dated: DataFrame) -> DataFrame:
     the score of the days ahead.
     """
     user = Window.partitionBy("user_id")
-    days = dated.groupBy("user_id", "date").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    sums = (F.sum(n), F.sum(F.col("score") * F.col(n))) if n else (F.count("*"), F.sum("score"))
+    days = dated.groupBy("user_id", "date").agg(sums[0].alias("n"), sums[1].alias("score"))
     days = days.withColumns({"rows": F.sum("n").over(user), "score_sum": F.sum("score").over(user)})
     days = days.withColumns({"need": F.expr("greatest(rows div 2, 1)"), "before": F.lit(0).cast("bigint")})
     return _with_ahead(days, "date").drop("score")
@@ -108,15 +119,19 @@ def _numbered(edge: DataFrame) -> DataFrame:
     return edge.withColumns({"number": F.count(F.lit(1)).over(order), "first_sum": F.col("before") + F.sum("score").over(order)})
 
 
-def middle_rows(rows: DataFrame, day_rows: int = DAY_ROWS, splits: int = SPLITS) -> DataFrame:
+def middle_rows(
+    rows: DataFrame, day_rows: int = DAY_ROWS, splits: int = SPLITS, cells: DataFrame | None = None
+) -> DataFrame:
     """Per user the last row of the first half by (date, seq); of a lone row, that row.
 
     Columns: rows, score_sum (all of the user), date, seq, title_slug (of that row),
     first_sum (scores up to and with it). Only the day that has the row is put in order.
+    `cells` are the rows' `level_days`, if they are at hand.
     """
     dated = _dated(rows)
+    days = _days(dated) if cells is None else _days(_cells(cells), "n")
     # The join may meet a busy day, which adaptive execution splits; a shuffle follows on either way.
-    edge = dated.join(_days(dated).filter(_ON_DAY), ["user_id", "date"])
+    edge = dated.join(days.filter(_ON_DAY), ["user_id", "date"])
     few = edge.filter(F.col("n") <= day_rows).drop("n")
     many = _stretch(edge.filter(F.col("n") > day_rows), splits)
     return _numbered(few.unionByName(many)).filter("number = need").select(
@@ -151,14 +166,16 @@ def halves(rows: DataFrame, day_rows: int = DAY_ROWS, splits: int = SPLITS) -> D
     return whole.unionByName(ordered).unionByName(cut)
 
 
-def complexity_trend(rows: DataFrame, day_rows: int = DAY_ROWS, splits: int = SPLITS) -> DataFrame:
+def complexity_trend(
+    rows: DataFrame, day_rows: int = DAY_ROWS, splits: int = SPLITS, cells: DataFrame | None = None
+) -> DataFrame:
     """Mean score of the first half against the second, in words; averages from ten rows on."""
     enough = F.col("rows") >= FEWEST_ROWS
     size = F.expr("rows div 2")
     first = F.when(enough, F.col("first_sum") / size)
     second = F.when(enough, (F.col("score_sum") - F.col("first_sum")) / (F.col("rows") - size))
     return (
-        middle_rows(rows, day_rows, splits)
+        middle_rows(rows, day_rows, splits, cells)
         .select("user_id", first.alias("first_avg"), second.alias("second_avg"), enough.alias("enough"))
         .select(
             "user_id",

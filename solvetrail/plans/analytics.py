@@ -62,15 +62,19 @@ def analytics(
 
 
 def metrics(rows: DataFrame, as_of: dt.date, rule: str = "row") -> Metrics:
-    """All progress metrics of the solved set; `seq` orders the rows of one day."""
-    days = daily.day_counts(rows)
+    """All progress metrics of the solved set; `seq` orders the rows of one day.
+
+    All but the history and the trend's boundary day start from one set of counts per user, day and level.
+    """
+    cells = daily.level_days(rows)
+    days = daily.days_of_levels(cells)
     return Metrics(
         daily_progress=daily.progress(days),
         summary=summary(days, as_of, rule),
         weekdays=patterns.weekdays(days),
         best_weekday=patterns.best_weekday(days),
         difficulty_history=patterns.difficulty_history(rows),
-        monthly_levels=difficulty.monthly_levels(rows),
-        level_shares=difficulty.level_shares(rows),
-        complexity_trend=difficulty.complexity_trend(rows),
+        monthly_levels=difficulty.monthly_levels(cells, "n"),
+        level_shares=difficulty.level_shares(cells, "n"),
+        complexity_trend=difficulty.complexity_trend(rows, cells=cells),
     )
