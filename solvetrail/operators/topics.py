@@ -14,11 +14,18 @@ def topic_totals(rows: DataFrame, mapping: Mapping | None = None) -> DataFrame:
     """Per topic: rows, rows by level and the latest date. Without a mapping a topic an
     item names twice counts twice; with one, an item counts once per category. Rows that carry
     `categories` already are counted by those."""
-    if "categories" not in rows.columns:
+    carried = "categories" in rows.columns
+    if not carried:
         rows = with_categories(rows.select("user_id", "difficulty", "date_solved", "topics"), mapping)
+    cells = ("user_id", "difficulty", "date_solved")
+    if carried or not mapping:
+        each = rows.select(*cells, F.explode("categories").alias("topic"))
+    else:
+        # The inner explode would make the join an inner one: then Spark may broadcast the rows and let the few
+        # lists of topics meet them, all in one task.
+        each = rows.select(*cells, F.explode_outer("categories").alias("topic")).filter(F.col("topic").isNotNull())
     return (
-        rows
-        .select("user_id", "difficulty", "date_solved", F.explode("categories").alias("topic"))
+        each
         .groupBy("user_id", "topic")
         .agg(
             F.count("*").alias("total"),
