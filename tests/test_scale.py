@@ -1,13 +1,27 @@
 """What keeps the memory of one task within bounds: sides of joins, and bytes per task."""
 
+import pytest
 from helpers import problems, values
+from pyspark.sql import functions as F
 
-from solvetrail.operators import topics
+from solvetrail.operators import changes, topics
+from solvetrail.plans.jobs import COMPARED, KEPT, KEY, TITLE
+from solvetrail.session import FACTOR, tune
 from solvetrail.sources import mapping as topic_mapping
 
 MAPPING = (("small", "Size"), ("large", "Size"), ("red", "Colour"))
 
 
+@pytest.fixture
+def restored(spark):
+    """A session whose settings go back after the test."""
+    names = (FACTOR, "spark.sql.adaptive.enabled")
+    before = {name: spark.conf.get(name) for name in names}
+    yield spark
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
 def optimized(frame):
     return frame._jdf.queryExecution().optimizedPlan().toString()
 
@@ -29,3 +43,30 @@ def test_mapped_totals_are_those_of_carried_categories(spark):
     rows = problems(spark, [(u, "Easy", [t], d) for u in (1, 2) for d, t in enumerate(("small", "red", "Redder", "", "x"), 1)])
     carried = topics.topic_totals(topic_mapping.with_categories(rows, MAPPING), MAPPING)
     assert values(topics.topic_totals(rows, MAPPING)) == values(carried)
+
+
+def test_millions_of_stored_rows_in_a_small_file_are_not_broadcast(restored, tmp_path):
+    restored.conf.set("spark.sql.adaptive.enabled", "false")
+    number = F.col("id")
+    rows = restored.range(0, 1_500_000, 1, 4).select(
+        (number % 20_000).alias("user_id"),
+        F.concat(F.lit("Item "), number.cast("string")).alias("name"),
+        F.lit("Easy").alias("difficulty"),
+        F.lit("small, red").alias("topics_text"),
+        F.lit("2024-01-01").cast("date").alias("date_solved"),
+        F.lit(1).cast("bigint").alias("attempts"),
+        F.lit("Solved").alias("status"),
+        number.cast("string").alias("problem_id"),
+        F.lit("2024-01").alias("month"),
+    )
+    rows.write.parquet(f"{tmp_path}/rows")
+    stored = restored.read.parquet(f"{tmp_path}/rows")
+    plan = lambda: changes.upserts(stored, stored, KEY, TITLE, COMPARED, KEPT)._jdf.queryExecution().executedPlan().toString()
+    restored.conf.set("spark.sql.adaptive.enabled", "false")
+    assert "BroadcastHashJoin" not in plan()
+
+
+def test_a_larger_factor_is_kept(restored):
+    for given, expected in (("1.0", 10.0), ("25.0", 25.0)):
+        restored.conf.set(FACTOR, given)
+        assert float(tune(restored).conf.get(FACTOR)) == expected
