@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from solvetrail.operators import changes, topics
 from solvetrail.plans.jobs import COMPARED, KEPT, KEY, TITLE
-from solvetrail.session import FACTOR, tune
+from solvetrail.session import FACTOR, MOST, tune
 from solvetrail.sources import mapping as topic_mapping
 
 MAPPING = (("small", "Size"), ("large", "Size"), ("red", "Colour"))
@@ -15,7 +15,7 @@ MAPPING = (("small", "Size"), ("large", "Size"), ("red", "Colour"))
 @pytest.fixture
 def restored(spark):
     """A session whose settings go back after the test."""
-    names = (FACTOR, "spark.sql.adaptive.enabled")
+    names = (*MOST, FACTOR, "spark.sql.adaptive.enabled")
     before = {name: spark.conf.get(name) for name in names}
     yield spark
     for name, value in before.items():
@@ -66,6 +66,16 @@ def test_millions_of_stored_rows_in_a_small_file_are_not_broadcast(restored, tmp
     assert "BroadcastHashJoin" not in plan()
 
 
+@pytest.mark.parametrize("size, kept", [("128MB", False), ("134217728b", False), ("1g", False), ("16m", True), ("1m", True), ("64k", True), ("900", True)])
+def test_a_task_reads_bounded_bytes(restored, size, kept):
+    for name in MOST:
+        restored.conf.set(name, size)
+    before = [restored.conf.get(name) for name in MOST]
+    tune(restored)
+    after = [restored.conf.get(name) for name in MOST]
+    assert after == (before if kept else [f"{16 << 20}b"] * 2)
+
+
 def test_a_larger_factor_is_kept(restored):
     for given, expected in (("1.0", 10.0), ("25.0", 25.0)):
         restored.conf.set(FACTOR, given)
