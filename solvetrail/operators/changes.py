@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +29,25 @@ def change_counts(old: DataFrame, new: DataFrame, compared: list[str]) -> DataFr
     return changes(old, new, compared).groupBy("change").agg(F.count("*").alias("n"))
 
 
-def upserts(fetched: DataFrame, stored: DataFrame, key: list[str], title: list[str], compared: list[str], kept: list[str]) -> DataFrame:
+def upserts(
+    fetched: DataFrame,
+    stored: DataFrame,
+    key: list[str],
+    title: list[str],
+    compared: list[str],
+    kept: list[str],
+    stage: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """The fetched rows that change the stored table, with `change`: new or updated.
 
     New is a row whose title (columns `title`) is not stored. Updated is one that is stored under its `key` with
     other `compared` cells; it takes over the stored row's `kept` cells. All other rows change nothing. The
-    stored rows are first cut down to the fetched titles, so with a small batch they are not shuffled.
+    stored rows are first cut down to the fetched titles, so with a small batch they are not shuffled. What is
+    left of them is read twice; `stage` writes it, so that they are cut down once and Spark knows how few they are.
     """
     titles = fetched.select(*title).distinct()
     known = stored.select(*key, *kept, F.xxhash64(*compared).alias("old_hash")).join(titles, title, "left_semi")
+    known = stage(known) if stage else known
     there = known.select(*title, F.lit(True).alias("there")).distinct()
     same = known.dropDuplicates(key).select(*key, "old_hash", F.struct(*kept).alias("stored"))
     joined = fetched.join(there, title, "left").join(same, key, "left")

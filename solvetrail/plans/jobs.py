@@ -118,7 +118,7 @@ def incremental_refresh(
         buckets = _buckets(fetched)
         if not buckets:
             return Outcome("nothing_fetched", Counters(errors=errors))
-        changed = stage(changes.upserts(fetched, base.placed("problems", buckets), KEY, TITLE, COMPARED, KEPT))
+        changed = stage(changes.upserts(fetched, base.placed("problems", buckets), KEY, TITLE, COMPARED, KEPT, stage))
         # One row per kind of change and partition.
         found = changed.groupBy("change", "bucket", "month").count().collect()
         if not found:
@@ -222,12 +222,16 @@ def _count_anew(run: Run, base: Snapshot, stage, changed: DataFrame, cells: set[
     """Bring Analytics and Progress of the changed users up to date; other users' rows are copied.
 
     A changed user's items are counted anew out of Problems as it will be, not added to what is there: so a
-    run that died after this gives the same when it is repeated.
+    run that died after this gives the same when it is repeated. Problems is written later, so its rows may be
+    read once per table; only the join that updated rows take is written first.
     """
     store, buckets = run.store, {bucket for bucket, _ in cells}
     users = changed.select("user_id").distinct()
-    stored = base.placed("problems", buckets).join(users, "user_id", "left_semi").join(changed.select(*KEY), KEY, "left_anti")
-    records = stage(problem_records(stored.unionByName(changed.drop("change")).drop("bucket", "month")))
+    stored = base.placed("problems", buckets).join(users, "user_id", "left_semi")
+    if updated:  # a new row's key is not stored
+        stored = stored.join(changed.select(*KEY), KEY, "left_anti")
+    records = problem_records(stored.unionByName(changed.drop("change")).drop("bucket", "month"))
+    records = stage(records) if updated else records
     for name, rows in run.results(records).items():
         others = base.placed(name, buckets).join(users, "user_id", "left_anti")
         rows = others.unionByName(store.place(name, rows, base))

@@ -737,12 +737,14 @@ def e10_cleanup_analytics(spark, folder):
 def t1_stream_ingest(spark, folder):
     """Three landings of ten days each, a scheduled run of the stream after each."""
     run = jobs.Run(_store(spark, "stream"), RUN_TS)
-    landing, checkpoint = shared_folder(spark, "landing"), shared_folder(spark, "stream-state")
-    landed = samples.submissions(spark, folder)
+    landing, checkpoint, metadata = (shared_folder(spark, name) for name in ("landing", "stream-state", "landed-items"))
+    landed, items = samples.submissions(spark, folder), samples.items(spark, folder)
+    items.write.parquet(metadata)
+    known = spark.read.schema(items.schema).parquet(metadata)
     day = F.floor(-F.col("seq") / F.lit(86_400_000_000))
     start = (samples.AS_OF - dt.timedelta(days=30) - dt.date(1970, 1, 1)).days
     part = F.least(F.greatest(F.floor((day - start) / 10), F.lit(0)), F.lit(2))
     for number in range(3):
         landed.filter(part == number).write.mode("append").parquet(landing)
-        ingest(run, landed_rows(spark, landing), samples.items(spark, folder), checkpoint)
+        ingest(run, landed_rows(spark, landing), known, checkpoint)
     return run.store.records().select("user_id", "title", "date_solved")

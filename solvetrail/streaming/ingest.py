@@ -58,11 +58,17 @@ def start_ingest(
     incremental refresh. The refresh records the batch's number, so a batch that is replayed after a failure
     writes nothing. With a limit, or attempts to count, all submissions of a batch are needed, so there the
     refresh alone finds what is new. Pages that can't be read go to the side table, by a stream of their own.
+
+    A batch's own plans are not adaptive: each of their shuffles has the session's number of partitions. So a batch
+    is written first, and the refresh starts from what was written, with the items that it names.
     """
     rows = landed.rows if isinstance(landed, Opened) else landed
 
     def refresh(batch: DataFrame, number: int) -> None:
-        incremental_refresh(run, batch, items, limit, source=checkpoint, batch=number)
+        with run.store.staging() as stage:
+            written = stage(batch)
+            slugs = stage(written.select("title_slug").distinct())
+            incremental_refresh(run, written, items.join(slugs, "title_slug", "left_semi"), limit, source=checkpoint, batch=number)
 
     def keep(batch: DataFrame, number: int) -> None:
         run.store.reject(batch, f"stream {number}", run.run_ts)

@@ -66,6 +66,25 @@ def test_millions_of_stored_rows_in_a_small_file_are_not_broadcast(restored, tmp
     assert "BroadcastHashJoin" not in plan()
 
 
+def test_stored_rows_of_fetched_titles_are_written_once(spark, tmp_path):
+    """Both joins of an upsert read what is left of the stored rows, and the outcome is the same without writing it."""
+    columns = "user_id bigint, name string, difficulty string, topics_text string, date_solved string, attempts bigint, status string, problem_id string, month string"
+    frame = lambda *rows: spark.createDataFrame([(u, n, d, "t", on, 1, "Solved", p, "m") for u, n, d, p, on in rows], columns)
+    stored = frame((1, "a", "Easy", "1", "x"), (1, "b", "Easy", "2", "x"), (1, "b", "Easy", "2", "x"), (2, "c", "Hard", "3", "x"), (None, "a", "Easy", "1", "x"))
+    fetched = frame((1, "a", "Hard", "1", "y"), (1, "b", "Easy", "2", "y"), (1, "b", "Hard", "9", "y"), (1, "d", "Easy", "4", "y"), (None, "a", "Easy", "1", "y"))
+    written = []
+
+    def stage(rows):
+        written.append(values(rows, "user_id", "name"))
+        rows.write.parquet(f"{tmp_path}/{len(written)}")
+        return spark.read.schema(rows.schema).parquet(f"{tmp_path}/{len(written)}")
+
+    found = values(changes.upserts(fetched, stored, KEY, TITLE, COMPARED, KEPT, stage), *KEY, "difficulty", "date_solved", "change")
+    assert found == [(1, "a", "1", "Hard", "x", "updated"), (1, "d", "4", "Easy", "y", "new"), (None, "a", "1", "Easy", "y", "new")]
+    assert written == [[(1, "a"), (1, "b"), (1, "b")]]
+    assert found == values(changes.upserts(fetched, stored, KEY, TITLE, COMPARED, KEPT), *KEY, "difficulty", "date_solved", "change")
+
+
 @pytest.mark.parametrize("size, kept", [("128MB", False), ("134217728b", False), ("1g", False), ("16m", True), ("1m", True), ("64k", True), ("900", True)])
 def test_a_task_reads_bounded_bytes(restored, size, kept):
     for name in MOST:

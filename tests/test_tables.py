@@ -659,6 +659,30 @@ def test_the_stream_drops_what_earlier_batches_brought(spark, monkeypatch):
     ]
 
 
+@pytest.mark.parametrize("limit", [None, 1])
+def test_a_stream_refresh_reads_written_rows_and_the_items_they_name(spark, monkeypatch, limit):
+    """A batch's own plans are not adaptive, and parsing all items costs the same for every landing."""
+    run, seen = a_run(spark), []
+    refresh = jobs.incremental_refresh
+
+    def looked(run, rows, items, *args, **more):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        adaptive = rows.sparkSession.conf.get("spark.sql.adaptive.enabled")
+        seen.append((plan.startswith("Relation"), adaptive, values(items, "title_slug")))
+        return refresh(run, rows, items, *args, **more)
+
+    monkeypatch.setattr("solvetrail.streaming.ingest.incremental_refresh", looked)
+    landing, state = shared_folder(spark, "test-landing"), shared_folder(spark, "test-state")
+    for rows in ([(1, 0, 1, 2, OK), (1, 1, 2, 1, OK), (2, 0, 99, 1, OK)], [(1, 0, 1, 6, OK), (None, 0, 3, 5, OK)]):
+        landed(spark, rows).coalesce(1).write.mode("append").parquet(landing)
+        ingest(run, landed_rows(spark, landing), metadata(spark).unionByName(metadata(spark, 2)), state, limit=limit)
+    again = [("item-1",), ("item-1",)] if limit else []
+    assert seen == [
+        (True, "true", [("item-1",), ("item-1",), ("item-2",)]),
+        (True, "true", [*again, ("item-3",)]),
+    ]
+
+
 def test_a_stream_with_a_limit(spark):
     """Each landing's first submissions count; what is new is found by the refresh alone."""
     run, batch = a_run(spark), a_run(spark)
